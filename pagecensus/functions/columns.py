@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecensus.functions import fixed_values as V
@@ -109,6 +109,12 @@ def lookup(mapping: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def fixed_rows(spark, rows: list[tuple], schema: str):
-    """A small dimension of fixed values."""
-    return spark.createDataFrame(rows, schema)
+def settled(df: DataFrame, names: list[str]) -> DataFrame:
+    """Fixes computed columns as the output of a one-row generator.
+
+    Catalyst rewrites a later filter on a computed column in terms of what it was computed from.
+    Over staged columns that repeats every stage below it, and over a Python UDF it runs the UDF
+    twice.  It does not rewrite through a generator, so each column is computed once.
+    """
+    kept = [c for c in df.columns if c not in names]
+    return df.select(*kept, F.inline(F.array(F.struct(*names))))

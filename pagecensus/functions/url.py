@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.addresses import with_ipv6_text
-from pagecensus.functions.columns import after_first, is_persistable, is_public_origin
+from pagecensus.functions.columns import after_first, is_persistable, is_public_origin, settled
 
 _FORBIDDEN = rf"[{V.CONTROL_CLASS}{V.UNICODE_SPACE_CLASS}\\]"
 _UNRESERVED = r"^[A-Za-z0-9\-._~]\z"
@@ -220,7 +220,9 @@ def with_url_identity(df: DataFrame, column: str, prefix: str = "") -> DataFrame
         F.when(raw.isNotNull() & F.col(f"{prefix}url_refusal").isNull(), col["key"]),
     )
     step = step.withColumn(f"{prefix}origin", origin_of(F.col(f"{prefix}url_key")))
-    return step.drop(*c.values())
+    return settled(
+        step.drop(*c.values()), [f"{prefix}url_key", f"{prefix}url_refusal", f"{prefix}origin"]
+    )
 
 
 def origin_of(url_key: Column) -> Column:
