@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagecensus.catalog import inputs
-from pagecensus.catalog.oracle import sql, sql_key, sql_origin
+from pagecensus.catalog.oracle import sql, sql_id, sql_key, sql_origin
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.columns import is_contract_url
 from pagecensus.functions.url import is_page_resource, with_url_identity
@@ -264,3 +264,69 @@ def page_measurements(spark, sf_dir):
 @register("homepage_measurements", "SELECT * FROM home_measured")
 def homepage_measurements(spark, sf_dir):
     return flat_measurements(analyse_homepages(inputs.homepage_captures(spark, sf_dir)).measurements)
+
+
+def flat_evidence(mirrored: DataFrame) -> DataFrame:
+    return mirrored.select(
+        "run_id", "evidence_id", "source_url", "observed_at", "scenario", "collector", "assessment.*",
+        "polarity", joined("measurement_refs"),
+    )
+
+
+_EVIDENCE = f"""SELECT run_id, {{id}} AS evidence_id, source_url, observed_at, '{{scenario}}' AS scenario, collector,
+    collection_mode, result_state, not_assessed_reason, CAST(NULL AS VARCHAR) AS polarity,
+    measurement_id AS measurement_refs FROM {{table}}"""
+
+
+@register("homepage_evidence", _EVIDENCE.format(
+    id=sql_id("e", "measurement_id"), scenario=V.HOMEPAGE_SCENARIO, table="home_measured"))
+def homepage_evidence(spark, sf_dir):
+    return flat_evidence(analyse_homepages(inputs.homepage_captures(spark, sf_dir)).evidence)
+
+
+@register("findings", f"""SELECT run_id, {sql_id('f', 'rule_id', 'evidence_id')} AS finding_id, rule_id, finding_class,
+    evidence_id AS evidence_refs, finding_summary, business_impact, recommended_action, limitation
+    FROM (SELECT *, {sql_id('e', 'measurement_id')} AS evidence_id FROM home_measured) m
+    JOIN (VALUES {", ".join("(" + ", ".join("'" + str(r[k]).replace("'", "''") + "'" for k in (
+        "rule_id", "finding_class", "metric_id", "finding_summary", "business_impact", "recommended_action",
+        "limitation")) + ")" for r in V.FINDING_RULES)})
+      r(rule_id, finding_class, metric_id, finding_summary, business_impact, recommended_action, limitation)
+    USING (metric_id)
+    WHERE result_state = 'KNOWN' AND ((rule_id = 'HTTP_ERROR_RESPONSE' AND integer_value >= 400)
+      OR (rule_id IN ('NON_HTTPS_FINAL_TRANSPORT', 'MISSING_HOMEPAGE_TITLE') AND NOT boolean_value)
+      OR (rule_id = 'HOMEPAGE_EXPLICIT_NOINDEX' AND boolean_value))""")
+def homepage_findings(spark, sf_dir):
+    return analyse_homepages(inputs.homepage_captures(spark, sf_dir)).findings.select(
+        "run_id", "finding_id", "rule_id", "finding_class", joined("evidence_refs"), "finding_summary",
+        "business_impact", "recommended_action", "limitation",
+    )
+
+
+def _sql_refs(page: str, metrics: list[str]) -> str:
+    return "concat_ws('|', " + ", ".join(
+        "(" + sql_id("m", "run_id", page, f"'{metric}'") + ")" for metric in metrics) + ")"
+
+
+_TAIL = [*V.DOCUMENT_METRICS, V.META_NOINDEX, V.HEADER_NOINDEX]
+_RECORDS = f"""SELECT run_id, {sql_id('a', 'run_id', 'page_key')} AS acquisition_id, selection_rank,
+    sampling_manifest_id AS sampling_manifest_ref, manifest_digest AS sampling_manifest_output_digest,
+    page_key AS url_key, observed_at AS acquired_at, coalesce(failure_kind, 'RESPONSE_RECEIVED') AS acquisition_outcome,
+    CAST(status_code AS BIGINT) AS http_status, CASE WHEN failure_kind IS NULL THEN {sql_key('final_url')} END AS final_url_key,
+    CAST(redirect_count AS BIGINT) AS redirect_count, truncated AS body_truncated, NOT undecodable AS body_decoded,
+    CASE WHEN NOT undecodable THEN 'sha256:' || sha256(html) END AS body_digest,
+    CASE WHEN failure_kind IS NULL THEN {_sql_refs('page_key', V.TRANSPORT_EMISSION + _TAIL)}
+      ELSE {_sql_refs('page_key', V.TRANSPORT_METRICS + _TAIL)} END AS measurement_refs,
+    CAST(NULL AS VARCHAR) AS measurements_withheld_reason FROM acquired"""
+
+
+@register("acquisition_records", _RECORDS)
+def acquisition_records(spark, sf_dir):
+    return _acquisition(spark, sf_dir)[1].records.drop(
+        "observation_mode", "acquisition_method", "acquisition_method_version"
+    ).withColumn("measurement_refs", F.array_join("measurement_refs", "|"))
+
+
+@register("page_evidence", _EVIDENCE.format(
+    id=sql_id("e", "measurement_id"), scenario=V.PAGE_SCENARIO, table="measured"))
+def page_evidence(spark, sf_dir):
+    return flat_evidence(_acquisition(spark, sf_dir)[1].evidence)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagecensus.session import ensure_checkpoint_dir
+from pagecensus.session import materialised
 
 
 def with_position(
@@ -18,7 +18,6 @@ def with_position(
 ) -> DataFrame:
     """Adds ``out``: the position of each row within its group, by ``order`` (a total order)."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"__order_{i}" for i in range(len(order))]
     ranged = df.withColumns(dict(zip(keys, order)))
@@ -26,7 +25,7 @@ def with_position(
         "__range", F.spark_partition_id()
     )
     # Range bounds come from a sample: both uses below must see the same ones, on a retry as well.
-    ranged = ranged.checkpoint()
+    ranged = materialised(ranged)
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(
         Window.unboundedPreceding, -1
     )

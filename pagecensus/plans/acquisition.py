@@ -11,6 +11,7 @@ from pagecensus.functions.url import with_url_identity
 from pagecensus.operators import measurements as m
 from pagecensus.operators.findings import findings
 from pagecensus.operators.observation import observe_pages
+from pagecensus.session import materialised
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,7 @@ def observed_captures(captures: DataFrame, homepage: bool = False) -> DataFrame:
 
 
 def acquire(selections: DataFrame, captures: DataFrame, manifests: DataFrame) -> Acquisition:
-    acquired = m.selected_captures(selections, observed_captures(captures), manifests)
+    acquired = materialised(m.selected_captures(selections, observed_captures(captures), manifests))
     measured = m.measurements(acquired)
     return Acquisition(acquired, m.acquisition_records(acquired), measured, m.evidence(measured))
 
@@ -44,7 +45,7 @@ class HomepageAnalysis:
 def analyse_homepages(captures: DataFrame) -> HomepageAnalysis:
     """One capture per run, read under the homepage profile, with the findings it supports."""
     observed = observe_pages(captures, requested="requested_url", homepage=True)
-    measured = m.measurements(observed, requested="requested_url", homepage=True)
+    measured = materialised(m.measurements(observed, requested="requested_url", homepage=True))
     mirrored = m.evidence(measured, homepage=True)
     return HomepageAnalysis(observed, measured, mirrored, findings(mirrored, measured))
 

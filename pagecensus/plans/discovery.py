@@ -11,6 +11,7 @@ from pagecensus.functions import fixed_values as V
 from pagecensus.functions.columns import lookup
 from pagecensus.functions.url import with_url_identity
 from pagecensus.operators import census, digests, inventory
+from pagecensus.session import materialised
 from pagecensus.sources.captures import with_failure_tokens
 
 
@@ -34,18 +35,18 @@ def discover(
     runs: DataFrame, observations: DataFrame, attempts: DataFrame, budget: int | None = None
 ) -> Discovery:
     """``runs`` carries run_id, site (the established origin) and generated_at."""
-    admitted = inventory.admitted_observations(observations)
-    found = inventory.candidates(admitted)
+    admitted = materialised(inventory.admitted_observations(observations))
+    found = materialised(inventory.candidates(admitted))
     forms = inventory.candidate_forms(admitted)
     sources = inventory.candidate_sources(admitted)
     counted = inventory.source_counts(attempts, sources)
     inventory_digests = digests.inventory_digests(runs, admitted, found, forms, sources, counted)
-    inventories = digests.inventories(runs, inventory_digests)
+    inventories = materialised(digests.inventories(runs, inventory_digests))
     summary = census.plan_summary(found, budget)
-    selected = census.selections(found, budget)
+    selected = materialised(census.selections(found, budget))
     excluded = census.exclusions(summary)
     outputs = digests.streamed_digests(digests.manifest_fragments(summary, selected, excluded))
-    manifests = digests.manifests(summary, outputs, inventories)
+    manifests = materialised(digests.manifests(summary, outputs, inventories))
     return Discovery(
         admitted, found, forms, sources, counted, inventories, summary, selected, excluded, manifests
     )

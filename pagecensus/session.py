@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,6 +24,7 @@ def local_session(cpus: int | str = "*", app: str = "pagecensus") -> SparkSessio
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cpus) if cpus != "*" else "8")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
@@ -34,10 +36,23 @@ def local_session(cpus: int | str = "*", app: str = "pagecensus") -> SparkSessio
     return session
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder the cluster names; a temporary one only if none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder the cluster names; a temporary one only if none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(
             configured or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         )
+    return spark.sparkContext.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared checkpoint folder.
+
+    For results several later steps read: they are computed once, survive lost executors, and come
+    back with column pruning and real sizes for join planning.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
