@@ -346,6 +346,7 @@ CTES: dict[str, str] = {
         UNION ALL SELECT run_id, site, url, 'PAGE_CAPTURE', NULL FROM pg""",
     **_inventory("a_", "page_observations", [a for a in ATTEMPTS if a[0] in ("CANONICAL_SEED", "PAGE_CAPTURE")]),
     **_plan("a_", "a_", None),
+    **_plan("f_", "a_", 5),
     "page_rows": "SELECT page_id, run_id, site, url AS requested_url, html FROM pg",
     "seed_rows": """SELECT p.page_id, p.run_id, p.site, p.site AS requested_url, html
         FROM pg p JOIN first_pages f ON f.page_id = p.page_id""",

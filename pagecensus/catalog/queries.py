@@ -302,6 +302,28 @@ def homepage_findings(spark, sf_dir):
     )
 
 
+_TRIGGERED = """result_state = 'KNOWN' AND ((metric_id = 'HTTP_STATUS' AND integer_value >= 400)
+    OR (metric_id IN ('TRANSPORT_IS_HTTPS', 'PAGE_TITLE_PRESENT') AND NOT boolean_value)
+    OR (metric_id = 'HOMEPAGE_GENERIC_NOINDEX_PRESENT' AND boolean_value))"""
+
+
+@register("selected_findings", f"""SELECT s.run_id, s.url_key, s.selection_rank, s.stratum, h.rule_id FROM f_selections s
+    LEFT JOIN (SELECT p.url_key, CASE metric_id WHEN 'HTTP_STATUS' THEN 'HTTP_ERROR_RESPONSE' WHEN 'TRANSPORT_IS_HTTPS' THEN 'NON_HTTPS_FINAL_TRANSPORT'
+        WHEN 'PAGE_TITLE_PRESENT' THEN 'MISSING_HOMEPAGE_TITLE' ELSE 'HOMEPAGE_EXPLICIT_NOINDEX' END AS rule_id
+      FROM home_measured m JOIN pg p ON m.run_id = 'home-' || p.page_id WHERE {_TRIGGERED}) h USING (url_key)""")
+def selected_findings(spark, sf_dir):
+    """Which pages the census of each site selects first, and which findings they carry."""
+    found = inventory.candidates(inventory.admitted_observations(inputs.page_observations(spark, sf_dir)))
+    selected = census.selections(found, 5).select("run_id", "url_key", "selection_rank", "stratum")
+    pages = inputs.site_pages(spark, sf_dir).select(
+        F.concat(F.lit("home-"), F.col("page_id").cast("string")).alias("home_run"), "url_key"
+    )
+    carried = analyse_homepages(inputs.homepage_captures(spark, sf_dir)).findings.select(
+        F.col("run_id").alias("home_run"), "rule_id"
+    )
+    return selected.join(pages.join(carried, "home_run").drop("home_run"), "url_key", "left")
+
+
 def _sql_refs(page: str, metrics: list[str]) -> str:
     return "concat_ws('|', " + ", ".join(
         "(" + sql_id("m", "run_id", page, f"'{metric}'") + ")" for metric in metrics) + ")"

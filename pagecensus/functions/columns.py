@@ -109,6 +109,18 @@ def lookup(mapping: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def strict_json(text: Column) -> Column:
+    """The text as a variant; null unless the whole text is one JSON value.
+
+    The parser stops after the first value.  Anything behind it cannot close both an array and an
+    object around the text.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    alone = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
+    return F.when(alone & held.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def settled(df: DataFrame, names: list[str]) -> DataFrame:
     """Fixes computed columns as the output of a one-row generator.
 

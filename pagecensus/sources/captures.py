@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagecensus import schemas
 from pagecensus.functions import fixed_values as V
-from pagecensus.functions.columns import declared_charset, lookup, media_type, stripped
+from pagecensus.functions.columns import declared_charset, lookup, media_type, strict_json, stripped
 from pagecensus.functions.content import decoded_content
 
 
@@ -32,7 +32,11 @@ def split_documents(lines: DataFrame, column: str, schema: str) -> tuple[DataFra
     parsed = lines.withColumn(
         "document", F.from_json(F.col(column), f"{schema}, _malformed string", options)
     )
-    malformed = F.col("document").isNull() | F.col("document._malformed").isNotNull()
+    malformed = (
+        F.col("document").isNull()
+        | F.col("document._malformed").isNotNull()
+        | strict_json(F.col(column)).isNull()
+    )
     documents = parsed.where(~malformed).withColumn(
         "document", F.col("document").dropFields("_malformed")
     )
