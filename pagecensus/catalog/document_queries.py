@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gzip
-
 import uuid
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagecensus.catalog import inputs
 from pagecensus.catalog.oracle import CTES, sql_id, sql_quoted
