@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagecensus.functions.url import with_url_identity
 from pagecensus.operators.observation import page_links
+from pagecensus.session import spread
 
 EPOCH = 1767225600  # 2026-01-01T00:00:00Z
 LABELS = ["Kontakt", "Unser Team", "Preise & Tarife", "Impressum", "Blog_News", "Case-Studies", "Zeug"]
@@ -22,7 +23,7 @@ ATTEMPTS = [
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagecensus.functions import fixed_values as V
@@ -26,13 +27,15 @@ def ipv4_number(text: Column) -> Column:
     return F.when(text.rlike(_IPV4) & small, ((a * 256 + b) * 256 + c) * 256 + d)
 
 
-def with_ipv6(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Adds ``out``: the eight groups of the IPv6 text in ``column``; null when it is none.
+Stage = Callable[[str, Column], Column]
 
-    Staged over hidden columns, so that no step repeats the one before it.
+
+def ipv6_groups(stage: Stage, text: Column) -> Column:
+    """The eight groups of an IPv6 text without leading zeros; null when it is none.
+
+    ``stage`` names an intermediate column, so that no step repeats the one before it.
     """
-    plain, left, right = (f"__v6_{name}" for name in ("plain", "left", "right"))
-    text = F.lower(F.col(column))
+    text = stage("v6_source", F.lower(text))
     tail = rf"^(.*:){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\z"
     a, b, c, d = _octets(text, tail, 2)
     dotted = text.rlike(tail) & (a <= 255) & (b <= 255) & (c <= 255) & (d <= 255)
@@ -42,44 +45,38 @@ def with_ipv6(df: DataFrame, column: str, out: str) -> DataFrame:
         F.lit(":"),
         F.lower(F.hex(c * 256 + d)),
     )
-    df = df.withColumn(
-        plain, F.when(~text.contains("."), text).when(dotted, as_groups)
-    )
+    plain = stage("v6_plain", F.when(~text.contains("."), text).when(dotted, as_groups))
 
     def groups(part: Column) -> Column:
         return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
 
-    df = df.withColumns({
-        left: groups(F.substring_index(F.col(plain), "::", 1)),
-        right: groups(F.substring_index(F.col(plain), "::", -1)),
-    })
+    left = stage("v6_left", groups(F.substring_index(plain, "::", 1)))
+    right = stage("v6_right", groups(F.substring_index(plain, "::", -1)))
     missing = F.lit(8) - F.size(left) - F.size(right)
     full = F.when(
-        F.col(plain).rlike(r"^[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}\z"), F.split(F.col(plain), ":")
+        plain.rlike(r"^[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}\z"), F.split(plain, ":")
     ).when(
-        F.col(plain).rlike(rf"^(?:{_GROUPS})?::(?:{_GROUPS})?\z") & (missing >= 1),
-        F.concat(F.col(left), F.array_repeat(F.lit("0"), missing), F.col(right)),
+        plain.rlike(rf"^(?:{_GROUPS})?::(?:{_GROUPS})?\z") & (missing >= 1),
+        F.concat(left, F.array_repeat(F.lit("0"), missing), right),
     )
-    df = df.withColumn(out, F.transform(full, lambda g: F.regexp_replace(g, "^0+(?=.)", "")))
-    return df.drop(plain, left, right)
+    return stage("v6_groups", F.transform(full, lambda g: F.regexp_replace(g, "^0+(?=.)", "")))
 
 
-def with_ipv6_text(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Adds ``out``: the compressed canonical form of the IPv6 text in ``column``."""
-    groups, joined = "__v6_groups", "__v6_joined"
-    df = with_ipv6(df, column, groups).withColumn(joined, F.array_join(groups, ":"))
-    text = F.col(joined)
+def ipv6_text(stage: Stage, text: Column) -> Column:
+    """The compressed canonical form of an IPv6 text; null when it is none."""
+    groups = ipv6_groups(stage, text)
+    joined = stage("v6_joined", F.array_join(groups, ":"))
     high = F.conv(F.get(groups, F.lit(6)), 16, 10).try_cast("int")
     low = F.conv(F.get(groups, F.lit(7)), 16, 10).try_cast("int")
     octets = [F.floor(high / 256), high % 256, F.floor(low / 256), low % 256]
     mapped = F.concat(F.lit("::ffff:"), F.concat_ws(".", *[o.cast("string") for o in octets]))
-    shortest = F.when(text.rlike("^(?:0:){5}ffff:"), mapped)
+    shortest = F.when(joined.rlike("^(?:0:){5}ffff:"), mapped)
     for run in range(8, 1, -1):
         zeros = r"(?<![0-9a-f])0(?::0){%d}(?![0-9a-f])" % (run - 1)
         shortest = shortest.when(
-            text.rlike(zeros), F.regexp_replace(text, rf"^(.*?):?{zeros}:?(.*)\z", "$1::$2")
+            joined.rlike(zeros), F.regexp_replace(joined, rf"^(.*?):?{zeros}:?(.*)\z", "$1::$2")
         )
-    return df.withColumn(out, shortest.otherwise(text)).drop(groups, joined)
+    return stage("v6_text", shortest.otherwise(joined))
 
 
 def ipv6_hex(groups: Column) -> Column:

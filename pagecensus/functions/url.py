@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecensus.functions import fixed_values as V
-from pagecensus.functions.addresses import with_ipv6_text
-from pagecensus.functions.columns import after_first, is_persistable, is_public_origin, settled
+from pagecensus.functions.addresses import ipv6_text
+from pagecensus.functions.columns import after_first, is_persistable, is_public_origin
 
 _FORBIDDEN = rf"[{V.CONTROL_CLASS}{V.UNICODE_SPACE_CLASS}\\]"
 _UNRESERVED = r"^[A-Za-z0-9\-._~]\z"
@@ -101,128 +101,106 @@ def with_url_identity(df: DataFrame, column: str, prefix: str = "") -> DataFrame
 
     Exactly one of key and refusal is null for every written form; a null form has neither.
     """
-    c = {name: f"__id_{name}" for name in (
-        "addressed scheme rest netloc tail path query bracket zone v6 host port authority epath equery key".split()
-    )}
-    col = {name: F.col(hidden) for name, hidden in c.items()}
     raw = F.col(column)
-
-    step = df.withColumn(c["addressed"], F.substring_index(raw, "#", 1))
-    step = step.withColumn(
-        c["scheme"], F.lower(F.regexp_extract(col["addressed"], r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    )
-    step = step.withColumn(
-        c["rest"],
-        F.when(col["scheme"] == "", col["addressed"]).otherwise(
-            F.substring(col["addressed"], F.length(col["scheme"]) + 2, F.length(col["addressed"]))
+    stages: list[Column] = []
+
+    def stage(name: str, value: Column) -> Column:
+        """Adds a hidden column; later stages read it as a lateral alias of the same select."""
+        stages.append(value.alias(f"__id_{name}"))
+        return F.col(f"__id_{name}")
+
+    addressed = stage("addressed", F.substring_index(raw, "#", 1))
+    scheme = stage("scheme", F.lower(F.regexp_extract(addressed, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)))
+    rest = stage(
+        "rest",
+        F.when(scheme == "", addressed).otherwise(
+            F.substring(addressed, F.length(scheme) + 2, F.length(addressed))
         ),
     )
-    step = step.withColumn(c["netloc"], F.regexp_extract(col["rest"], r"^//([^/?#]*)", 1))
-    step = step.withColumn(
-        c["tail"],
+    netloc = stage("netloc", F.regexp_extract(rest, r"^//([^/?#]*)", 1))
+    tail = stage(
+        "tail",
         F.when(
-            col["rest"].startswith("//"),
-            F.substring(col["rest"], F.length(col["netloc"]) + 3, F.length(col["rest"])),
-        ).otherwise(col["rest"]),
+            rest.startswith("//"), F.substring(rest, F.length(netloc) + 3, F.length(rest))
+        ).otherwise(rest),
     )
-    step = step.withColumns({
-        c["path"]: F.substring_index(col["tail"], "?", 1),
-        c["query"]: after_first(col["tail"], "?"),
-        c["bracket"]: F.when(
-            col["netloc"].contains("[") & col["netloc"].contains("]"),
-            F.lower(F.regexp_extract(col["netloc"], r"\[([^\]]*)", 1)),
-        ),
-    })
-    step = step.withColumn(c["zone"], F.regexp_replace(col["bracket"], r"%[^%]+\z", ""))
-    step = with_ipv6_text(step, c["zone"], c["v6"])
+    path = stage("path", F.substring_index(tail, "?", 1))
+    query = stage("query", after_first(tail, "?"))
+    inside = F.regexp_extract(netloc, r"\[([^\]]*)", 1)
+    both = netloc.contains("[") & netloc.contains("]")
+    bracket = stage("bracket", F.when(both, F.lower(inside)))
+    v6 = ipv6_text(stage, F.regexp_replace(bracket, r"%[^%]+\z", ""))
+    future = F.coalesce(inside.rlike(r"^v[a-fA-F0-9]+\..+\z"), F.lit(False))
     unreadable = F.coalesce(
-        (col["netloc"].contains("[") != col["netloc"].contains("]"))
-        | (
-            col["bracket"].isNotNull()
-            & col["v6"].isNull()
-            & ~F.coalesce(
-                F.regexp_extract(col["netloc"], r"\[([^\]]*)", 1).rlike(r"^v[a-fA-F0-9]+\..+\z"),
-                F.lit(False),
-            )
-        )
-        | col["netloc"].rlike(_LOOKALIKE),
+        (netloc.contains("[") != netloc.contains("]"))
+        | (bracket.isNotNull() & v6.isNull() & ~future)
+        | netloc.rlike(_LOOKALIKE),
         F.lit(False),
     )
-    with_port = col["netloc"].rlike(r":[^:\]]*\z")
-    step = step.withColumns({
-        c["host"]: F.lower(
-            F.when(with_port, F.regexp_extract(col["netloc"], r"^(.*):[^:\]]*\z", 1)).otherwise(
-                col["netloc"]
-            )
-        ),
-        c["port"]: F.when(
-            with_port, F.regexp_extract(col["netloc"], r":([^:\]]*)\z", 1)
-        ).otherwise(""),
-    })
-    bracketed = col["host"].startswith("[") | col["host"].endswith("]")
-    host = (
-        F.when((col["host"] == "") | col["netloc"].rlike("[%@]"), None)
+    with_port = netloc.rlike(r":[^:\]]*\z")
+    written_host = stage(
+        "host",
+        F.lower(F.when(with_port, F.regexp_extract(netloc, r"^(.*):[^:\]]*\z", 1)).otherwise(netloc)),
+    )
+    port = stage("port", F.when(with_port, F.regexp_extract(netloc, r":([^:\]]*)\z", 1)).otherwise(""))
+    bracketed = written_host.startswith("[") | written_host.endswith("]")
+    host = stage(
+        "usable_host",
+        F.when((written_host == "") | netloc.rlike("[%@]"), None)
         .when(
             bracketed,
             F.when(
-                col["host"] == F.concat(F.lit("["), col["bracket"], F.lit("]")),
-                F.concat(F.lit("["), col["v6"], F.lit("]")),
+                written_host == F.concat(F.lit("["), bracket, F.lit("]")),
+                F.concat(F.lit("["), v6, F.lit("]")),
             ),
         )
-        .when(col["host"].contains(":"), None)
-        .otherwise(col["host"])
+        .when(written_host.contains(":"), None)
+        .otherwise(written_host),
     )
-    digits = F.regexp_replace(col["port"], "^0+", "")
-    number = F.when(
-        col["port"].rlike(r"^[0-9]+\z") & F.length(digits).between(1, 5), digits.try_cast("int")
+    digits = F.regexp_replace(port, "^0+", "")
+    number = stage(
+        "number",
+        F.when(port.rlike(r"^[0-9]+\z") & F.length(digits).between(1, 5), digits.try_cast("int")),
     )
-    default_port = F.when(col["scheme"] == "https", 443).when(col["scheme"] == "http", 80)
-    step = step.withColumns({
-        c["authority"]: F.when(col["port"] == "", host)
-        .when(number == default_port, host)
+    default_port = F.when(scheme == "https", 443).when(scheme == "http", 80)
+    authority = stage(
+        "authority",
+        F.when((port == "") | (number == default_port), host)
         .when(number.between(1, 65535), F.concat(host, F.lit(":"), number.cast("string"))),
-        c["epath"]: _normal_escapes(col["path"]),
-        c["equery"]: _normal_escapes(col["query"]),
-    })
-    step = step.withColumns({
-        c["epath"]: F.when(col["epath"] == "", "/").otherwise(_without_dot_segments(col["epath"])),
-        c["equery"]: _without_tracking(col["equery"]),
-    })
-    step = step.withColumns({
-        c["epath"]: _percent_encoded(col["epath"], _PATH_SAFE),
-        c["equery"]: _percent_encoded(col["equery"], _QUERY_SAFE),
-    })
-    step = step.withColumn(
-        c["key"],
+    )
+    plain_path = stage("plain_path", _normal_escapes(path))
+    flat_path = stage(
+        "flat_path", F.when(plain_path == "", "/").otherwise(_without_dot_segments(plain_path))
+    )
+    plain_query = stage("plain_query", _normal_escapes(query))
+    kept_query = stage("kept_query", _without_tracking(plain_query))
+    key_query = stage("key_query", _percent_encoded(kept_query, _QUERY_SAFE))
+    key = stage(
+        "key",
         F.concat(
-            col["scheme"],
-            F.lit("://"),
-            col["authority"],
-            col["epath"],
-            F.when(col["equery"] == "", "").otherwise(F.concat(F.lit("?"), col["equery"])),
+            scheme, F.lit("://"), authority, _percent_encoded(flat_path, _PATH_SAFE),
+            F.when(key_query == "", "").otherwise(F.concat(F.lit("?"), key_query)),
         ),
     )
-    stray = F.concat_ws("?", col["path"], col["query"]).rlike("%(?![0-9A-Fa-f]{2})")
-    step = step.withColumn(
-        f"{prefix}url_refusal",
+    stray = F.concat_ws("?", path, query).rlike("%(?![0-9A-Fa-f]{2})")
+    refusal = stage(
+        "refusal",
         F.when(raw.isNull(), None)
         .when(F.length(raw) > V.MAX_URL_LENGTH, "TOO_LONG")
-        .when(col["addressed"].rlike(_FORBIDDEN), "FORBIDDEN_CHARACTER")
+        .when(addressed.rlike(_FORBIDDEN), "FORBIDDEN_CHARACTER")
         .when(unreadable, "MALFORMED")
-        .when(~col["scheme"].isin(list(V.DEFAULT_PORTS)), "NOT_ABSOLUTE_HTTP")
-        .when(col["netloc"].contains("@"), "CREDENTIALS_PRESENT")
-        .when(col["authority"].isNull(), "UNUSABLE_AUTHORITY")
+        .when(~scheme.isin(list(V.DEFAULT_PORTS)), "NOT_ABSOLUTE_HTTP")
+        .when(netloc.contains("@"), "CREDENTIALS_PRESENT")
+        .when(authority.isNull(), "UNUSABLE_AUTHORITY")
         .when(stray, "MALFORMED")
-        .when(~is_persistable(col["key"]), "TOO_LONG"),
-    )
-    step = step.withColumn(
-        f"{prefix}url_key",
-        F.when(raw.isNotNull() & F.col(f"{prefix}url_refusal").isNull(), col["key"]),
-    )
-    step = step.withColumn(f"{prefix}origin", origin_of(F.col(f"{prefix}url_key")))
-    return settled(
-        step.drop(*c.values()), [f"{prefix}url_key", f"{prefix}url_refusal", f"{prefix}origin"]
+        .when(~is_persistable(key), "TOO_LONG"),
     )
+    accepted = stage("accepted", F.when(raw.isNotNull() & refusal.isNull(), key))
+    origin = stage("origin", origin_of(accepted))
+    outputs = {f"{prefix}url_key": accepted, f"{prefix}url_refusal": refusal, f"{prefix}origin": origin}
+    kept = [c for c in df.columns if c not in outputs]
+    found = F.inline(F.array(F.struct(*[value.alias(name) for name, value in outputs.items()])))
+    return df.select(*kept, *stages).select(*kept, found)
 
 
 def origin_of(url_key: Column) -> Column:

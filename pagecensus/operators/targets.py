@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.addresses import (
-    ipv4_number, ipv6_hex, is_public_hex, is_public_number, with_ipv6,
+    ipv4_number, ipv6_groups, ipv6_hex, is_public_hex, is_public_number,
 )
 from pagecensus.functions.columns import settled, stripped
 from pagecensus.functions.content import joined_urls
@@ -19,23 +19,26 @@ def with_public_flag(df: DataFrame, column: str) -> DataFrame:
 
     The ranges are literals in the expression, so nothing is joined.
     """
-    step = df.withColumn("__plain", F.regexp_replace(F.col(column), r"%[^%]+\z", ""))
-    step = with_ipv6(step, "__plain", "__groups").withColumn("__hex", ipv6_hex(F.col("__groups")))
+    stages: list[Column] = []
+
+    def stage(name: str, value: Column) -> Column:
+        stages.append(value.alias(f"__{name}"))
+        return F.col(f"__{name}")
+
+    groups = ipv6_groups(stage, F.regexp_replace(F.col(column), r"%[^%]+\z", ""))
+    digits = stage("hex", ipv6_hex(groups))
     mapped = F.when(
-        F.col("__hex").startswith("0" * 20 + "ffff"),
-        F.conv(F.substring("__hex", 25, 8), 16, 10).try_cast("bigint"),
+        digits.startswith("0" * 20 + "ffff"),
+        F.conv(F.substring(digits, 25, 8), 16, 10).try_cast("bigint"),
     )
-    step = step.withColumn("__number", F.coalesce(ipv4_number(F.col(column)), mapped))
-    step = step.withColumns({
-        "is_address": F.col("__number").isNotNull() | F.col("__hex").isNotNull(),
-        "is_public": F.coalesce(
-            F.when(F.col("__number").isNotNull(), is_public_number(F.col("__number"))).otherwise(
-                is_public_hex(F.col("__hex"))
-            ),
-            F.lit(False),
-        ),
-    })
-    return settled(step.drop("__plain", "__groups", "__hex", "__number"), ["is_address", "is_public"])
+    number = stage("number", F.coalesce(ipv4_number(F.col(column)), mapped))
+    public = F.when(number.isNotNull(), is_public_number(number)).otherwise(is_public_hex(digits))
+    flags = F.struct(
+        (number.isNotNull() | digits.isNotNull()).alias("is_address"),
+        F.coalesce(public, F.lit(False)).alias("is_public"),
+    )
+    kept = df.columns
+    return df.select("*", *stages).select(*kept, F.inline(F.array(flags)))
 
 
 def admissible_targets(targets: DataFrame, resolutions: DataFrame) -> DataFrame:

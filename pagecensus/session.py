@@ -27,6 +27,8 @@ def local_session(cpus: int | str = "*", app: str = "pagecensus") -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cpus) if cpus != "*" else "8")
+        # Test tables are tiny: without this AQE would put CPU-bound work into one partition.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     )
     for name, value in SETTINGS.items():
@@ -56,3 +58,12 @@ def materialised(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files give fewer partitions than that.
+
+    Only a small input is moved: files of any size beyond have more splits than there are cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
