@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagecensus.functions.html import page_reader
 from pagecensus.functions.url import with_url_identity
-from pagecensus.operators.observation import page_links
 from pagecensus.session import spread
 
 EPOCH = 1767225600  # 2026-01-01T00:00:00Z
@@ -130,8 +130,8 @@ def link_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every source wrote about every site."""
-    rows = site_pages(spark, sf_dir).drop("html")
-    none = F.lit(None).cast("string")
+    read = page_reader(True)(F.encode("html", "UTF-8"), F.lit("utf-8"), F.col("url"))
+    rows = site_pages(spark, sf_dir).withColumn("__links", read["links"]).drop("html")
     page_id = F.col("page_id").cast("string")
     menu = _by_id(
         3,
@@ -143,20 +143,21 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://cdn.example.com/a/"), page_id),
     )
     label = F.get(F.array(*[F.lit(x) for x in LABELS]), (F.col("page_id") % len(LABELS)).cast("int"))
-    written = F.array(
-        F.struct(F.lit("CANONICAL_SEED").alias("source_id"), F.col("site").alias("form"), none.alias("label")),
-        F.struct(F.lit("PAGE_CAPTURE").alias("source_id"), F.col("url").alias("form"), none.alias("label")),
-        F.struct(F.lit("MENU_ENTRY").alias("source_id"), menu.alias("form"), label.alias("label")),
-        F.struct(F.lit("ASSET_REFERENCE").alias("source_id"), asset.alias("form"), none.alias("label")),
-    )
-    direct = rows.select("run_id", "site", F.explode(written).alias("w")).select(
-        "run_id", "site", F.col("w.form").alias("observed_form"), "w.source_id", "w.label"
+
+    def written(source: str, form: Column, text: Column | None = None) -> Column:
+        text = F.lit(None) if text is None else text
+        return F.struct(
+            F.lit(source).alias("source_id"), form.alias("observed_form"), text.cast("string").alias("label")
+        )
+
+    direct = F.array(
+        written("CANONICAL_SEED", F.col("site")), written("PAGE_CAPTURE", F.col("url")),
+        written("MENU_ENTRY", menu, label), written("ASSET_REFERENCE", asset),
     )
-    links = page_links(link_captures(spark, sf_dir)).select(
-        "run_id", "site", F.col("href").alias("observed_form"),
-        F.lit("SAME_ORIGIN_PAGE_LINKS").alias("source_id"), "label",
+    links = F.transform("__links", lambda x: written("SAME_ORIGIN_PAGE_LINKS", x["href"], x["label"]))
+    return rows.select("run_id", "site", F.inline(F.concat(direct, links))).select(
+        "run_id", "site", "observed_form", "source_id", "label"
     )
-    return direct.unionByName(links)
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,37 +16,31 @@ def checked_budget(budget: int | None) -> int | None:
     return budget
 
 
-def runs_without_seed(candidates: DataFrame) -> DataFrame:
-    """Runs whose inventory offers no eligible seed; nothing may be planned for them."""
-    is_seed = (F.col("url_key") == F.col("site")) & (F.col("eligibility_state") == "ELIGIBLE")
-    return (
-        candidates.groupBy("run_id").agg(F.max(is_seed).alias("has_seed")).where("not has_seed")
-        .select("run_id")
-    )
-
-
 def selections(candidates: DataFrame, budget: int | None = None) -> DataFrame:
     """Seed first, then ascending key, up to the budget.
 
     With a budget the rank filter becomes a group limit ahead of the shuffle, so no site sends more
-    than ``budget`` rows per task.  Without one, positions are computed over ranges.
+    than ``budget`` rows per task.  Without one, positions are computed over ranges.  A run whose
+    inventory offers no eligible seed plans nothing.
     """
     checked_budget(budget)
     eligible = candidates.where("eligibility_state = 'ELIGIBLE'").withColumn(
         "__after_seed", F.col("url_key") != F.col("site")
     )
+    rank, after_seed = F.col("selection_rank"), F.col("__after_seed")
     if budget is None:
-        ranked = with_position(
-            eligible, ["run_id"], [F.col("__after_seed"), F.col("url_key")], "selection_rank"
-        )
+        ranked = with_position(eligible, ["run_id"], [after_seed, F.col("url_key")], "selection_rank")
+        headless = ranked.where((rank == 1) & after_seed).select("run_id")
+        ranked = ranked.join(headless, "run_id", "left_anti")
     else:
-        order = Window.partitionBy("run_id").orderBy("__after_seed", "url_key")
-        ranked = eligible.withColumn("selection_rank", F.row_number().over(order)).where(
-            F.col("selection_rank") <= budget
-        )
-    return ranked.join(runs_without_seed(candidates), "run_id", "left_anti").select(
-        "run_id", "site", "url_key", F.col("selection_rank").cast("bigint").alias("selection_rank"),
-        F.when(F.col("__after_seed"), "CENSUS").otherwise("SEED").alias("selection_reason"),
+        whole = Window.partitionBy("run_id")
+        order = whole.orderBy("__after_seed", "url_key")
+        ranked = eligible.withColumn("selection_rank", F.row_number().over(order)).where(rank <= budget)
+        # The seed sorts first, so a run without one shows within the few rows that are left.
+        ranked = ranked.withColumn("__headless", F.min(after_seed).over(whole)).where("not __headless")
+    return ranked.select(
+        "run_id", "site", "url_key", rank.cast("bigint").alias("selection_rank"),
+        F.when(after_seed, "CENSUS").otherwise("SEED").alias("selection_reason"),
         F.coalesce("page_type", F.lit(V.UNCLASSIFIED)).alias("stratum"),
     )
 
