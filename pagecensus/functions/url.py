@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.addresses import ipv6_text
-from pagecensus.functions.columns import after_first, is_persistable, is_public_origin
+from pagecensus.functions.columns import after_first, is_persistable, is_plain, is_public_origin
 
 _FORBIDDEN = rf"[{V.CONTROL_CLASS}{V.UNICODE_SPACE_CLASS}\\]"
+# The printable ASCII characters that may not appear raw in a path or a query.
+_UNSAFE = r'["<>\[\\\]^`{|}]'
 _UNRESERVED = r"^[A-Za-z0-9\-._~]\z"
 _PATH_SAFE = r"A-Za-z0-9\-._~/!$&'()*+,;=:@%"
 _QUERY_SAFE = _PATH_SAFE + "?"
@@ -83,15 +85,15 @@ def _without_tracking(query: Column) -> Column:
     )
 
 
-def _percent_encoded(text: Column, safe: str) -> Column:
-    """Everything outside ``safe`` as escaped UTF-8 bytes."""
+def _percent_encoded(text: Column, safe: str, plain: Column) -> Column:
+    """Everything outside ``safe`` as escaped UTF-8 bytes; ``plain`` text rarely needs any."""
 
     def piece(p: Column) -> Column:
         escaped = F.regexp_replace(F.hex(F.encode(p, "UTF-8")), "(..)", "%$1")
         return F.when(p.rlike(f"^[{safe}]"), p).otherwise(escaped)
 
     pieces = F.regexp_extract_all(text, F.lit(f"([{safe}]+|[^{safe}])"), F.lit(1))
-    return F.when(text.rlike(f"^[{safe}]*\\z"), text).otherwise(
+    return F.when(plain & ~text.rlike(_UNSAFE), text).otherwise(
         F.array_join(F.transform(pieces, piece), "")
     )
 
@@ -110,6 +112,7 @@ def with_url_identity(df: DataFrame, column: str, prefix: str = "") -> DataFrame
         return F.col(f"__id_{name}")
 
     addressed = stage("addressed", F.substring_index(raw, "#", 1))
+    plain = stage("plain", is_plain(addressed))
     scheme = stage("scheme", F.lower(F.regexp_extract(addressed, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)))
     rest = stage(
         "rest",
@@ -134,7 +137,7 @@ def with_url_identity(df: DataFrame, column: str, prefix: str = "") -> DataFrame
     unreadable = F.coalesce(
         (netloc.contains("[") != netloc.contains("]"))
         | (bracket.isNotNull() & v6.isNull() & ~future)
-        | netloc.rlike(_LOOKALIKE),
+        | F.when(plain, F.lit(False)).otherwise(netloc.rlike(_LOOKALIKE)),
         F.lit(False),
     )
     with_port = netloc.rlike(r":[^:\]]*\z")
@@ -174,11 +177,11 @@ def with_url_identity(df: DataFrame, column: str, prefix: str = "") -> DataFrame
     )
     plain_query = stage("plain_query", _normal_escapes(query))
     kept_query = stage("kept_query", _without_tracking(plain_query))
-    key_query = stage("key_query", _percent_encoded(kept_query, _QUERY_SAFE))
+    key_query = stage("key_query", _percent_encoded(kept_query, _QUERY_SAFE, plain))
     key = stage(
         "key",
         F.concat(
-            scheme, F.lit("://"), authority, _percent_encoded(flat_path, _PATH_SAFE),
+            scheme, F.lit("://"), authority, _percent_encoded(flat_path, _PATH_SAFE, plain),
             F.when(key_query == "", "").otherwise(F.concat(F.lit("?"), key_query)),
         ),
     )
@@ -187,7 +190,10 @@ def with_url_identity(df: DataFrame, column: str, prefix: str = "") -> DataFrame
         "refusal",
         F.when(raw.isNull(), None)
         .when(F.length(raw) > V.MAX_URL_LENGTH, "TOO_LONG")
-        .when(addressed.rlike(_FORBIDDEN), "FORBIDDEN_CHARACTER")
+        .when(
+            F.when(plain, addressed.contains("\\")).otherwise(addressed.rlike(_FORBIDDEN)),
+            "FORBIDDEN_CHARACTER",
+        )
         .when(unreadable, "MALFORMED")
         .when(~scheme.isin(list(V.DEFAULT_PORTS)), "NOT_ABSOLUTE_HTTP")
         .when(netloc.contains("@"), "CREDENTIALS_PRESENT")
