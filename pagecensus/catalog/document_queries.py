@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagecensus.catalog import inputs
-from pagecensus.catalog.oracle import CTES, sql_id, sql_quoted
+from pagecensus.catalog.oracle import CTES, _candidate_json, sql_id, sql_quoted
 from pagecensus.catalog.queries import (
     _RECORDS, _acquisition, _discovery, joined, register,
 )
 from pagecensus.catalog.quality_queries import _page_documents
 from pagecensus.functions import fixed_values as V
 from pagecensus.operators import digests, receipts
+from pagecensus.operators.measurements import measurements
 from pagecensus.operators.quality import documents as rules
+from pagecensus.plans.acquisition import observed_captures
 from pagecensus.session import ensure_checkpoint_dir, materialised
 from pagecensus.sources import bundle
 from pagecensus.sources.captures import normalise_captures, split_documents
@@ -110,15 +112,80 @@ def dq_admission(spark, sf_dir):
     return rules.admission(manifests, inventories, selections, receipts.reproduced_digests(found))
 
 
-@register("inventory_documents", """SELECT run_id, CAST(substr(output_digest, 8) AS VARCHAR) AS text_digest FROM inventories""")
+def _characters(fragments):
+    """The length of every assembled document, over all its parts."""
+    return digests.document_texts(fragments).groupBy(F.col("doc_id").alias("run_id")).agg(
+        F.sum(F.length("text")).alias("characters")
+    )
+
+
+# An inventory is the digested text plus its envelope, whose members have known lengths.
+CTES["inventory_texts"] = f"""SELECT c.run_id, length('{{"candidates":[' || items || '],"classifier":"{V.CLASSIFIER}","classifier_version":"1.0.0",'
+    || '"discovery_method":"{V.DISCOVERY_METHOD}","discovery_method_version":"1.0.0","generated_at":"' || r.generated_at || '","input_digest":"'
+    || i.input_digest || '","inventory_id":"' || i.inventory_id || '","output_digest":"' || i.output_digest || '","run_id":"' || c.run_id
+    || '","schema_version":"1.0.0","sources":[' || items2 || '],"target_origin":"' || c.site || '"}}') AS characters
+    FROM (SELECT run_id, site, string_agg({_candidate_json()}, ',') AS items FROM candidates GROUP BY run_id, site) c
+    JOIN (SELECT run_id, string_agg('{{"candidate_count":' || candidate_count || ',"outcome":"' || outcome || '","source_id":"' || source_id || '"}}', ',') AS items2
+      FROM counts GROUP BY run_id) s USING (run_id) JOIN inventories i USING (run_id) JOIN runs r USING (run_id)"""
+CTES["manifest_texts"] = """SELECT m.run_id, length('{"budgets":{"max_selected_pages":5},"exclusions":[' || coalesce(e.items, '') || '],"generated_at":"' || r.generated_at || '"'
+    || CASE WHEN m.incompleteness_cause IS NULL THEN '' ELSE ',"incompleteness":{"cause":"' || m.incompleteness_cause || '"}' END
+    || ',"input_digest":"' || m.input_digest || '","inventory_output_digest":"' || m.inventory_output_digest || '","inventory_ref":"' || m.inventory_ref
+    || '","mode":"CENSUS","output_digest":"' || m.output_digest || '","policy_id":"CENSUS_FIRST_DETERMINISTIC","policy_version":"1.0.0","run_id":"' || m.run_id
+    || '","sampling_manifest_id":"' || m.sampling_manifest_id || '","schema_version":"1.0.0","selection_complete":' || m.selection_complete
+    || ',"selections":[' || x.items || ']}') AS characters
+    FROM b_manifests m JOIN runs r USING (run_id)
+    LEFT JOIN (SELECT run_id, string_agg('{"candidate_count":' || candidate_count || ',"reason":"' || reason || '"}', ',') AS items FROM b_exclusions GROUP BY run_id) e USING (run_id)
+    JOIN (SELECT run_id, string_agg('{"selection_rank":' || selection_rank || ',"selection_reason":"' || selection_reason || '","stratum":"' || stratum
+      || '","url_key":"' || url_key || '"}', ',') AS items FROM b_selections GROUP BY run_id) x USING (run_id)"""
+
+
+@register("inventory_documents", "SELECT run_id, CAST(characters AS BIGINT) AS characters FROM inventory_texts")
 def inventory_documents(spark, sf_dir):
-    """The canonical inventory texts; small ones are one part, whose hash is the digest."""
     found = _discovery(spark, sf_dir)
-    fragments = digests.inventory_fragments(
-        inputs.runs(spark, sf_dir), found.candidates, found.forms, found.sources, found.attempts
+    headers = found.inventories.withColumn("site", F.col("target_origin"))
+    return _characters(
+        digests.inventory_fragments(headers, found.candidates, found.forms, found.sources, found.attempts, whole=True)
+    )
+
+
+@register("manifest_documents", "SELECT run_id, CAST(characters AS BIGINT) AS characters FROM manifest_texts")
+def manifest_documents(spark, sf_dir):
+    found = _discovery(spark, sf_dir)
+    return _characters(digests.whole_manifest_fragments(found.manifests, found.selections, found.exclusions))
+
+
+@register("receipt_differences", """SELECT run_id, 'receipt' AS document_type, 'missing' AS problem FROM records WHERE http_status = 404
+    UNION ALL SELECT run_id, 'receipt', 'unexpected' FROM records WHERE http_status = 404""")
+def receipt_differences(spark, sf_dir):
+    """Receipts whose status was changed, against the ones the documents determine."""
+    found, got = _acquisition(spark, sf_dir)
+    derived = materialised(receipts.page_receipts(got.records, found.selections, got.measurements, got.evidence))
+    stated = derived.withColumn("http_status", F.when(F.col("http_status") == 404, 200).otherwise(F.col("http_status")))
+    return bundle.differences(derived, stated, "receipt")
+
+
+@register("refused_final_urls", f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'WITHHELD' WHEN 1 THEN 'NO_RESPONSE' ELSE 'READ' END AS document_status,
+    CASE page_id % 3 WHEN 1 THEN 'INVALID_REDIRECT' ELSE 'RESPONSE_RECEIVED' END AS acquisition_outcome,
+    CASE page_id % 3 WHEN 0 THEN '{V.WITHHELD_REASON}' END AS withheld_reason, CAST(CASE page_id % 3 WHEN 0 THEN 0 ELSE 13 END AS BIGINT) AS measurements
+    FROM pages""")
+def refused_final_urls(spark, sf_dir):
+    """Responses whose final URL no document can carry, or that has no identity."""
+    pid = F.col("page_id")
+    final = F.when(pid % 3 == 0, F.concat("url", F.lit("#a b"))).when(
+        pid % 3 == 1, F.replace("url", F.lit("://"), F.lit("://u@"))
+    ).otherwise(F.col("url"))
+    rows = inputs.site_pages(spark, sf_dir).select(
+        pid.cast("string").alias("run_id"), "site", F.col("url").alias("requested_url"),
+        F.lit(None).cast("string").alias("failure_kind"), final.alias("final_url"), F.lit(200).alias("status_code"),
+        F.lit("text/html").alias("content_type"), F.array().cast("array<string>").alias("x_robots_tag"), F.lit(True).alias("is_https"),
+        F.lit(0).alias("redirect_count"), F.encode("html", "UTF-8").alias("body"), F.lit(False).alias("truncated"),
+        F.lit(False).alias("undecodable"), F.lit("utf-8").alias("declared_charset"), F.timestamp_seconds(pid).alias("captured_at"),
     )
-    return digests.document_texts(fragments).select(
-        F.col("doc_id").alias("run_id"), F.sha2("text", 256).alias("text_digest")
+    observed = materialised(observed_captures(rows))
+    counted = measurements(observed).groupBy("run_id").agg(F.count("*").alias("measurements"))
+    return observed.join(counted, "run_id", "left").select(
+        F.col("run_id").cast("bigint").alias("page_id"), "document_status", "acquisition_outcome", "withheld_reason",
+        F.coalesce("measurements", F.lit(0)).alias("measurements"),
     )
 
 

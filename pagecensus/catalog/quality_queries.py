@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagecensus.catalog import inputs
@@ -12,6 +11,7 @@ from pagecensus.functions import fixed_values as V
 from pagecensus.operators import lifecycle
 from pagecensus.operators import quality
 from pagecensus.operators.quality import documents as rules
+from pagecensus.operators.ranking import with_position
 from pagecensus.session import materialised
 
 SOURCES = [
@@ -22,12 +22,10 @@ SOURCES = [
 
 def _placed(spark, sf_dir):
     """Every page with its place in its site's document."""
-    by_site = Window.partitionBy("run_id").orderBy("page_id")
-    whole = Window.partitionBy("run_id")
-    return inputs.site_pages(spark, sf_dir).drop("html").withColumns({
-        "pos": (F.row_number().over(by_site) - 1).cast("bigint"),
-        "n": F.count("*").over(whole), "first_id": F.min("page_id").over(whole),
-    })
+    rows = inputs.site_pages(spark, sf_dir).drop("html")
+    sizes = rows.groupBy("run_id").agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
+    placed = with_position(rows, ["run_id"], [F.col("page_id")], "place")
+    return placed.join(sizes, "run_id").withColumn("pos", F.col("place") - 1).drop("place")
 
 
 def _broken(spark, sf_dir):

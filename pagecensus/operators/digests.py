@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagecensus.functions import fixed_values as V
-from pagecensus.functions.columns import digest_text, stable_id
+from pagecensus.functions.columns import digest_text, instant, stable_id
 
 PLACE = ["section", "key1", "part", "key2", "key3"]
 
@@ -67,10 +67,31 @@ def observation_fragments(admitted: DataFrame) -> DataFrame:
     ])
 
 
+def _members(names: list[str]) -> Column:
+    """Members of a document as JSON text in the given order, without braces."""
+    columns = [
+        F.lit(V.SCHEMA_VERSION).alias(n) if n == "schema_version"
+        else instant(F.col(n)).alias(n) if n == "generated_at"
+        else F.col(n)
+        for n in names
+    ]
+    wrapped = F.to_json(F.struct(*columns))
+    return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+
+
+_INVENTORY_ENVELOPE = [
+    "generated_at", "input_digest", "inventory_id", "output_digest", "run_id", "schema_version",
+]
+
+
 def inventory_fragments(
-    runs: DataFrame, candidates: DataFrame, forms: DataFrame, sources: DataFrame, attempts: DataFrame
+    runs: DataFrame, candidates: DataFrame, forms: DataFrame, sources: DataFrame, attempts: DataFrame,
+    whole: bool = False,
 ) -> DataFrame:
-    """The digested part of each inventory.  ``attempts`` carries the candidate counts."""
+    """The digested part of each inventory.  ``attempts`` carries the candidate counts.
+
+    With ``whole``, ``runs`` are inventory headers and the envelope and digests are part of the text.
+    """
     key = F.col("url_key")
     eligibility = F.to_json(
         F.struct("exclusion_reason", F.col("eligibility_state").alias("state"))
@@ -84,8 +105,10 @@ def inventory_fragments(
     method = (
         f'],"classifier":"{V.CLASSIFIER}","classifier_version":"{V.CLASSIFIER_VERSION}",'
         f'"discovery_method":"{V.DISCOVERY_METHOD}",'
-        f'"discovery_method_version":"{V.DISCOVERY_METHOD_VERSION}","sources":['
+        f'"discovery_method_version":"{V.DISCOVERY_METHOD_VERSION}",'
     )
+    envelope = [_members(_INVENTORY_ENVELOPE), F.lit(",")] if whole else []
+    method = F.concat(F.lit(method), *envelope, F.lit('"sources":['))
     source = F.to_json(F.struct("candidate_count", "outcome", "source_id"))
     target = F.concat(F.lit('],"target_origin":'), quoted(F.col("site")), F.lit("}"))
     return _union([
@@ -95,7 +118,7 @@ def inventory_fragments(
         _fragments(candidates, *_piece(1, "M", middle, key, 2)),
         _fragments(sources, *_piece(1, "I", quoted(F.col("source_id")), key, 3, F.col("source_id"))),
         _fragments(candidates, *_piece(1, "M", closing, key, 4)),
-        _fragments(runs, *_piece(2, "L", F.lit(method))),
+        _fragments(runs, *_piece(2, "L", method)),
         _fragments(attempts, *_piece(3, "O", source, F.col("source_id"))),
         _fragments(runs, *_piece(4, "L", target)),
     ])
@@ -122,6 +145,37 @@ def manifest_fragments(summary: DataFrame, selections: DataFrame, exclusions: Da
     ])
 
 
+_MANIFEST_ENVELOPE = [
+    "input_digest", "inventory_output_digest", "inventory_ref", "mode", "output_digest", "policy_id",
+    "policy_version", "run_id", "sampling_manifest_id", "schema_version", "selection_complete",
+]
+
+
+def whole_manifest_fragments(manifests: DataFrame, selections: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """Each manifest document with its envelope, budget and digests."""
+    opening = F.when(
+        F.col("max_selected_pages").isNotNull(),
+        F.concat(F.lit('{"budgets":'), F.to_json(F.struct("max_selected_pages")), F.lit(',"exclusions":[')),
+    ).otherwise('{"exclusions":[')
+    cause = F.when(
+        F.col("incompleteness_cause").isNotNull(),
+        F.concat(F.lit(',"incompleteness":{"cause":'), quoted(F.col("incompleteness_cause")), F.lit("}")),
+    ).otherwise("")
+    middle = F.concat(
+        F.lit("],"), _members(["generated_at"]), cause, F.lit(","), _members(_MANIFEST_ENVELOPE),
+        F.lit(',"selections":['),
+    )
+    exclusion = F.to_json(F.struct("candidate_count", "reason"))
+    selection = F.to_json(F.struct("selection_rank", "selection_reason", "stratum", "url_key"))
+    return _union([
+        _fragments(manifests, *_piece(0, "L", opening)),
+        _fragments(exclusions, *_piece(1, "O", exclusion, F.col("reason"))),
+        _fragments(manifests, *_piece(2, "L", middle)),
+        _fragments(selections, *_piece(3, "O", selection, rank_key(F.col("selection_rank")))),
+        _fragments(manifests, *_piece(4, "L", F.lit("]}"))),
+    ])
+
+
 def rank_key(rank: Column) -> Column:
     """A rank as text whose order is the rank order."""
     return F.lpad(rank.cast("string"), 19, "0")

@@ -17,13 +17,17 @@ from pagecensus.functions.indexability import combined_verdict, header_verdict,
 from pagecensus.functions.url import with_url_identity
 
 
-def with_acquisition_outcome(captures: DataFrame) -> DataFrame:
-    """A response whose final URL has no identity is an invalid redirect and carries no response."""
+def with_acquisition_outcome(captures: DataFrame, strict: bool = True) -> DataFrame:
+    """A response whose final URL has no identity is an invalid redirect and carries no response.
+
+    The homepage profile is not strict: it reports the response under the URL it came from.
+    """
     keyed = with_url_identity(captures, "final_url", "final_").drop("final_url_refusal", "final_origin")
     keyed = keyed.withColumn(
         "failure_kind",
         F.coalesce(
-            "failure_kind", F.when(F.col("final_url_key").isNull(), F.lit("INVALID_REDIRECT"))
+            "failure_kind",
+            F.when(F.col("final_url_key").isNull() & F.lit(strict), F.lit("INVALID_REDIRECT")),
         ),
     )
     answered = F.col("failure_kind").isNull()
@@ -71,7 +75,7 @@ def observe_pages(
     Only bodies that are documents reach the parser; every other row sends a null.
     The homepage profile also reads the document of an error response.
     """
-    df = with_withheld_reason(with_acquisition_outcome(captures), requested)
+    df = with_withheld_reason(with_acquisition_outcome(captures, not homepage), requested)
     if homepage:
         df = df.withColumn("withheld_reason", F.lit(None).cast("string"))
     df = df.withColumn("document_status", _status_before_reading(homepage))

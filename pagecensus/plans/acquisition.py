@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pagecensus.functions.url import with_url_identity
 from pagecensus.operators import measurements as m
@@ -48,10 +47,3 @@ def analyse_homepages(captures: DataFrame) -> HomepageAnalysis:
     measured = materialised(m.measurements(observed, requested="requested_url", homepage=True))
     mirrored = m.evidence(measured, homepage=True)
     return HomepageAnalysis(observed, measured, mirrored, findings(mirrored, measured))
-
-
-def document_set(measured: DataFrame, selections: DataFrame) -> DataFrame:
-    """Measurements with the selection rank of their page, for ordered output."""
-    return measured.join(
-        selections.select("run_id", "url_key", "selection_rank"), ["run_id", "url_key"]
-    ).orderBy("run_id", "selection_rank", F.col("measurement_no"))

@@ -119,15 +119,5 @@ def rule_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def vocabulary_dimension(spark: SparkSession) -> DataFrame:
-    """Page types with their words, in test order."""
-    rows = [
-        (no, page_type, word)
-        for no, (page_type, listed) in enumerate(V.PAGE_TYPE_WORDS.items(), start=1)
-        for word in listed
-    ]
-    return spark.createDataFrame(rows, "type_no int, page_type string, word string")
-
-
 def transition_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(V.LEGAL_TRANSITIONS, "from_state string, to_state string")

@@ -13,6 +13,7 @@ from pagecensus.functions import fixed_values as V
 from pagecensus.operators import census, digests, inventory, lifecycle
 from pagecensus.operators.findings import findings
 from pagecensus.operators.quality import problems, repeats
+from pagecensus.operators.quality.structure import structural_violations
 from pagecensus.operators.ranking import with_position
 from pagecensus.plans.acquisition import acquire, observed_captures
 from pagecensus.plans.discovery import discover
@@ -122,6 +123,21 @@ def test_digests_do_not_depend_on_order_and_match_json(spark):
     assert "".join(r.text for r in parts.orderBy("part_no").collect()) == text
 
 
+def test_assembled_documents_satisfy_their_structure(spark):
+    found = whole(spark, OBSERVED)
+    headers = found.inventories.withColumn("site", F.col("target_origin"))
+    texts = {
+        "site-inventory": digests.inventory_fragments(
+            headers, found.candidates, found.forms, found.sources, found.attempts, whole=True
+        ),
+        "sampling-manifest": digests.whole_manifest_fragments(found.manifests, found.selections, found.exclusions),
+    }
+    for contract, fragments in texts.items():
+        text = digests.document_texts(fragments).select(F.col("doc_id").alias("run_id"), "text")
+        assert json.loads(text.first().text)["schema_version"] == "1.0.0"
+        assert structural_violations(text, contract).collect() == []
+
+
 def capture(url, **given):
     base = {
         "run_id": "r1", "site": SITE, "requested_url": url, "failure_kind": None, "final_url": url, "status_code": 200,
