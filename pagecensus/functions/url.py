@@ -7,6 +7,7 @@ what lets billions of written forms be keyed in the scan stage.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -103,6 +104,16 @@ def with_url_identity(df: DataFrame, column: str, prefix: str = "") -> DataFrame
 
     Exactly one of key and refusal is null for every written form; a null form has neither.
     """
+    session = df.sparkSession.sparkContext.applicationId
+    stages, found = _identity(session, column, prefix)
+    outputs = [f"{prefix}url_key", f"{prefix}url_refusal", f"{prefix}origin"]
+    kept = [c for c in df.columns if c not in outputs]
+    return df.select(*kept, *stages).select(*kept, found)
+
+
+@functools.lru_cache(maxsize=64)
+def _identity(session: str, column: str, prefix: str) -> tuple[list[Column], Column]:
+    """The staged expressions for one column name; unresolved, so any table can use them."""
     raw = F.col(column)
     stages: list[Column] = []
 
@@ -203,10 +214,12 @@ def with_url_identity(df: DataFrame, column: str, prefix: str = "") -> DataFrame
     )
     accepted = stage("accepted", F.when(raw.isNotNull() & refusal.isNull(), key))
     origin = stage("origin", origin_of(accepted))
-    outputs = {f"{prefix}url_key": accepted, f"{prefix}url_refusal": refusal, f"{prefix}origin": origin}
-    kept = [c for c in df.columns if c not in outputs]
-    found = F.inline(F.array(F.struct(*[value.alias(name) for name, value in outputs.items()])))
-    return df.select(*kept, *stages).select(*kept, found)
+    found = F.struct(
+        accepted.alias(f"{prefix}url_key"),
+        refusal.alias(f"{prefix}url_refusal"),
+        origin.alias(f"{prefix}origin"),
+    )
+    return stages, F.inline(F.array(found))
 
 
 def origin_of(url_key: Column) -> Column:
