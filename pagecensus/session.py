@@ -39,12 +39,18 @@ def local_session(cpus: int | str = "*", app: str = "pagecensus") -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only if none is set."""
+    """The shared checkpoint folder that ``spark.checkpoint.dir`` names.
+
+    Only a session on one machine gets a folder of its own where none is set: on a cluster each
+    executor would write to its own disk, so there a missing setting is an error.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(
-            configured or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 
 
