@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagecensus.llm.exact_dedup import exact_dedup
+from pagecensus.llm.mixing import mix
+from pagecensus.llm.near_dedup import near_duplicates
+from pagecensus.llm.vector_search import top_k
 
 QUERIES = {}
 ORACLE = {}
@@ -37,3 +40,38 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"
     )
+
+
+@register("op2_mixing")
+def op2_mixing(spark, sf_dir):
+    taken, known = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.array("source"))
+    mine = F.col("row.source").eqNullSafe(F.col("source"))
+    return taken.join(F.broadcast(known), mine).select(
+        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
+        (F.col("size") * F.col("times")).alias("taken"), F.col("row.source").alias("source"), "times",
+    )
+
+
+@register("op3_vector_search", """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+    ), ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""")
+def op3_vector_search(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@register("op4_near_dedup")
+def op4_near_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, width=4).select(
+        F.col("row.doc_id").alias("doc_id"), "n_shingles", "component_id", "kept"
+    )
