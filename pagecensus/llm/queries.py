@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagecensus.llm import personal_data, piece_codec, quality, toxicity
 from pagecensus.llm.exact_dedup import exact_dedup
+from pagecensus.llm.license_scan import license_scan
+from pagecensus.llm.main_text import extracted
 from pagecensus.llm.mixing import mix
 from pagecensus.llm.near_dedup import near_duplicates
 from pagecensus.llm.vector_search import top_k
 
+#: The vocabulary file of op10 and of the pipeline's last stage.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 QUERIES = {}
 ORACLE = {}
 
@@ -23,6 +28,11 @@ def register(name: str, oracle: str | None = None):
     return add
 
 
+def held_out(identifier: str):
+    """Whether a row is kept from training; null identifiers are never labelled, so they count as kept."""
+    return F.coalesce(quality.remainder(identifier) == 0, F.lit(True)).alias("held_out")
+
+
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,3 +85,65 @@ def op4_near_dedup(spark, sf_dir):
     return near_duplicates(docs, width=4).select(
         F.col("row.doc_id").alias("doc_id"), "n_shingles", "component_id", "kept"
     )
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, chain).select(
+        F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id"),
+        *[F.col(f"p.{c}").alias(f"p_{c}") for c in toxicity.FAMILIES], F.col("p.toxic").alias("score"),
+        (F.col("p.toxic") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@register("op8_main_text")
+def op8_main_text(spark, sf_dir):
+    return extracted(table(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", "n_chars")
+
+
+@register("op9_quality")
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, forest).select(
+        F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@register("op5_personal_data")
+def op5_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.personal_data(docs, personal_data.fitted(docs))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join("spans", ",").alias("spans"),
+    )
+
+
+@register("op6_license_scan")
+def op6_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan(docs).select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+def coded(spark, docs):
+    """The digest columns of encoding and decoding, one row per row of documents."""
+    pieces = piece_codec.encoded(docs, PIECE_MODEL)
+    back = piece_codec.decoded(pieces, PIECE_MODEL)
+    return back.select(
+        F.col("row.doc_id").alias("doc_id"), F.size("pieces").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("pieces", ",").cast("binary"), 256).alias("pieces_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.coalesce("row.text", F.lit(""))).alias("lossless"),
+    )
+
+
+@register("op10_piece_codec")
+def op10_piece_codec(spark, sf_dir):
+    return coded(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
