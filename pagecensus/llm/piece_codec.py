@@ -32,7 +32,7 @@ VARIANTS = 4
 #: Units with more symbols are segmented one by one.
 LONGEST_IN_ARRAYS = 48
 #: Characters of the texts that are segmented together.
-CHUNK = 3_000_000
+CHUNK = 6_000_000
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
 _NEVER = np.int64(1) << np.int64(40)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -40,9 +40,9 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Vocabulary:
-    """Single characters and bytes, merges sorted by (left, right), and every piece's bytes."""
+    """Piece of each code point (-1: none) and byte, merges sorted by (left, right), every piece's bytes."""
 
-    chars: dict[str, int]
+    chars: np.ndarray
     byte_of: list[int]
     pairs: np.ndarray
     merged: np.ndarray
@@ -85,7 +85,10 @@ def load(model_path: str) -> Vocabulary:
     ]
     merges.sort()
     table = np.array(merges, dtype="int64").reshape(len(merges), 3)
-    chars = {p.replace(MARK, " "): i for p, i in normal.items() if len(p) == 1}
+    chars = np.full(0x110000, -1, dtype="int32")
+    for piece, i in normal.items():
+        if len(piece) == 1:
+            chars[ord(" " if piece == MARK else piece)] = i
     return Vocabulary(chars, byte_of, table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), content)
 
 
@@ -101,24 +104,22 @@ def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, most: np.uin
     return _mixed(key ^ _mixed(at)) < most
 
 
-def _together(symbols: np.ndarray, key: np.ndarray, v: Vocabulary, most: np.uint64) -> list[np.ndarray]:
-    """Segments many units at once; rows of ``symbols`` end in -1."""
-    done: list[np.ndarray] = [None] * len(symbols)
+def _together(symbols: np.ndarray, key: np.ndarray, v: Vocabulary, most: np.uint64) -> np.ndarray:
+    """Segments many units at once; rows of ``symbols`` end in -1, and so do those returned."""
+    done = np.empty_like(symbols)
     row = np.arange(len(symbols))
-    place = np.tile(np.arange(symbols.shape[1], dtype="int64"), (len(symbols), 1))
+    place = np.tile(np.arange(symbols.shape[1], dtype="int32"), (len(symbols), 1))
     rank, piece = v.found(symbols[:, :-1], symbols[:, 1:])
+    column = np.arange(symbols.shape[1])
     while len(row):
         best = rank.argmin(axis=1)
         line = np.arange(len(row))
         live = rank[line, best] < _NEVER
         if not live.all():
-            for r, s in zip(row[~live], symbols[~live]):
-                done[r] = s[s >= 0]
+            done[row[~live]] = symbols[~live]
             row, symbols, place, rank, piece, key, best = (
                 x[live] for x in (row, symbols, place, rank, piece, key, best)
             )
-            if not len(row):
-                break
             line = np.arange(len(row))
         joined = piece[line, best]
         drop = _skipped(key, place[line, best], joined, most)
@@ -128,15 +129,14 @@ def _together(symbols: np.ndarray, key: np.ndarray, v: Vocabulary, most: np.uint
             continue
         symbols[at, b] = joined[~drop]
         # Close the gap to the right of each merge.
-        column = np.arange(symbols.shape[1])
         source = np.minimum(column + (column > b[:, None]), symbols.shape[1] - 1)
-        symbols[at] = np.take_along_axis(symbols[at], source, 1)
+        inner = np.minimum(source[:, : rank.shape[1]], rank.shape[1] - 1)
+        moved = at[:, None]
+        symbols[at] = symbols[moved, source]
         symbols[at, -1] = -1
-        place[at] = np.take_along_axis(place[at], source, 1)
-        inner = source[:, : rank.shape[1]]
-        inner = np.minimum(inner, rank.shape[1] - 1)
-        rank[at] = np.take_along_axis(rank[at], inner, 1)
-        piece[at] = np.take_along_axis(piece[at], inner, 1)
+        place[at] = place[moved, source]
+        rank[at] = rank[moved, inner]
+        piece[at] = piece[moved, inner]
         rank[at, -1] = _NEVER
         for left in (b - 1, b):
             ok = (left >= 0) & (left < rank.shape[1])
@@ -178,40 +178,60 @@ def _alone(symbols: list[int], key: np.uint64, v: Vocabulary, most: np.uint64) -
     return np.array([s for s in now if s >= 0], dtype="int64")
 
 
-def _symbols(unit: str, v: Vocabulary) -> list[int]:
-    out = []
-    for c in unit:
-        i = v.chars.get(c)
-        if i is None or c == MARK:
-            out += [v.byte_of[b] for b in c.encode("utf-8", "surrogatepass")]
-        else:
-            out.append(i)
-    return out
+def _spelled(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces of single characters and bytes, one unit after the other; their number per unit).
 
-
-def _segmented(units: list[str], variants: np.ndarray, v: Vocabulary, dropout: float, seed: int) -> list[np.ndarray]:
-    """Pieces of each (unit, variant)."""
+    A character without a piece, and the mark itself, is spelled in bytes.
+    """
+    text = "".join(units)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="uint32")
+    pieces = np.where(points == ord(MARK), -1, v.chars[points]).astype("int64")
+    size = np.fromiter(map(len, units), "int64", len(units))
+    strange = np.flatnonzero(pieces < 0)
+    if len(strange):
+        spelled = [[v.byte_of[b] for b in chr(points[i]).encode("utf-8", "surrogatepass")] for i in strange]
+        extra = np.array([len(x) for x in spelled], dtype="int64")
+        unit = np.repeat(np.arange(len(units)), size)[strange]
+        width = np.ones(len(points), dtype="int64")
+        width[strange] = extra
+        size = size + np.bincount(unit, extra - 1, len(units)).astype("int64")
+        start = (np.cumsum(width) - width)[strange]
+        pieces = np.repeat(pieces, width)
+        for at, x in zip(start, spelled):
+            pieces[at : at + len(x)] = x
+    return pieces, size
+
+
+def _segmented(
+    units: list[str], unit: np.ndarray, variant: np.ndarray, v: Vocabulary, dropout: float, seed: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of each (unit number, variant): one pool, and where each begins and how long it is."""
     most = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
-    key = np.fromiter(map(xxhash.xxh3_64_intdigest, (u.encode("utf-8", "surrogatepass") for u in units)), "uint64", len(units))
-    key = _mixed(key ^ _mixed(variants.astype("uint64") * _STEP + np.uint64(seed)))
-    spelled = [_symbols(u, v) for u in units]
-    size = np.array([len(s) for s in spelled], dtype="int64")
-    out: list[np.ndarray] = [None] * len(units)
-    low = 0
+    named = np.fromiter(map(xxhash.xxh3_64_intdigest, (u.encode("utf-8", "surrogatepass") for u in units)), "uint64", len(units))
+    key = _mixed(named[unit] ^ _mixed(variant.astype("uint64") * _STEP + np.uint64(seed)))
+    flat, sizes = _spelled(units, v)
+    begin, size = (np.cumsum(sizes) - sizes)[unit], sizes[unit]
+    pools, first, long = [], np.zeros(len(unit), dtype="int64"), np.zeros(len(unit), dtype="int64")
+    used = low = 0
     for high in (8, 16, LONGEST_IN_ARRAYS):
         rows = np.flatnonzero((size > low) & (size <= high))
         low = high
         if not len(rows):
             continue
-        table = np.full((len(rows), high + 1), -1, dtype="int64")
-        flat = np.array([s for r in rows for s in spelled[r]], dtype="int64")
-        line = np.repeat(np.arange(len(rows)), size[rows])
-        table[line, np.arange(len(flat)) - np.repeat(np.cumsum(size[rows]) - size[rows], size[rows])] = flat
-        for r, pieces in zip(rows, _together(table, key[rows], v, most)):
-            out[r] = pieces
+        column = np.arange(high + 1)
+        inside = column < size[rows, None]
+        table = np.where(inside, flat[np.minimum(begin[rows, None] + column, len(flat) - 1)], -1)
+        table = _together(table, key[rows], v, most)
+        long[rows] = (table >= 0).sum(axis=1)
+        first[rows] = used + np.cumsum(long[rows]) - long[rows]
+        pools.append(table[table >= 0])
+        used += len(pools[-1])
     for r in np.flatnonzero(size > LONGEST_IN_ARRAYS):
-        out[r] = _alone(spelled[r], key[r], v, most)
-    return out
+        pieces = _alone(flat[begin[r] : begin[r] + size[r]].tolist(), key[r], v, most)
+        first[r], long[r] = used, len(pieces)
+        pools.append(pieces)
+        used += len(pieces)
+    return np.concatenate(pools).astype("int32"), first, long
 
 
 def encode(texts: list[str], names: list, v: Vocabulary, dropout: float = 0.1, seed: int = 1) -> list[np.ndarray]:
@@ -227,10 +247,7 @@ def encode(texts: list[str], names: list, v: Vocabulary, dropout: float = 0.1, s
     place = (np.arange(len(flat)) - np.repeat(start, size)).astype("uint64")
     variant = _mixed(_mixed(np.repeat(name, size) + np.uint64(seed) * _STEP) ^ (place * _STEP)) % np.uint64(VARIANTS)
     distinct, which = np.unique(flat * VARIANTS + variant.astype("int64"), return_inverse=True)
-    words = list(number)
-    pieces = _segmented([words[d // VARIANTS] for d in distinct.tolist()], distinct % VARIANTS, v, dropout, seed)
-    long = np.array([len(p) for p in pieces], dtype="int64")
-    pool, first = np.concatenate(pieces).astype("int32"), np.cumsum(long) - long
+    pool, first, long = _segmented(list(number), distinct // VARIANTS, distinct % VARIANTS, v, dropout, seed)
     out = []
     for s, n in zip(start, size):
         own = which[s : s + n]
