@@ -4,7 +4,8 @@ Documents may belong to several sources.  Those with the same set of sources are
 only the patterns' word totals reach the driver: a pattern's words flow to the quotas of its
 sources, once at no cost, again at a cost that grows with each repetition.  What flows out of a
 pattern says how often all of its documents are taken and how many words are left to choose: the
-documents with the lowest seeded hashes fill these, then a few smaller ones close the gap.
+documents with the lowest seeded hashes fill these, then a few smaller ones close the gap, taken
+for the first time or, where none is left of a size, once more.
 """
 
 from __future__ import annotations
@@ -133,11 +134,11 @@ def _plan(sized: DataFrame, repeats: int) -> tuple[DataFrame, DataFrame]:
         [(s, n, float(t)) for s, n, t in zip(names, sizes, targets)],
         "source string, source_size long, target double",
     )
-    return _cuts(rows, take), known
+    return _cuts(rows, take, repeats), known
 
 
-def _cuts(rows: DataFrame, take: DataFrame) -> DataFrame:
-    """take with ``cut`` (hashes up to it are taken once more) and ``fills`` (single hashes too)."""
+def _cuts(rows: DataFrame, take: DataFrame, repeats: int) -> DataFrame:
+    """take with ``cut`` (hashes up to it are taken once more) and ``fills`` (single hashes, once more)."""
     shift = 63 - RANGE_BITS
     chosen = rows.join(F.broadcast(take), "pattern").where("rest > 0 and size > 0")
     up_to = Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -163,16 +164,18 @@ def _cuts(rows: DataFrame, take: DataFrame) -> DataFrame:
         (F.col("rest") - F.coalesce("until", "before", F.lit(0))).alias("gap"),
     )
     cuts = materialised(cuts)
-    lowest = Window.partitionBy("pattern", "class").orderBy("hash", "size")
+    lowest = Window.partitionBy("pattern", "class", "fresh").orderBy("hash", "size")
     spare = (
         rows.join(F.broadcast(cuts), "pattern")
-        .where("hash > cut and size > 0 and size <= gap")
-        .groupBy("pattern", "gap", "hash").agg(F.sum("size").alias("size"))
+        .where((F.col("hash") > F.col("cut")) | (F.col("copies") + 2 <= repeats))
+        .where("size > 0 and size <= gap")
+        .groupBy("pattern", "gap", "hash", (F.col("hash") > F.col("cut")).alias("fresh")).agg(F.sum("size").alias("size"))
+        .where("size <= gap")
         .withColumn("class", F.floor(F.log2("size")))
         .withColumn("place", F.row_number().over(lowest))
         .where(F.col("place") <= FILL_PER_CLASS)
         .groupBy("pattern", "gap")
-        .agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "hash")))).alias("spare"))
+        .agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "fresh", "hash")))).alias("spare"))
     )
     none = F.array().cast("array<bigint>")
     filled = F.aggregate(
@@ -209,8 +212,8 @@ def mix(
     """
     sized = _sized(docs, sources, id_col, text_col, seed)
     plan, known = _plan(sized, repeats)
-    picked = (F.col("hash") <= F.col("cut")) | F.array_contains("fills", F.col("hash"))
-    times = F.when(F.col("size") > 0, F.col("copies") + picked.cast("long")).otherwise(0)
+    again = (F.col("hash") <= F.col("cut")).cast("long") + F.array_contains("fills", F.col("hash")).cast("long")
+    times = F.when(F.col("size") > 0, F.col("copies") + again).otherwise(0)
     taken = sized.join(F.broadcast(plan), "pattern", "left").select(
         "row", "size", "pattern", F.coalesce(times, F.lit(0)).alias("times")
     )
