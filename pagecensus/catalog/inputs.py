@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagecensus.functions.html import page_reader
+from pagecensus.functions.html import with_page
 from pagecensus.functions.url import with_url_identity
 from pagecensus.session import spread
 
@@ -130,8 +130,8 @@ def link_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every source wrote about every site."""
-    read = page_reader(True)(F.encode("html", "UTF-8"), F.lit("utf-8"), F.col("url"))
-    rows = site_pages(spark, sf_dir).withColumn("__links", read["links"]).drop("html")
+    rows = with_page(site_pages(spark, sf_dir), F.encode("html", "UTF-8"), F.lit("utf-8"), F.col("url"), links=True)
+    rows = rows.withColumn("__links", F.col("page.links")).drop("html", "page")
     page_id = F.col("page_id").cast("string")
     menu = _by_id(
         3,

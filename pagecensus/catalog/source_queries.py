@@ -250,7 +250,7 @@ def redirect_chains(spark, sf_dir):
     path = F.get(F.array(*paths), kind.cast("int"))
     hops = rows.select("chain_id", F.inline(path))
     starts = rows.select("chain_id", "url", site.alias("scope"))
-    found = targets.redirect_chains(starts, hops)
+    found = targets.redirect_chains(starts, hops, max_redirects=3)
     return found.select(
         F.col("chain_id").cast("bigint").alias("page_id"), "outcome", F.col("redirect_count").cast("bigint").alias("redirect_count"),
         "final_url", F.col("final_status").cast("bigint").alias("final_status"),

@@ -76,7 +76,7 @@ def media_type(content_type: Column) -> Column:
 
 def declared_charset(content_type: Column) -> Column:
     """The charset parameter of a content type; null when none is declared."""
-    parameters = F.slice(F.split(content_type, ";"), 2, 1000)
+    parameters = without_first(F.split(content_type, ";"))
     named = F.filter(
         parameters,
         lambda p: F.lower(stripped(F.substring_index(p, "=", 1))) == "charset",
@@ -89,6 +89,11 @@ def declared_charset(content_type: Column) -> Column:
     return F.when(bare != "", bare)
 
 
+def without_first(items: Column) -> Column:
+    """An array without its first item."""
+    return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+
+
 def _after(text: Column, mark: str) -> Column:
     """Everything after the first ``mark``."""
     return F.substring(text, F.instr(text, mark) + F.lit(len(mark)), F.length(text))
@@ -111,8 +116,16 @@ def stable_id(kind: str, *parts: Column) -> Column:
 
 
 def instant(moment: Column) -> Column:
-    """UTC text to the second, with the mandatory ``Z`` (the session runs in UTC)."""
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC text to the second, with the mandatory ``Z``, in a session of any time zone."""
+    seconds = F.unix_seconds(moment)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    rest = F.pmod(seconds, F.lit(86400))
+
+    def two(n: Column) -> Column:
+        return F.lpad(n.cast("int").cast("string"), 2, "0")
+
+    clock = F.concat_ws(":", two(F.floor(rest / 3600)), two(F.floor(rest % 3600 / 60)), two(rest % 60))
+    return F.when(moment.isNotNull(), F.concat(day.cast("string"), F.lit("T"), clock, F.lit("Z")))
 
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:

@@ -1,50 +1,83 @@
-"""Undoing a content encoding, bounded, as an Arrow UDF used on the encoded rows only."""
+"""Bytes to text and relative to absolute: what the JVM has no function for, as small Arrow UDFs.
+
+Which rows visit them, with which arguments, and what a null means is decided in columns.
+"""
 
 from __future__ import annotations
 
+import codecs
 import zlib
+from urllib.parse import urljoin
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import from_arrow_type
 
-from pagecensus.functions import fixed_values as V
-from pagecensus.functions.html import decode, join_url
+from pagecensus.functions.columns import lookup
 
-_ARROW_TYPE = pa.struct([
-    ("body", pa.binary()), ("undecodable", pa.bool_()), ("past_bound", pa.bool_()),
-])
-# The encodings that can be undone, with their zlib window.
-_WINDOWS = {"gzip": 16 + zlib.MAX_WBITS, "x-gzip": 16 + zlib.MAX_WBITS, "deflate": zlib.MAX_WBITS}
+# The encodings that can be undone, with the stream format their name stands for.
+_GZIP, _ZLIB, _BARE = 31, 15, -15
+_FORMAT = {"gzip": str(_GZIP), "x-gzip": str(_GZIP), "deflate": str(_ZLIB)}
+_PIECE = 1 << 20
+#: What one value of a table can hold; a stream beyond it cannot be given out.
+_LARGEST = (1 << 31) - 64
 
 
-def inflate(raw: bytes, window: int, bound: int) -> bytes | None:
-    """At most ``bound + 1`` bytes of the inflated stream; null when it is no such stream."""
+def unpacked(stream: bytes, form: int) -> bytes | None:
+    """A packed stream as far as it goes; null if it is none of this form, or empty."""
+    reader, out, size = zlib.decompressobj(form), [], 0
     try:
-        return zlib.decompressobj(window).decompress(raw, bound + 1)
+        for at in range(0, len(stream), _PIECE):
+            out.append(reader.decompress(stream[at : at + _PIECE]))
+            size += len(out[-1])
+            if size > _LARGEST:
+                return None
     except zlib.error:
         return None
+    return b"".join(out) or None
 
 
-def _decoded(raw: bytes, encoding: str, bound: int) -> dict:
-    window = _WINDOWS.get(encoding)
-    attempts = [] if window is None else [window, -zlib.MAX_WBITS]
-    for attempt in attempts:
-        body = inflate(raw, attempt, bound)
-        if body:
-            return {"body": body[:bound], "undecodable": False, "past_bound": len(body) > bound}
-    return {"body": b"", "undecodable": True, "past_bound": False}
+@F.arrow_udf(T.BinaryType())
+def unpacked_as(stream: pa.Array, form: pa.Array) -> pa.Array:
+    pairs = zip(stream.to_pylist(), form.to_pylist())
+    return pa.array([None if s is None or f is None else unpacked(s, f) for s, f in pairs], type=pa.binary())
 
 
-@F.arrow_udf(from_arrow_type(_ARROW_TYPE))
-def decoded_content(body: pa.Array, encoding: pa.Array) -> pa.Array:
-    """(wire bytes, encoding token) -> body and flags; a null body gives a null struct."""
-    rows = [
-        None if raw is None else _decoded(raw, token or "", V.MAX_BODY_BYTES)
-        for raw, token in zip(body.to_pylist(), encoding.to_pylist())
-    ]
-    return pa.array(rows, type=_ARROW_TYPE)
+def undone_content(wire: Column, encoding: Column) -> Column:
+    """Wire bytes without their content encoding; null where it cannot be undone.
+
+    A stream that is not of the form its name stands for may still be the same without a header.
+    """
+    form = lookup(_FORMAT, encoding).cast("int")
+    named = unpacked_as(wire, form)
+    return F.coalesce(named, unpacked_as(F.when(form.isNotNull() & named.isNull(), wire), F.lit(_BARE)))
+
+
+def unzipped(body: Column) -> Column:
+    """The content of a gzip file; null if it is none."""
+    return unpacked_as(body, F.lit(_GZIP))
+
+
+def decode(body: bytes, charset: str | None) -> str:
+    """Text of a body: the declared charset if it exists, else UTF-8; bad bytes are replaced."""
+    name = "utf-8"
+    if charset:
+        try:
+            codecs.lookup(charset)
+            name = charset
+        except LookupError:
+            pass
+    text = body.decode(name, errors="replace")
+    # A declared charset may yield lone surrogates, which no Arrow string can hold.
+    return text if name == "utf-8" else text.encode("utf-8", "replace").decode("utf-8")
+
+
+def join_url(base: str, target: str) -> str | None:
+    try:
+        return urljoin(base, target)
+    except ValueError:
+        return None
 
 
 @F.arrow_udf(T.StringType())

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagecensus.functions import fixed_values as V
-from pagecensus.functions.columns import stripped
+from pagecensus.functions.columns import stripped, without_first
 
 PRESENT, ABSENT = "PRESENT", "ABSENT"
 INDETERMINATE, NOT_APPLICABLE, UNASSESSED = "INDETERMINATE", "NOT_APPLICABLE", "UNASSESSED"
@@ -36,7 +36,7 @@ def _line_verdict(directives: Column) -> Column:
     """One physical header line: the name before the first colon decides who is addressed."""
     first = F.get(directives, F.lit(0))
     name = F.lower(stripped(F.substring_index(first, ":", 1)))
-    rest = F.slice(directives, 2, 100000)
+    rest = without_first(directives)
     return (
         F.when(F.size(directives) == 0, ABSENT)
         .when(~first.contains(":"), _verdict(_noindex_among(directives)))

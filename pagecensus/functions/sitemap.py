@@ -1,106 +1,103 @@
-"""Reading one sitemap document, as an Arrow UDF.
+"""Sitemap documents: an Arrow UDF gives the texts of location elements with their paths; what a
+sitemap is, and which locations count, are columns.
 
-Spark's ``xpath`` fails the job on malformed XML and expands entities; a hostile document here is
-an outcome column instead.
+Spark's ``xpath`` fails the job on malformed XML and expands entities; here a hostile document is
+one that is not whole.
 """
 
 from __future__ import annotations
 
-import zlib
-from xml.parsers import expat
+from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from pagecensus.functions import fixed_values as V
-from pagecensus.functions.content import inflate
+from pagecensus.functions.columns import settled, stripped
+from pagecensus.functions.content import unzipped
 
 _ARROW_TYPE = pa.struct([
-    ("root", pa.string()), ("locs", pa.list_(pa.string())), ("verdict", pa.string()),
+    ("root", pa.string()), ("whole", pa.bool_()), ("declares_types", pa.bool_()),
+    ("texts", pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))),
 ])
-# The element a location sits in, per root element.
-_ENTRY_OF_ROOT = {"urlset": "url", "sitemapindex": "sitemap"}
-
-
-class _Refused(Exception):
-    """A construct no sitemap needs: a document type, an entity, too deep a nesting."""
-
-
-class _Locations:
-    """Collects locations; memory grows with depth, which is capped."""
-
-    def __init__(self) -> None:
-        self.path: list[str] = []
-        self.root: str | None = None
-        self.found: list[str] = []
-        self.text: list[str] | None = None
-
-    def open(self, name, _attributes):
-        local = name.rpartition("}")[2]
-        self.path.append(local)
-        self.root = self.root or local
-        if len(self.path) > V.MAX_SITEMAP_DEPTH:
-            raise _Refused
-        if local == "loc":
-            self.text = []
-
-    def data(self, characters):
-        if self.text is not None:
-            self.text.append(characters)
-
-    def close(self, _name):
-        if self.path[-1] == "loc":
-            value = "".join(self.text or ()).strip()
-            placed = self.path[1:] == [_ENTRY_OF_ROOT.get(self.root), "loc"]
-            if value and placed:
-                self.found.append(value)
-            self.text = None
-        self.path.pop()
-
-    @staticmethod
-    def refuse(*_ignored):
-        raise _Refused
-
-
-def _well_formed(xml: bytes, into: _Locations) -> bool:
-    parser = expat.ParserCreate(namespace_separator="}")
-    parser.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_NEVER)
-    parser.StartElementHandler, parser.EndElementHandler = into.open, into.close
-    parser.CharacterDataHandler = into.data
-    parser.StartDoctypeDeclHandler = parser.EntityDeclHandler = into.refuse
-    try:
-        parser.Parse(xml, True)
-    except (expat.ExpatError, LookupError, ValueError):
-        return False
-    return True
-
-
-def read_sitemap(body: bytes, truncated: bool) -> dict:
-    """Root, locations and the outcome of reading this one document."""
-    cut = bool(truncated)
-    if body[:2] == b"\x1f\x8b":
-        inflated = inflate(body, 16 + zlib.MAX_WBITS, V.MAX_BODY_BYTES)
-        if inflated is None:
-            return {"verdict": "BUDGET_EXHAUSTED" if cut else "MALFORMED", "locs": []}
-        cut = cut or len(inflated) > V.MAX_BODY_BYTES
-        body = inflated[: V.MAX_BODY_BYTES]
-    seen = _Locations()
+# Where a location stands, per root element.
+_LOCATION_OF_ROOT = {"urlset": "urlset/url/loc", "sitemapindex": "sitemapindex/sitemap/loc"}
+
+
+class _TypesDeclared(ValueError):
+    """A document type declaration, which no sitemap needs and entities come from."""
+
+
+class _LocationTexts:
+    """Target of an XML parser; holds the open path and the text of the open location only."""
+
+    def __init__(self):
+        self.path, self.root, self.texts, self.parts = "", None, [], []
+
+    def doctype(self, *_names):
+        raise _TypesDeclared
+
+    def start(self, name, _attributes):
+        name = name[name.find("}") + 1 :]
+        self.root = self.root or name
+        self.path = f"{self.path}/{name}" if self.path else name
+        if name == "loc":
+            self.parts = []
+
+    def data(self, text):
+        if self.path.endswith("/loc"):
+            self.parts.append(text)
+
+    def end(self, _name):
+        if self.path.endswith("/loc"):
+            self.texts.append({"path": self.path, "text": "".join(self.parts)})
+        self.path = self.path[: max(self.path.rfind("/"), 0)]
+
+
+def location_texts(xml: bytes) -> dict:
+    """Root and location texts of a document, as far as it is well formed."""
+    target = _LocationTexts()
+    parser = ElementTree.XMLParser(target=target)
+    whole = declares = False
     try:
-        complete = _well_formed(body, seen)
-    except _Refused:
-        return {"verdict": "MALFORMED", "locs": []}
-    if (seen.root is not None and seen.root not in _ENTRY_OF_ROOT) or not (complete or cut):
-        return {"root": seen.root, "verdict": "MALFORMED", "locs": []}
-    verdict = "BUDGET_EXHAUSTED" if cut else "USED" if seen.found else "EMPTY"
-    return {"root": seen.root, "verdict": verdict, "locs": seen.found}
+        parser.feed(xml)
+        parser.close()
+        whole = True
+    except _TypesDeclared:
+        declares = True
+    except (ElementTree.ParseError, LookupError, ValueError):
+        pass
+    return {"root": target.root, "whole": whole, "declares_types": declares, "texts": target.texts}
 
 
 @F.arrow_udf(from_arrow_type(_ARROW_TYPE))
-def sitemap_locations(body: pa.Array, truncated: pa.Array) -> pa.Array:
-    """(body, truncated) -> root, locations, verdict; a null body gives a null struct."""
-    rows = [
-        None if b is None else read_sitemap(b, t)
-        for b, t in zip(body.to_pylist(), truncated.to_pylist())
-    ]
-    return pa.array(rows, type=_ARROW_TYPE)
+def _location_texts(xml: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else location_texts(x) for x in xml.to_pylist()], type=_ARROW_TYPE)
+
+
+def with_sitemap(df: DataFrame, body: Column, truncated: Column) -> DataFrame:
+    """Adds ``sitemap``: root, verdict and locations of a document; null for a null body."""
+    packed = F.substring(body, 1, 2) == F.unhex(F.lit("1F8B"))
+    df = df.withColumns({"__cut": F.coalesce(truncated, F.lit(False)), "__packed": packed})
+    df = df.withColumn("__xml", F.when(F.col("__packed"), unzipped(F.when(F.col("__packed"), body))).otherwise(body))
+    df = settled(df.withColumn("__read", _location_texts(F.col("__xml"))).drop("__xml"), ["__read"])
+    root = F.col("__read.root")
+    place = F.create_map(*[F.lit(x) for pair in _LOCATION_OF_ROOT.items() for x in pair])
+    texts = F.filter("__read.texts", lambda t: t["path"] == F.try_element_at(place, root))
+    found = F.filter(F.transform(texts, lambda t: stripped(t["text"])), lambda t: t != "")
+    known = root.isNull() | root.isin(list(_LOCATION_OF_ROOT))
+    usable = ~F.col("__read.declares_types") & known & (F.col("__read.whole") | F.col("__cut"))
+    verdict = (
+        F.when(F.col("__read").isNull(), F.when(F.col("__cut"), "BUDGET_EXHAUSTED").otherwise("MALFORMED"))
+        .when(~usable, "MALFORMED")
+        .when(F.col("__cut"), "BUDGET_EXHAUSTED")
+        .when(F.size(found) > 0, "USED")
+        .otherwise("EMPTY")
+    )
+    facts = F.struct(
+        F.when(~F.coalesce("__read.declares_types", F.lit(False)), root).alias("root"), verdict.alias("verdict"),
+        F.when(F.coalesce(usable, F.lit(False)), found).otherwise(F.array().cast("array<string>")).alias("locs"),
+    )
+    read = F.col("__read").isNotNull() | F.coalesce("__packed", F.lit(False))
+    return df.withColumn("sitemap", F.when(read, facts)).drop("__cut", "__packed", "__read")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagecensus import schemas
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.columns import digest_text, is_contract_url, media_type, settled
-from pagecensus.functions.html import page_reader
+from pagecensus.functions.html import with_page
 from pagecensus.functions.indexability import combined_verdict, header_verdict, meta_verdict
 from pagecensus.functions.url import with_url_identity
 
@@ -80,10 +80,7 @@ def observe_pages(
         df = df.withColumn("withheld_reason", F.lit(None).cast("string"))
     df = df.withColumn("document_status", _status_before_reading(homepage))
     read = F.col("document_status") == "READ"
-    df = df.withColumn(
-        "page",
-        page_reader(links)(F.when(read, F.col("body")), F.col("declared_charset"), F.col("final_url")),
-    ).withColumn(
+    df = with_page(df, F.when(read, F.col("body")), F.col("declared_charset"), F.col("final_url"), links).withColumn(
         "document_status",
         F.when(read & ~F.coalesce("page.readable", F.lit(False)), "UNREADABLE").otherwise(
             F.col("document_status")
@@ -130,10 +127,11 @@ def latest_capture(observed: DataFrame, keys: list[str]) -> DataFrame:
 
 def page_links(captures: DataFrame) -> DataFrame:
     """Every link of every readable document, resolved, in document order, with its label."""
-    page = page_reader(True)(F.col("body"), F.col("declared_charset"), F.col("final_url"))
+    read = captures.where("failure_kind is null").select(
+        "run_id", "site", F.col("final_url").alias("page_url"), "body", "declared_charset"
+    )
     return (
-        captures.where("failure_kind is null")
-        .select("run_id", "site", F.col("final_url").alias("page_url"), page.alias("page"))
+        with_page(read, F.col("body"), F.col("declared_charset"), F.col("page_url"), links=True)
         .select("run_id", "site", "page_url", F.explode("page.links").alias("link"))
         .select("run_id", "site", "page_url", "link.pos", "link.href", "link.label")
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagecensus.functions import fixed_values as V
+from pagecensus.operators.ranking import with_position
 
 VIOLATION = ["run_id", "pointer", "rule"]
 
@@ -47,17 +47,22 @@ def withhold(documents: DataFrame, violations: DataFrame) -> DataFrame:
     return documents.join(violations.select("run_id").distinct(), "run_id", "left_anti")
 
 
-def problems(violations: DataFrame, contract: str, total_of: str = "keyword") -> DataFrame:
-    """One problem per document: code, total, and the first fifty errors by (pointer, keyword).
+def problem_errors(violations: DataFrame, of: str = "keyword") -> DataFrame:
+    """Every violation as a row with its number within its document, by (pointer, keyword)."""
+    return with_position(violations, ["run_id"], [F.col("pointer"), F.col(of)], "error_no").select(
+        "run_id", "error_no", "pointer", F.col(of).alias("keyword")
+    )
 
-    The list is cut by rank before it is collected, so it never holds more than fifty.
-    """
-    from pyspark.sql import Window
 
+def problems(violations: DataFrame, contract: str, total_of: str = "keyword", listed: int = 50) -> DataFrame:
+    """One short problem per document: code, total, and the first ``listed`` errors.
+
+    ``problem_errors`` has them all.  The list is cut by rank before it is collected.
+    """
     order = Window.partitionBy("run_id").orderBy("pointer", total_of)
-    listed = (
+    shown = (
         violations.withColumn("__n", F.row_number().over(order))
-        .where(F.col("__n") <= V.MAX_PROBLEM_ERRORS)
+        .where(F.col("__n") <= listed)
         .groupBy("run_id")
         .agg(
             F.array_sort(F.collect_list(F.struct("__n", "pointer", F.col(total_of).alias("keyword"))))
@@ -72,7 +77,7 @@ def problems(violations: DataFrame, contract: str, total_of: str = "keyword") ->
     subject = F.when(
         F.col("__version"), "declares a schema version not supported by"
     ).otherwise("does not satisfy")
-    return totals.join(listed, "run_id").select(
+    return totals.join(shown, "run_id").select(
         "run_id",
         F.when(F.col("__version"), "SCHEMA_VERSION_UNSUPPORTED")
         .otherwise("CONTRACT_VALIDATION_FAILED").alias("code"),

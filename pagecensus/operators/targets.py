@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from pagecensus.functions.addresses import (
 from pagecensus.functions.columns import settled, stripped
 from pagecensus.functions.content import joined_urls
 from pagecensus.functions.url import with_url_identity
+from pagecensus.session import materialised
 
 
 def with_public_flag(df: DataFrame, column: str) -> DataFrame:
@@ -65,11 +68,12 @@ def admissible_targets(targets: DataFrame, resolutions: DataFrame) -> DataFrame:
     ).drop("is_address", "is_public", "all_public", "url_refusal")
 
 
-def redirect_chains(starts: DataFrame, hops: DataFrame) -> DataFrame:
-    """Follows each chain's recorded hops to its end, at most three redirects.
+def redirect_chains(starts: DataFrame, hops: DataFrame, max_redirects: int | None = None) -> DataFrame:
+    """Follows each chain's recorded hops to its end, or to a caller's bound.
 
     ``starts``: chain_id, url, scope (an origin, or null for none).  ``hops``: chain_id, url,
-    status, location.  The bound is fixed, so the walk is an unrolled self join.
+    status, location.  A chain that redirects more often than it has hops runs in a circle, which
+    is too many redirects.  Only chains that are still open meet the hops again.
     """
     once = hops.groupBy("chain_id", "url").agg(
         F.min(F.struct("status", F.coalesce("location", F.lit("")).alias("location"))).alias("h")
@@ -82,15 +86,24 @@ def redirect_chains(starts: DataFrame, hops: DataFrame) -> DataFrame:
         F.lit(0),
     )
     answers = settled(once.withColumn("next_url", target), ["next_url"])
-    answers = with_url_identity(answers, "next_url", "next_").drop("next_url_refusal")
+    answers = materialised(with_url_identity(answers, "next_url", "next_").drop("next_url_refusal"))
+    hops_of = answers.groupBy("chain_id").agg(F.count("*").alias("hops"))
     state = with_url_identity(starts, "url", "cursor_").select(
         "chain_id", "scope", "url", F.col("url").alias("cursor"), "cursor_url_key", "cursor_origin",
         F.lit(None).cast("string").alias("outcome"), F.lit(0).alias("redirect_count"),
         F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("int").alias("final_status"),
+    ).join(hops_of, "chain_id", "left")
+    ended, step = [], 0
+    while True:
+        last = step == max_redirects
+        state = materialised(_followed(state, answers, last))
+        ended.append(state.where("outcome is not null"))
+        state, step = state.where("outcome is null"), step + 1
+        if last or state.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, ended).select(
+        "chain_id", "url", "outcome", "redirect_count", "final_url", "final_status"
     )
-    for step in range(V.MAX_REDIRECTS + 1):
-        state = _followed(state, answers, last=step == V.MAX_REDIRECTS)
-    return state.select("chain_id", "url", "outcome", "redirect_count", "final_url", "final_status")
 
 
 def _followed(state: DataFrame, answers: DataFrame, last: bool) -> DataFrame:
@@ -110,12 +123,12 @@ def _followed(state: DataFrame, answers: DataFrame, last: bool) -> DataFrame:
     )
     verdict = verdict.when(F.lit(True), "TOO_MANY_REDIRECTS") if last else verdict.when(
         ~F.coalesce(F.col("next_url").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(False)), "INVALID_REDIRECT"
-    )
+    ).when(F.col("redirect_count") >= F.col("hops"), "TOO_MANY_REDIRECTS")
     ended_now = F.col("outcome").isNull() & F.col("__verdict").isNotNull()
     arrived = ended_now & (F.col("__verdict") == "RESPONSE_RECEIVED")
     going = F.col("__verdict").isNull()
     return settled(met.withColumn("__verdict", verdict), ["__verdict"]).select(
-        "chain_id", "scope", "url",
+        "chain_id", "scope", "url", "hops",
         F.when(going, F.col("next_url")).alias("cursor"),
         F.when(going, F.col("next_url_key")).alias("cursor_url_key"),
         F.when(going, F.col("next_origin")).alias("cursor_origin"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagecensus import schemas
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.columns import declared_charset, lookup, media_type, strict_json, stripped
-from pagecensus.functions.content import decoded_content
+from pagecensus.functions.content import undone_content
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -46,18 +46,17 @@ def split_documents(lines: DataFrame, column: str, schema: str) -> tuple[DataFra
 def normalise_captures(raw: DataFrame) -> DataFrame:
     """Raw captures (header fields and wire bytes) -> captures.
 
-    Wire bytes are bounded first.  Only rows with a content encoding visit the Python worker; the
-    rest stay in the JVM.
+    Only rows with a content encoding visit the Python worker; the rest stay in the JVM.  Bodies are
+    whole; ``truncated`` is what the capture itself says, if it says anything.
     """
     token = F.lower(stripped(F.coalesce("content_encoding", F.lit(""))))
     encoded = ~token.isin("", "identity") & F.col("failure_kind").isNull()
-    bounded = F.substring(F.col("wire_body"), 1, V.MAX_BODY_BYTES)
-    decoded = raw.withColumn("__encoded", encoded).withColumn(
-        "__decoded",
-        decoded_content(F.when(F.col("__encoded"), bounded), F.when(F.col("__encoded"), token)),
-    )
+    wire = F.when(F.col("__encoded"), F.col("wire_body"))
+    decoded = raw.withColumns({"__encoded": encoded, "__token": token})
+    decoded = decoded.withColumn("__decoded", undone_content(wire, F.col("__token")))
     answered = F.col("failure_kind").isNull()
-    past = F.length("wire_body") > V.MAX_BODY_BYTES
+    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in raw.columns else F.lit(False)
+    lost = F.col("__encoded") & F.col("__decoded").isNull()
     return decoded.select(
         "run_id", "site", "requested_url", "failure_kind",
         F.when(answered, F.col("final_url")).alias("final_url"),
@@ -67,10 +66,11 @@ def normalise_captures(raw: DataFrame) -> DataFrame:
         F.when(answered, F.lower(F.col("final_url")).startswith("https://")).alias("is_https"),
         F.when(answered, F.col("redirect_count")).alias("redirect_count"),
         F.when(
-            answered, F.when(F.col("__encoded"), F.col("__decoded.body")).otherwise(bounded)
+            answered,
+            F.when(F.col("__encoded"), F.coalesce("__decoded", F.lit(b""))).otherwise(F.col("wire_body")),
         ).alias("body"),
-        F.when(answered, past | F.coalesce("__decoded.past_bound", F.lit(False))).alias("truncated"),
-        F.when(answered, F.coalesce("__decoded.undecodable", F.lit(False))).alias("undecodable"),
+        F.when(answered, cut).alias("truncated"),
+        F.when(answered, lost).alias("undecodable"),
         F.when(answered, declared_charset(F.col("content_type"))).alias("declared_charset"),
         "captured_at",
     )

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.columns import is_persistable, lookup, media_type, settled, stripped
 from pagecensus.functions.content import decoded_text, joined_urls
-from pagecensus.functions.html import page_reader
-from pagecensus.functions.sitemap import sitemap_locations
+from pagecensus.functions.html import with_page
+from pagecensus.functions.sitemap import with_sitemap
 from pagecensus.functions.url import with_url_identity
 from pagecensus.session import materialised
 from pagecensus.sources.captures import status_source_outcome
@@ -26,13 +26,25 @@ def _unanswered() -> Column:
     )
 
 
+def _latest(read: DataFrame, keys: list[str], ties: list[Column]) -> DataFrame:
+    """The latest of several captures of one thing; the row-number filter is a group limit before
+    the shuffle.  Captures without a time are ordered by what was read."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("captured_at"), *ties)
+    return read.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "captured_at")
+
+
+def _captured_at(captures: DataFrame) -> Column:
+    named = "captured_at" in captures.columns
+    return (F.col("captured_at") if named else F.lit(None).cast("timestamp")).alias("captured_at")
+
+
 def seed_page_links(
-    seed_captures: DataFrame, max_links: int = V.MAX_PAGE_LINKS, max_examined: int = V.MAX_LINKS_EXAMINED
+    seed_captures: DataFrame, max_links: int | None = None, max_examined: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """The seed document of each run -> (link observations, source attempts).
+    """The seed document of each run (its latest capture) -> (link observations, source attempts).
 
-    Links are taken in document order until either bound is passed.  One document is at most two
-    MiB, so the windows below are bounded whatever the number of runs.
+    Every link of the own origin is observed.  A caller's bound ends the reading of a document
+    where the first target beyond it stands.
     """
     media = media_type(F.col("content_type"))
     blocked = F.coalesce(
@@ -40,34 +52,25 @@ def seed_page_links(
         F.when(media.isNotNull() & ~media.isin(V.DOCUMENT_MEDIA_TYPES), F.lit("MALFORMED")),
         F.when(F.col("undecodable"), F.lit("RUNTIME_ERROR")),
     )
-    read = seed_captures.withColumn("__blocked", blocked).withColumn(
-        "__page",
-        page_reader(True)(
-            F.when(F.col("__blocked").isNull(), F.col("body")), F.col("declared_charset"), F.col("final_url")
-        ),
-    )
-    read = read.select("run_id", "site", "truncated", "__blocked", "__page")
-    read = materialised(settled(read, ["__blocked", "__page"]))
-    links = read.select("run_id", "site", F.explode("__page.links").alias("l")).select(
+    timed = seed_captures.withColumns({"__blocked": blocked, "captured_at": _captured_at(seed_captures)})
+    read = with_page(
+        settled(timed, ["__blocked"]), F.when(F.col("__blocked").isNull(), F.col("body")),
+        F.col("declared_charset"), F.col("final_url"), links=True,
+    ).select("run_id", "site", "truncated", "__blocked", "page", "captured_at")
+    read = materialised(_latest(read, ["run_id"], [F.col("site"), F.col("__blocked"), F.xxhash64("page")]))
+    links = read.select("run_id", "site", F.explode("page.links").alias("l")).select(
         "run_id", "site", "l.pos", "l.href", "l.label"
     )
     targets = links.groupBy("run_id", "site", "href").agg(F.min("pos").alias("pos"))
-    judged = with_url_identity(targets, "href").withColumn(
+    judged = materialised(with_url_identity(targets, "href").withColumn(
         "admissible",
         F.coalesce(F.col("origin") == F.col("site"), F.lit(False)) & is_persistable(F.col("href")),
-    )
-    in_order = Window.partitionBy("run_id").orderBy("pos")
-    counted = judged.withColumns({
-        "examined": F.row_number().over(in_order),
-        "taken": F.sum(F.col("admissible").cast("int")).over(
-            in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
-    })
-    past = (F.col("examined") > max_examined) | (F.col("admissible") & (F.col("taken") > max_links))
-    counted = materialised(counted.withColumn("past", past))
-    stops = counted.where("past").groupBy("run_id").agg(F.min("pos").alias("stop"))
+    ))
+    admissible = judged.where("admissible")
+    stops = _bounds(judged, max_examined).unionByName(_bounds(admissible, max_links))
+    stops = stops.groupBy("run_id").agg(F.min("pos").alias("stop"))
     observations = (
-        links.join(counted.where("admissible").select("run_id", "href"), ["run_id", "href"])
+        links.join(admissible.select("run_id", "href"), ["run_id", "href"])
         .join(stops, "run_id", "left")
         .where(F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
         .select(
@@ -78,9 +81,9 @@ def seed_page_links(
     )
     outcome = (
         F.when(F.col("__blocked").isNotNull(), F.col("__blocked"))
-        .when(~F.coalesce("__page.readable", F.lit(False)), "RUNTIME_ERROR")
+        .when(~F.coalesce("page.readable", F.lit(False)), "RUNTIME_ERROR")
         .when(F.col("stop").isNotNull() | F.col("truncated"), "BUDGET_EXHAUSTED")
-        .when(F.size("__page.links") > 0, "USED")
+        .when(F.size("page.links") > 0, "USED")
         .otherwise("EMPTY")
     )
     attempts = read.join(stops, "run_id", "left").select(
@@ -89,25 +92,40 @@ def seed_page_links(
     return observations, attempts
 
 
+def _bounds(targets: DataFrame, most: int | None) -> DataFrame:
+    """Where the first target beyond a bound stands; a group limit keeps each run to its bound."""
+    if most is None:
+        return targets.select("run_id", "pos").limit(0)
+    order = Window.partitionBy("run_id").orderBy("pos")
+    return targets.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most + 1).where(
+        F.col("n") == most + 1
+    ).select("run_id", "pos")
+
+
 def robots_declarations(robots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """robots.txt captures -> (declared sitemap URLs with their place, source attempts).
 
-    Only the ``Sitemap`` field is read.  UTF-8 bodies are decoded in the JVM.
+    Only the ``Sitemap`` field of a run's latest capture is read.  UTF-8 bodies are decoded in the
+    JVM.  Whether a body is text at all is judged on its bytes.
     """
     charset = F.lower(F.coalesce("declared_charset", F.lit("utf-8")))
-    plain = charset.isin("utf-8", "utf8", "us-ascii", "ascii")
+    plain = charset.isin("utf-8", "utf8")
     text = F.coalesce(
         F.when(plain, F.make_valid_utf8(F.col("body").cast("string"))),
         decoded_text(F.when(~plain, F.col("body")), F.col("declared_charset")),
     )
     blocked = F.coalesce(_unanswered(), F.when(F.col("undecodable"), F.lit("RUNTIME_ERROR")))
-    base = robots.withColumn("__text", text).withColumn("__blocked", blocked)
-    base = settled(base.drop("body"), ["__text", "__blocked"])
+    raw = F.col("body").cast("string")
     malformed = (
         F.coalesce(media_type(F.col("content_type")).isin(V.DOCUMENT_MEDIA_TYPES), F.lit(False))
-        | F.col("__text").rlike(r"(?i)^\s*(?:<!doctype\s+html|<html)")
-        | (F.instr("__text", "\u0000") > 0)
+        | raw.rlike(r"(?i)^\s*(?:<!doctype\s+html|<html)")
+        | raw.contains("\u0000")
     )
+    base = robots.withColumns({
+        "__text": text, "__blocked": blocked, "__malformed": malformed, "captured_at": _captured_at(robots),
+    })
+    base = settled(base.drop("body"), ["__text", "__blocked", "__malformed"])
+    base = _latest(base, ["run_id"], [F.col("site"), F.col("__blocked"), F.col("__text")])
     lines = F.transform(
         F.split(F.regexp_replace("__text", r"^\uFEFF", ""), _LINES),
         lambda line: F.substring_index(line, "#", 1),
@@ -122,10 +140,8 @@ def robots_declarations(robots: DataFrame) -> tuple[DataFrame, DataFrame]:
         & (F.lower(stripped(F.substring_index(line, ":", 1))) == "sitemap")
         & (value_of(line) != ""),
     )
-    readable = F.col("__blocked").isNull() & ~malformed
-    found = base.withColumn("__values", F.when(readable, F.transform(fields, value_of))).withColumn(
-        "__malformed", malformed
-    )
+    readable = F.col("__blocked").isNull() & ~F.col("__malformed")
+    found = base.withColumn("__values", F.when(readable, F.transform(fields, value_of)))
     found = found.withColumn("__urls", joined_urls(F.col("final_url"), F.col("__values")))
     resolved = F.array_compact("__urls")
     outcome = (
@@ -146,29 +162,27 @@ def sitemap_documents(bodies: DataFrame) -> DataFrame:
     """Sitemap captures -> one narrow row per document: key, outcome, root and locations."""
     keyed = with_url_identity(bodies, "requested_url", "doc_").drop("doc_url_refusal", "doc_origin")
     blocked = F.coalesce(_unanswered(), F.when(F.col("undecodable"), F.lit("RUNTIME_ERROR")))
-    read = keyed.withColumn("__blocked", blocked).withColumn(
-        "__map",
-        sitemap_locations(F.when(F.col("__blocked").isNull(), F.col("body")), F.col("truncated")),
+    timed = keyed.withColumns({"__blocked": blocked, "captured_at": _captured_at(bodies)})
+    read = with_sitemap(
+        settled(timed, ["__blocked"]), F.when(F.col("__blocked").isNull(), F.col("body")), F.col("truncated")
     )
     done = read.select(
-        "run_id", F.col("doc_url_key").alias("doc_key"),
-        F.coalesce("__blocked", F.col("__map.verdict")).alias("outcome"),
-        F.col("__map.root").alias("root"), F.col("__map.locs").alias("locs"),
+        "run_id", F.col("doc_url_key").alias("doc_key"), "captured_at",
+        F.coalesce("__blocked", F.col("sitemap.verdict")).alias("outcome"),
+        F.col("sitemap.root").alias("root"), F.col("sitemap.locs").alias("locs"),
     )
-    # A document captured twice speaks once.
-    return done.groupBy("run_id", "doc_key").agg(
-        F.min(F.struct("outcome", "root", "locs")).alias("d")
-    ).select("run_id", "doc_key", "d.*")
+    # A document captured several times speaks once: as it was last.
+    return _latest(settled(done, ["outcome", "root", "locs"]), ["run_id", "doc_key"], [F.col("outcome"), F.col("root"), F.col("locs")])
 
 
 def sitemap_tree(
     runs: DataFrame, declared: DataFrame, bodies: DataFrame,
-    max_documents: int = V.MAX_SITEMAP_DOCUMENTS, max_entries: int = V.MAX_SITEMAP_ENTRIES,
+    max_documents: int | None = None, max_entries: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Declared sitemaps and their children, bounded -> (entry observations, source attempts).
+    """Declared sitemaps and their children -> (entry observations, source attempts).
 
-    Documents are planned level by level, which is the order of one first-in-first-out queue.  A run
-    plans at most ``max_documents``, so every level is small; entries are cut by rank.
+    Documents are followed level by level until a level names no new one.  A caller's bound on
+    documents is that of one first-in-first-out queue per run, one on entries cuts them by rank.
     """
     documents = materialised(sitemap_documents(bodies))
     named = documents.where("root = 'sitemapindex'").select(
@@ -190,7 +204,7 @@ def sitemap_tree(
     )
     level = materialised(level.unionByName(conventional))
     queue, overflow = level, spilled.select("run_id", "parent")
-    for _ in range(max_documents - 1):
+    while not level.isEmpty():
         met = level.select("run_id", F.col("key").alias("doc_key"), F.col("idx").alias("parent")).join(
             children, ["run_id", "doc_key"]
         )
@@ -210,7 +224,7 @@ def _keyed_references(references: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _planned(references: DataFrame, queue: DataFrame | None, limit: int) -> tuple[DataFrame, DataFrame]:
+def _planned(references: DataFrame, queue: DataFrame | None, limit: int | None) -> tuple[DataFrame, DataFrame]:
     """New same-origin documents in order: those that fit the queue, and those that do not."""
     fresh = references.where("inside")
     if queue is not None:
@@ -218,6 +232,11 @@ def _planned(references: DataFrame, queue: DataFrame | None, limit: int) -> tupl
     fresh = fresh.groupBy("run_id", "key").agg(F.min(F.struct("parent", "pos")).alias("at")).select(
         "run_id", "key", "at.parent", "at.pos"
     )
+    if limit is None:  # places in the queue matter to its bound only; a level's documents share one
+        return (
+            fresh.select("run_id", "key", (F.col("parent") + 1).cast("int").alias("idx")),
+            fresh.select("run_id", "parent", "pos").limit(0),
+        )
     order = Window.partitionBy("run_id").orderBy("parent", "pos")
     ranked = fresh.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit + 1)
     if queue is not None:
@@ -240,13 +259,17 @@ def _read_in_order(runs, queue, documents, refused, overflow, max_entries) -> tu
     )
     firsts = listed.groupBy("run_id", "form").agg(F.min(F.struct("idx", "pos")).alias("at"))
     forms = with_url_identity(firsts.where(is_persistable(F.col("form"))), "form").where("url_key is not null")
-    order = Window.partitionBy("run_id").orderBy("at")
-    ranked = materialised(
-        forms.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_entries + 1)
-        .select("run_id", "form", "n", F.col("at.idx").alias("idx"))
-    )
-    # Once the budget is spent, no later document is read.
-    spent = ranked.where(F.col("n") == max_entries).select("run_id", F.col("idx").alias("last"))
+    if max_entries is None:
+        ranked = materialised(forms.select("run_id", "form", F.lit(0).alias("n"), F.col("at.idx").alias("idx")))
+        max_entries, spent = 0, ranked.select("run_id", F.col("idx").alias("last")).limit(0)
+    else:
+        order = Window.partitionBy("run_id").orderBy("at")
+        ranked = materialised(
+            forms.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_entries + 1)
+            .select("run_id", "form", "n", F.col("at.idx").alias("idx"))
+        )
+        # Once the budget is spent, no later document is read.
+        spent = ranked.where(F.col("n") == max_entries).select("run_id", F.col("idx").alias("last"))
     within = read.join(spent, "run_id", "left")
     unread = F.col("last").isNotNull() & (F.col("idx") > F.col("last"))
     seen = within.where(~F.coalesce(unread, F.lit(False)))

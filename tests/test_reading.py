@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.classify import type_of_words, words
 from pagecensus.functions.columns import declared_charset, media_type, representable, single_line, strict_json
-from pagecensus.functions.content import _decoded, joined_urls
-from pagecensus.functions.html import read_page
+from pagecensus.functions.content import joined_urls, undone_content
+from pagecensus.functions.html import page_tags, with_page
 from pagecensus.functions.indexability import combined_verdict, header_verdict, meta_verdict
-from pagecensus.functions.sitemap import read_sitemap
+from pagecensus.functions.sitemap import with_sitemap
 
 
 def column_of(spark, values, build, schema="v string"):
@@ -82,11 +82,26 @@ def test_joined_urls(spark):
     assert out == [["https://s.example/a/b", "https://s.example/c", "https://s.example/a/d?q", None, "https://h/x"]]
 
 
-def page(html, url="https://s.example/d/", charset=None, links=False):
-    return read_page(html if isinstance(html, bytes) else html.encode(), charset, url, links)
+@pytest.fixture
+def page(spark):
+    def read(html, url="https://s.example/d/", charset=None, links=False):
+        body = html if isinstance(html, bytes) else html.encode()
+        df = spark.createDataFrame([(body, charset, url)], "body binary, charset string, url string")
+        return with_page(df, F.col("body"), F.col("charset"), F.col("url"), links).first().page.asDict()
 
+    return read
 
-def test_html_facts():
+
+@pytest.fixture
+def read_sitemap(spark):
+    def read(body, truncated):
+        df = spark.createDataFrame([(body, truncated)], "body binary, truncated boolean")
+        return with_sitemap(df, F.col("body"), F.col("truncated")).first().sitemap.asDict()
+
+    return read
+
+
+def test_html_facts(page):
     found = page(
         "<title>A &amp; B</title><title>C</title><META NAME=' Description ' content='d1'><meta name=description content=d2>"
         "<link rel='alternate CANONICAL' href=' ../x '><link rel=canonical href=y>"
@@ -103,7 +118,7 @@ def test_html_facts():
     assert page(b"<title>x</title>", charset="base64")["readable"] is False
 
 
-def test_html_links():
+def test_html_links(page):
     found = page(
         "<base href='/b/'><base href='/ignored/'><a href=x> One\n two </a><a href='y'>a<a href=z title=T> </a>"
         "<area href=/m alt=M><a name=n>no</a><a href='http://[::1'>bad</a><a href=' '>blank</a>"
@@ -120,11 +135,11 @@ def test_html_links():
 @pytest.mark.parametrize("piece", ["<a", "<a b=", "<!--", "<title", "&"])
 def test_unterminated_markup_is_linear(piece):
     start = time.time()
-    page(piece * (131072 // len(piece)), links=True)
+    page_tags((piece * (131072 // len(piece))).encode(), None, True)
     assert time.time() - start < 3
 
 
-def test_sitemaps():
+def test_sitemaps(read_sitemap):
     ns = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
     good = f"{ns}<url><loc> https://s.example/a </loc></url><loc>no</loc><url><x><loc>no</loc></x></url></urlset>".encode()
     assert read_sitemap(good, False) == {"root": "urlset", "verdict": "USED", "locs": ["https://s.example/a"]}
@@ -141,14 +156,18 @@ def test_sitemaps():
     assert read_sitemap(index, False) == {"root": "sitemapindex", "verdict": "USED", "locs": ["https://s.example/1"]}
 
 
-def test_content_encodings():
+def test_content_encodings(spark):
     body = b"x" * 100
     raw = zlib.compressobj(wbits=-15)
-    assert _decoded(gzip.compress(body), "gzip", 1000)["body"] == body
-    assert _decoded(zlib.compress(body), "deflate", 1000)["body"] == body
-    assert _decoded(raw.compress(body) + raw.flush(), "deflate", 1000)["body"] == body
-    assert _decoded(gzip.compress(body), "gzip", 10) == {"body": body[:10], "undecodable": False, "past_bound": True}
-    assert _decoded(body, "br", 1000)["undecodable"] and _decoded(body, "gzip", 1000)["undecodable"]
+    long = bytes(5 << 20)
+    cases = [
+        (gzip.compress(body), "gzip", body), (gzip.compress(body), "x-gzip", body), (zlib.compress(body), "deflate", body),
+        (raw.compress(body) + raw.flush(), "deflate", body), (body, "br", None), (body, "gzip", None), (b"", "gzip", None),
+        (gzip.compress(long), "gzip", long), (gzip.compress(body)[:-4], "gzip", body), (None, "gzip", None),
+    ]
+    df = spark.createDataFrame([(i, w, e) for i, (w, e, _) in enumerate(cases)], "i int, w binary, e string")
+    found = df.select("i", undone_content(F.col("w"), F.col("e")).alias("out")).orderBy("i").collect()
+    assert [r.out and bytes(r.out) for r in found] == [want for _, _, want in cases]
 
 
 def test_address_ranges_are_networks():
