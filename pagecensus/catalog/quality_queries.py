@@ -170,6 +170,12 @@ def dq_problems(spark, sf_dir):
     return found.withColumn("errors", F.array_join(listed, "|"))
 
 
+@register("all_problems", """SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY pointer, rule) AS error_no, pointer, rule FROM broken""")
+def all_problems(spark, sf_dir):
+    """Every violation of every document, numbered; nothing is cut."""
+    return quality.problem_errors(_violations(spark, sf_dir)[1], "rule").withColumnRenamed("keyword", "rule")
+
+
 @register("dq_withheld_runs", """SELECT run_id, url_key FROM bad_selections WHERE run_id NOT IN
     (SELECT run_id FROM bad_selections WHERE stratum = '')""")
 def dq_withheld_runs(spark, sf_dir):

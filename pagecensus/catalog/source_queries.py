@@ -69,6 +69,26 @@ def robots_outcomes(spark, sf_dir):
     return discovery.robots_declarations(_robots(spark, sf_dir))[1].drop("site")
 
 
+def _encoded_robots(spark, sf_dir):
+    """Declarations in UTF-16, in what is declared as ASCII but is not, and in UTF-8."""
+    plain = _robots(spark, sf_dir).where("failure_kind is null and status_code = 200 and not undecodable")
+    text = F.concat(F.lit("Sitemap: "), F.col("site"), F.lit("caf\u00e9.xml"))
+    kind = F.col("page_id") % 3
+    return plain.withColumns({
+        "body": F.when(kind == 0, F.encode(text, "UTF-16")).otherwise(F.encode(text, "UTF-8")),
+        "declared_charset": F.when(kind == 0, "utf-16").when(kind == 1, "us-ascii").otherwise("utf-8"),
+        "truncated": F.lit(False),
+    })
+
+
+@register("robots_encodings", """SELECT srun AS run_id, CASE WHEN page_id % 3 = 0 THEN 'MALFORMED' ELSE 'USED' END AS outcome,
+    CASE page_id % 3 WHEN 1 THEN site || 'caf' || chr(65533) || chr(65533) || '.xml' WHEN 2 THEN site || 'caf\u00e9.xml' END AS declared_url
+    FROM smp WHERE blocked IS NULL""")
+def robots_encodings(spark, sf_dir):
+    declared, attempts = discovery.robots_declarations(_encoded_robots(spark, sf_dir))
+    return attempts.join(declared, "run_id", "left").select("run_id", "outcome", "declared_url")
+
+
 def _sitemaps(spark, sf_dir):
     """Each run serves a.xml, b.xml (malformed), c.xml (empty), idx.xml and sitemap.xml."""
     rows, site = _page_runs(spark, sf_dir).drop("html"), F.col("site")
@@ -106,6 +126,16 @@ def sitemap_documents(spark, sf_dir):
     return found.withColumn("locs", F.size("locs"))
 
 
+@register("sitemap_copies", """SELECT srun AS run_id, site || name AS doc_key, outcome, locs FROM smp, (VALUES
+      ('a.xml', 'USED', 3), ('b.xml', 'MALFORMED', 0), ('c.xml', 'EMPTY', 0), ('idx.xml', 'USED', 4), ('sitemap.xml', 'USED', 1)) f(name, outcome, locs)""")
+def sitemap_copies(spark, sf_dir):
+    """Each document was first answered with 404 and is there later: the later capture speaks."""
+    there = _sitemaps(spark, sf_dir).withColumn("captured_at", F.timestamp_seconds(F.lit(2)))
+    gone = there.withColumns({"captured_at": F.timestamp_seconds(F.lit(1)), "status_code": F.lit(404)})
+    found = discovery.sitemap_documents(gone.unionByName(there))
+    return found.select("run_id", "doc_key", "outcome", F.size("locs").alias("locs"))
+
+
 def _tree(spark, sf_dir, **bounds):
     runs = _page_runs(spark, sf_dir).select("run_id", "site")
     declared = discovery.robots_declarations(_robots(spark, sf_dir))[0]
@@ -135,6 +165,34 @@ def sitemap_budgets(spark, sf_dir):
     return _tree(spark, sf_dir, max_documents=2, max_entries=1)[1].drop("site")
 
 
+@register("all_sitemap_entries", """SELECT srun AS run_id, site || 'e/' || d || '/' || e AS observed_form, 'SITEMAP' AS source_id
+    FROM smp, range(7) t(d), range(80) u(e)""")
+def all_sitemap_entries(spark, sf_dir):
+    """An index of an index of seven documents with eighty locations each; nothing is left out."""
+    rows, site = _page_runs(spark, sf_dir).drop("html"), F.col("site")
+
+    def listed(root, entry, urls):
+        parts = F.transform(urls, lambda u: F.concat(F.lit(f"<{entry}><loc>"), u, F.lit(f"</loc></{entry}>")))
+        return F.concat(F.lit(f"<{root}>"), F.array_join(parts, ""), F.lit(f"</{root}>"))
+
+    def numbered(prefix, n, suffix):
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(site, F.lit(prefix), i.cast("string"), F.lit(suffix)))
+
+    files = [F.struct(F.lit("sitemap.xml").alias("name"), listed("sitemapindex", "sitemap", F.array(F.concat(site, F.lit("more.xml")))).alias("text")),
+             F.struct(F.lit("more.xml").alias("name"), listed("sitemapindex", "sitemap", numbered("part", 7, ".xml")).alias("text"))]
+    files += [
+        F.struct(F.lit(f"part{d}.xml").alias("name"), listed("urlset", "url", numbered(f"e/{d}/", 80, "")).alias("text")) for d in range(7)
+    ]
+    bodies = rows.select("run_id", "site", F.explode(F.array(*files)).alias("f")).select(
+        "run_id", "site", F.concat("site", F.col("f.name")).alias("requested_url"),
+        F.lit(None).cast("string").alias("failure_kind"), F.lit(200).alias("status_code"),
+        F.encode(F.col("f.text"), "UTF-8").alias("body"), F.lit(False).alias("truncated"), F.lit(False).alias("undecodable"),
+    )
+    declared = discovery.robots_declarations(_robots(spark, sf_dir))[0].limit(0)
+    found = discovery.sitemap_tree(rows.select("run_id", "site"), declared, bodies)[0]
+    return found.select("run_id", "observed_form", "source_id")
+
+
 @register("source_outcomes", """SELECT run_id, CASE WHEN bool_or(r = 0) THEN 'TIMEOUT' WHEN bool_or(r = 1) THEN 'USED'
     WHEN bool_or(r = 2) THEN 'TARGET_POLICY_REFUSED' WHEN bool_or(r = 3) THEN 'MALFORMED' WHEN bool_or(r = 4) THEN 'EMPTY' ELSE 'ABSENT' END AS outcome
     FROM (SELECT run_id, page_id % 29 AS r FROM pg) GROUP BY run_id""")
@@ -173,6 +231,11 @@ def link_budget_outcomes(spark, sf_dir):
     return discovery.seed_page_links(_link_seeds(spark, sf_dir), max_links=3, max_examined=5)[1].drop("site")
 
 
+@register("all_page_links", """SELECT DISTINCT srun AS run_id, href AS observed_form, 'SAME_ORIGIN_PAGE_LINKS' AS source_id, label FROM sl""")
+def all_page_links(spark, sf_dir):
+    return discovery.seed_page_links(_link_seeds(spark, sf_dir))[0].drop("site")
+
+
 # --- targets and redirects ------------------------------------------------------------------------
 
 CTES["verdicts"] = """SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, bool_and(page_id % 5 = 0 OR page_id % 31 <> 0) AS ok
@@ -255,3 +318,24 @@ def redirect_chains(spark, sf_dir):
         F.col("chain_id").cast("bigint").alias("page_id"), "outcome", F.col("redirect_count").cast("bigint").alias("redirect_count"),
         "final_url", F.col("final_status").cast("bigint").alias("final_status"),
     )
+
+
+@register("long_redirects", """SELECT page_id, CASE page_id % 3 WHEN 1 THEN 'TOO_MANY_REDIRECTS' ELSE 'RESPONSE_RECEIVED' END AS outcome,
+    CASE page_id % 3 WHEN 0 THEN site || 'r9' WHEN 2 THEN url END AS final_url FROM pg""")
+def long_redirects(spark, sf_dir):
+    """Ten redirects to an answer, a circle of three, and none."""
+    rows = inputs.site_pages(spark, sf_dir).drop("html").withColumn("chain_id", F.col("page_id").cast("string"))
+    places = [F.col("url"), *[F.concat("site", F.lit(f"r{n}")) for n in range(10)]]
+
+    def hop(n, status, to):
+        return F.struct(places[n].alias("url"), F.lit(status).alias("status"), to.cast("string").alias("location"))
+
+    none = F.lit(None)
+    paths = [
+        F.array(*[hop(n, 301, places[n + 1]) for n in range(10)], hop(10, 200, none)),
+        F.array(hop(0, 302, places[1]), hop(1, 302, places[2]), hop(2, 302, places[0])),
+        F.array(hop(0, 200, none)),
+    ]
+    hops = rows.select("chain_id", F.inline(F.get(F.array(*paths), (F.col("page_id") % 3).cast("int"))))
+    found = targets.redirect_chains(rows.select("chain_id", "url", F.col("site").alias("scope")), hops)
+    return found.select(F.col("chain_id").cast("bigint").alias("page_id"), "outcome", "final_url")

@@ -90,7 +90,9 @@ def _document_facts(homepage: bool) -> dict[str, Column]:
 
     canonical = F.when(is_contract_url(F.col("page.canonical_url")), F.col("page.canonical_url"))
     if homepage:
-        canonical = F.when(F.length("__canonical") <= V.MAX_TEXT_LENGTH, canonical)
+        absolute = F.col("page.canonical_url").rlike(r"(?i)^https?://[^/?#]")
+        fits = (F.length("page.canonical_url") <= V.MAX_URL_LENGTH) & (F.length("__canonical") <= V.MAX_TEXT_LENGTH)
+        canonical = F.when(absolute & fits, F.col("page.canonical_url"))
     pairs = [
         _presence_and_value("page.title", "__title", "TEXT", bounded("__title")),
         _presence_and_value("page.meta_description", "__description", "TEXT", bounded("__description")),
