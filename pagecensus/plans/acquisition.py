@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagecensus.functions.url import with_url_identity
 from pagecensus.operators import measurements as m
@@ -27,8 +28,24 @@ def observed_captures(captures: DataFrame, homepage: bool = False) -> DataFrame:
     return observe_pages(keyed, homepage=homepage)
 
 
+def wanted_captures(selections: DataFrame, captures: DataFrame) -> DataFrame:
+    """The latest captures of the selected pages, bodies included and unread.
+
+    Which ones these are is found without the bodies: the scan of the first step has three narrow
+    columns, and only what it leaves meets the captures again, ahead of the parser.
+    """
+    keyed = with_url_identity(captures.select("run_id", "requested_url", "captured_at"), "requested_url")
+    latest = (
+        keyed.join(selections.select("run_id", "url_key"), ["run_id", "url_key"])
+        .groupBy("run_id", "url_key").agg(F.max("captured_at").alias("captured_at"))
+    )
+    forms = keyed.join(latest, ["run_id", "url_key", "captured_at"]).select("run_id", "requested_url", "captured_at")
+    return captures.join(forms.distinct(), ["run_id", "requested_url", "captured_at"], "leftsemi")
+
+
 def acquire(selections: DataFrame, captures: DataFrame, manifests: DataFrame) -> Acquisition:
-    acquired = materialised(m.selected_captures(selections, observed_captures(captures), manifests))
+    chosen = observed_captures(wanted_captures(selections, captures))
+    acquired = materialised(m.selected_captures(selections, chosen, manifests))
     measured = m.measurements(acquired)
     return Acquisition(acquired, m.acquisition_records(acquired), measured, m.evidence(measured))
 

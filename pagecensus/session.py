@@ -54,6 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}-tables"
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared checkpoint folder.
 
@@ -61,11 +65,17 @@ def materialised(df: DataFrame) -> DataFrame:
     back with column pruning and real sizes for join planning.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_materialised(spark: SparkSession) -> None:
+    """Deletes what this application has materialised; for the end of a run, when results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the files give fewer partitions than that.
 

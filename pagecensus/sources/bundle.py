@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,25 @@ SINGLETONS = ["analysis_run_request", "analysis_run_state", "site_inventory", "s
 
 
 def write_bundle(tables: dict[str, DataFrame], out_dir: str) -> None:
-    """Writes every table as JSON under ``out_dir``, which must not exist: nothing is merged."""
+    """Writes every table as JSON under ``out_dir``, all or nothing.
+
+    The folder must not exist: nothing is merged.  Tables are written to a folder beside it, which
+    takes the name in one step when all are there, and goes if one fails.
+    """
     spark = next(iter(tables.values())).sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder, staging = path(out_dir), path(f"{out_dir.rstrip('/')}.{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(folder):
         raise FileExistsError(f"the bundle folder exists already: {out_dir}")
-    for name, table in tables.items():
-        table.write.mode("errorifexists").json(f"{out_dir}/{name}")
+    try:
+        for name, table in tables.items():
+            table.write.mode("errorifexists").json(f"{staging.toString()}/{name}")
+        if files.exists(folder) or not files.rename(staging, folder):
+            raise FileExistsError(f"the bundle folder appeared meanwhile: {out_dir}")
+    except BaseException:
+        files.delete(staging, True)
+        raise
 
 
 def read_bundle(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str) -> dict[str, DataFrame]:
