@@ -5,11 +5,15 @@ sketch: the 200 MinHash samples folded into 512 parity bits.  Documents with equ
 class.  Classes that share a band are candidates; the population count of two sketches' XOR
 estimates their similarity, and only pairs that may reach the threshold are compared in full.
 
+A second parity bitmap folds the whole set.  Its XOR never has more bits than the sets differ in, so
+where it has too many the pair cannot be linked: up to a few thousand words this refutes nearly all
+that the estimate leaves, without ever refuting a link.
+
 No group emits all its pairs.  First every class of a band is compared with the band's smallest
 class, and the links found are closed to components.  Then, only where a band still holds several
-components, the classes outside its largest component meet the others, in blocks, and a pair leaves
-the join only if its sketches are near.  After that, no two classes that share a band and pass the
-sketch are left uncompared, unless they are known to be in one component.
+components, the classes outside its largest one meet the others, in blocks, and only pairs that pass
+both bitmaps leave that join.  After that, no two classes that share a band and pass the bitmaps are
+left uncompared, unless they are known to be in one component.
 
 What this can miss: a link at exactly 0.8 shares no band with probability (1 - 0.8^5)^40 = 1.2e-7,
 and fails the sketch (0.2 below the threshold is more than five standard deviations) about as
@@ -31,7 +35,8 @@ from pagecensus.llm.components import connected
 from pagecensus.session import materialised
 
 BANDS, ROWS = 40, 5
-SKETCH_LONGS = 8
+#: 64-bit words of the sketch of the samples and of the whole set.
+SKETCH_LONGS, PARITY_LONGS = 8, 32
 #: Pairs whose estimated similarity lies so far under the threshold are not compared in full.
 MARGIN = 0.2
 #: Members of one band that a row outside its largest component meets in one task, on average.
@@ -68,6 +73,12 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def _parities(values: np.ndarray, longs: int) -> np.ndarray:
+    """One bit per residue: whether an odd number of values has it."""
+    bits = np.bincount((values % np.uint64(64 * longs)).astype("int64"), minlength=64 * longs) & 1
+    return np.packbits(bits.astype("uint8")).view("int64")
+
+
 def _signatures(width: int, seed: int):
     factors = _mixed(np.arange(1, BANDS * ROWS + 1, dtype="uint64") * _STEP + np.uint64(seed)) | np.uint64(1)
     places = np.arange(BANDS * ROWS, dtype="uint64") * _STEP
@@ -75,12 +86,13 @@ def _signatures(width: int, seed: int):
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, digests, keys, sketches = [], [], [], []
+            sizes, digests, keys, sketches, parities = [], [], [], [], []
             for text in batch["text"]:
                 s = shingle_set(text, width)
                 sizes.append(len(s))
                 if not len(s):
-                    digests.append(None), keys.append(None), sketches.append(None)
+                    for column in (digests, keys, sketches, parities):
+                        column.append(None)
                     continue
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 least = np.full(BANDS * ROWS, np.iinfo("uint64").max, dtype="uint64")
@@ -90,11 +102,11 @@ def _signatures(width: int, seed: int):
                 for i in range(ROWS):
                     key = _mixed(key * _STEP + least[i::ROWS])
                 keys.append(key.view("int64"))
-                odd = np.bincount(
-                    (_mixed(least + places) % np.uint64(64 * SKETCH_LONGS)).astype("int64"), minlength=64 * SKETCH_LONGS
-                ) & 1
-                sketches.append(np.packbits(odd.astype("uint8")).view("int64"))
-            yield pd.DataFrame({"id": batch["id"], "n": sizes, "digest": digests, "keys": keys, "sketch": sketches})
+                sketches.append(_parities(_mixed(least + places), SKETCH_LONGS))
+                parities.append(_parities(s, PARITY_LONGS))
+            yield pd.DataFrame({
+                "id": batch["id"], "n": sizes, "digest": digests, "keys": keys, "sketch": sketches, "parity": parities,
+            })
 
     return sign
 
@@ -109,31 +121,39 @@ def _sets(width: int):
     return read
 
 
-def _differing(a: str, b: str) -> Column:
-    """Population count of two sketches' XOR."""
-    bits = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_LONGS)]
+def _differing(a: str, b: str, longs: int) -> Column:
+    """Population count of two bitmaps' XOR."""
+    bits = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)]
     return sum(bits[1:], bits[0])
 
 
 def _most_differing(similarity: float) -> float:
-    """Expected population count of the XOR at this similarity."""
+    """Expected population count of two sketches' XOR at this similarity of the sets."""
     size, changed = 64 * SKETCH_LONGS, 2 * BANDS * ROWS * (1 - similarity)
     return size * (1 - (1 - 2 / size) ** changed) / 2
 
 
 def _may_link(percent: int) -> Column:
-    """Whether two classes' sizes and sketches allow a link; columns n, m, sketch, other."""
-    near = _differing("sketch", "other") <= _most_differing(percent / 100 - MARGIN)
-    return near & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    """Whether sizes (n, m), sketches (sketch, other) and parities of two classes allow a link."""
+    sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    near = _differing("sketch", "other", SKETCH_LONGS) <= _most_differing(percent / 100 - MARGIN)
+    # Linked sets differ in at most (1 - t) / (1 + t) of their sizes' sum.
+    apart = _differing("parity", "other_parity", PARITY_LONGS) * (100 + percent)
+    return sizes & near & (apart <= (F.col("n") + F.col("m")) * (100 - percent))
+
+
+def _renamed(size: DataFrame, names: str) -> DataFrame:
+    return size.select("id", "n", "sketch", "parity").toDF(*names.split())
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _sets_of(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, members) of these identifiers, written once; the texts are shuffled at any size."""
+    wanted = texts.join(ids.distinct().hint("merge"), "id", "leftsemi").dropDuplicates(["id", "text"])
+    return materialised(wanted.mapInPandas(_sets(width), "id long, members array<long>"))
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialised(
-        texts.join(wanted, "id", "leftsemi").dropDuplicates(["id", "text"])
-        .mapInPandas(_sets(width), "id long, members array<long>")
-    )
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b").distinct()
@@ -157,15 +177,15 @@ def near_duplicates(
     named = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("own"), whole(text_col).alias("text"))
     named = named.withColumn("id", F.coalesce(F.col("own").cast("long"), F.lit(LAST_ID)))
     signed = materialised(named.select("id", "text").mapInPandas(
-        _signatures(width, seed), "id long, n long, digest binary, keys array<long>, sketch array<long>"
+        _signatures(width, seed), "id long, n long, digest binary, keys array<long>, sketch array<long>, parity array<long>"
     ))
     classes = materialised(
         signed.where("n > 0").groupBy("digest").agg(
             F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"),
-            F.first("sketch").alias("sketch"),
+            F.first("sketch").alias("sketch"), F.first("parity").alias("parity"),
         )
     )
-    size = classes.select("id", "n", "sketch")
+    size = classes.select("id", "n", "sketch", "parity")
     banded = classes.select("id", F.explode("keys").alias("key"))
     shared = materialised(
         banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -174,10 +194,13 @@ def near_duplicates(
     pairs = members.where("id <> hub").select(F.col("id").alias("b"), F.col("hub").alias("a")).distinct()
     first = _near(pairs, size, percent)
     texts = named.select("id", "text")
-    links = materialised(_confirmed(texts, first, width, percent))
+    sets = _sets_of(texts, first.select(F.explode(F.array("a", "b")).alias("id")), width)
+    links = materialised(_confirmed(sets, first, percent))
     parts = connected(links)
-    rest = _near_across(members, size, parts, percent)
-    links = materialised(links.unionByName(_confirmed(texts, rest, width, percent)))
+    rest = _near_other_parts(members, size, parts, percent)
+    more = rest.select(F.explode(F.array("a", "b")).alias("id")).join(sets.select("id").distinct(), "id", "leftanti")
+    sets = sets.unionByName(_sets_of(texts, more, width))
+    links = materialised(links.unionByName(_confirmed(sets, rest, percent)))
     parts = connected(links)
     found = classes.select("digest", "id").join(parts.toDF("id", "component"), "id", "left").select(
         "digest", F.coalesce("component", "id").alias("component")
@@ -192,12 +215,15 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
 def _near(pairs: DataFrame, size: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a, b) that sizes and sketches let through, written once."""
-    both = pairs.join(size.toDF("a", "n", "sketch"), "a").join(size.toDF("b", "m", "other"), "b")
+    both = pairs.join(_renamed(size, "a n sketch parity"), "a").join(_renamed(size, "b m other other_parity"), "b")
     return materialised(both.where(_may_link(percent)).select("a", "b"))
 
 
-def _near_across(members: DataFrame, size: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components that share a band, beside those with its hub."""
+def _near_other_parts(members: DataFrame, size: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components that share a band, beside those with its hub.
+
+    The classes outside a band's largest component meet its members in blocks.
+    """
     placed = members.join(parts.toDF("id", "component"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
@@ -207,21 +233,19 @@ def _near_across(members: DataFrame, size: DataFrame, parts: DataFrame, percent:
     ).where("parts > 1 and all > 2").select(
         "key", F.col("most.component").alias("largest"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")
     )
-    inside = materialised(placed.join(mixed_keys, "key").where("id <> hub").join(size, "id"))
-    left = inside.where("component <> largest").select(
+    inside = materialised(placed.join(mixed_keys, "key").where("id <> hub").select("key", "id", "component", "largest", "blocks"))
+    left = inside.where("component <> largest").join(size, "id").select(
         "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("a"),
-        F.col("component").alias("of_a"), "n", "sketch",
+        F.col("component").alias("of_a"), "n", "sketch", "parity",
     )
-    right = inside.select(
-        "key", F.pmod(F.hash("id"), "blocks").alias("block"), F.col("id").alias("b"), F.col("component").alias("of_b"),
-        "largest", F.col("n").alias("m"), F.col("sketch").alias("other"),
+    right = inside.join(_renamed(size, "id m other other_parity"), "id").select(
+        F.col("key").alias("key_b"), F.pmod(F.hash("id"), "blocks").alias("block_b"), F.col("id").alias("b"),
+        F.col("component").alias("of_b"), "largest", "m", "other", "other_parity",
     )
     apart = (F.col("of_a") != F.col("of_b")) & ((F.col("of_b") == F.col("largest")) | (F.col("a") < F.col("b")))
-    met = left.alias("l").join(
-        right.alias("r"),
-        (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block")) & apart & _may_link(percent),
-    )
-    return materialised(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    met = (F.col("key") == F.col("key_b")) & (F.col("block") == F.col("block_b")) & apart & _may_link(percent)
+    pairs = left.join(right, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialised(pairs.distinct())
 
 
 def _answers(named: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
