@@ -32,15 +32,19 @@ VARIANTS = 4
 #: Units with more symbols are segmented one by one.
 LONGEST_IN_ARRAYS = 48
 #: Characters of the texts that are segmented together.
-CHUNK = 6_000_000
+CHUNK = 1_500_000
+#: Distinct units whose segmentations a task keeps for its next texts; it begins anew beyond them.
+KEPT_UNITS = 400_000
+#: Bits of the table that finds merges.
+_TABLE_BITS = 18
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
-_NEVER = np.int64(1) << np.int64(40)
+_NEVER = np.int32(1 << 30)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Vocabulary:
-    """Piece of each code point (-1: none) and byte, merges sorted by (left, right), every piece's bytes."""
+    """Piece of each code point (-1: none) and byte, merges by a hash of (left, right), every piece's bytes."""
 
     chars: np.ndarray
     byte_of: list[int]
@@ -51,10 +55,22 @@ class Vocabulary:
 
     def found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged piece) of neighbours; rank is out of reach where no piece joins them."""
-        key = left * np.int64(len(self.content)) + right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        known = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(known, self.rank[at], _NEVER), np.where(known, self.merged[at], -1)
+        rank, piece = np.full(left.shape, _NEVER, dtype="int32"), np.full(left.shape, -1, dtype="int32")
+        there = (left >= 0) & (right >= 0)
+        key = left[there].astype("int64") * len(self.content) + right[there]
+        at = _slot(key)
+        held = self.pairs[at]
+        while len(open_ := np.flatnonzero((held != key) & (held >= 0))):
+            at[open_] = (at[open_] + 1) & ((1 << _TABLE_BITS) - 1)
+            held[open_] = self.pairs[at[open_]]
+        known = held == key
+        rank[there] = np.where(known, self.rank[at], _NEVER)
+        piece[there] = np.where(known, self.merged[at], -1)
+        return rank, piece
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.astype("uint64") * _STEP) >> np.uint64(64 - _TABLE_BITS)).astype("int64")
 
 
 def load(model_path: str) -> Vocabulary:
@@ -83,13 +99,18 @@ def load(model_path: str) -> Vocabulary:
         (normal[p[:k]] * size + normal[p[k:]], i, order[p])
         for p, i in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal
     ]
-    merges.sort()
-    table = np.array(merges, dtype="int64").reshape(len(merges), 3)
+    if len(merges) > 1 << (_TABLE_BITS - 1):
+        raise ValueError("more merges than the table has room for")
+    pairs, merged, rank = np.full(1 << _TABLE_BITS, -1, dtype="int64"), *np.zeros((2, 1 << _TABLE_BITS), dtype="int32")
+    for (key, i, r), at in zip(merges, _slot(np.array([m[0] for m in merges], dtype="int64")).tolist()):
+        while pairs[at] >= 0:
+            at = (at + 1) & ((1 << _TABLE_BITS) - 1)
+        pairs[at], merged[at], rank[at] = key, i, r
     chars = np.full(0x110000, -1, dtype="int32")
     for piece, i in normal.items():
         if len(piece) == 1:
             chars[ord(" " if piece == MARK else piece)] = i
-    return Vocabulary(chars, byte_of, table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), content)
+    return Vocabulary(chars, byte_of, pairs, merged, rank, content)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -185,7 +206,7 @@ def _spelled(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """
     text = "".join(units)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="uint32")
-    pieces = np.where(points == ord(MARK), -1, v.chars[points]).astype("int64")
+    pieces = np.where(points == ord(MARK), -1, v.chars[points]).astype("int32")
     size = np.fromiter(map(len, units), "int64", len(units))
     strange = np.flatnonzero(pieces < 0)
     if len(strange):
@@ -213,7 +234,7 @@ def _segmented(
     begin, size = (np.cumsum(sizes) - sizes)[unit], sizes[unit]
     pools, first, long = [], np.zeros(len(unit), dtype="int64"), np.zeros(len(unit), dtype="int64")
     used = low = 0
-    for high in (8, 16, LONGEST_IN_ARRAYS):
+    for high in (5, 8, 12, 20, LONGEST_IN_ARRAYS):
         rows = np.flatnonzero((size > low) & (size <= high))
         low = high
         if not len(rows):
@@ -234,27 +255,68 @@ def _segmented(
     return np.concatenate(pools).astype("int32"), first, long
 
 
+class Encoder:
+    """Encodes texts one batch after another; keeps the segmentations it has made."""
+
+    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1):
+        self.vocabulary, self.dropout, self.seed = vocabulary, dropout, seed
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.units: list[str] = []
+        self.first, self.long = np.full((2, 1024), -1, dtype="int64")
+        self.pool, self.used = np.zeros(1024, dtype="int32"), 0
+
+    def _learn(self, distinct: np.ndarray) -> None:
+        """Segments the (unit, variant) numbers that are new."""
+        while distinct[-1] >= len(self.first):
+            self.first, self.long = (np.concatenate([x, np.full(len(x), -1, dtype="int64")]) for x in (self.first, self.long))
+        new = distinct[self.first[distinct] < 0]
+        if not len(new):
+            return
+        unit, which = np.unique(new // VARIANTS, return_inverse=True)
+        spelled = [self.units[u] for u in unit.tolist()]
+        pool, first, long = _segmented(spelled, which, new % VARIANTS, self.vocabulary, self.dropout, self.seed)
+        while self.used + len(pool) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), dtype="int32")])
+        self.pool[self.used : self.used + len(pool)] = pool
+        self.first[new], self.long[new] = first + self.used, long
+        self.used += len(pool)
+
+    def encode(self, texts: list[str], names: list) -> list[np.ndarray]:
+        """Piece ids of each text; ``names`` identify the texts in the hash."""
+        if len(self.units) > KEPT_UNITS:
+            self._forget()
+        flat, sizes, number, units = [], [], self.number, self.units
+        for text in texts:
+            own = _UNIT.findall(" " + text) if text else []
+            sizes.append(len(own))
+            for unit in own:
+                n = number.get(unit)
+                if n is None:
+                    number[unit] = n = len(units)
+                    units.append(unit)
+                flat.append(n)
+        if not flat:
+            return [np.zeros(0, dtype="int32") for _ in texts]
+        size = np.array(sizes, dtype="int64")
+        start = np.cumsum(size) - size
+        name = np.array([xxhash.xxh3_64_intdigest(str(n).encode()) for n in names], dtype="uint64")
+        place = (np.arange(len(flat)) - np.repeat(start, size)).astype("uint64")
+        variant = _mixed(_mixed(np.repeat(name, size) + np.uint64(self.seed) * _STEP) ^ (place * _STEP)) % np.uint64(VARIANTS)
+        key = np.array(flat, dtype="int64") * VARIANTS + variant.astype("int64")
+        self._learn(np.unique(key))
+        long = self.long[key]
+        end = np.cumsum(long)
+        pieces = self.pool[np.repeat(self.first[key] - (end - long), long) + np.arange(end[-1])]
+        bounds = np.concatenate([[0], end])
+        return [pieces[bounds[s] : bounds[s + n]] for s, n in zip(start, size)]
+
+
 def encode(texts: list[str], names: list, v: Vocabulary, dropout: float = 0.1, seed: int = 1) -> list[np.ndarray]:
-    """Piece ids of each text; ``names`` identify the texts in the hash."""
-    units = [_UNIT.findall(" " + t) if t else [] for t in texts]
-    number: dict[str, int] = {}
-    flat = np.array([number.setdefault(u, len(number)) for own in units for u in own], dtype="int64")
-    size = np.array([len(own) for own in units], dtype="int64")
-    if not len(flat):
-        return [np.zeros(0, dtype="int32") for _ in texts]
-    start = np.cumsum(size) - size
-    name = np.array([xxhash.xxh3_64_intdigest(str(n).encode()) for n in names], dtype="uint64")
-    place = (np.arange(len(flat)) - np.repeat(start, size)).astype("uint64")
-    variant = _mixed(_mixed(np.repeat(name, size) + np.uint64(seed) * _STEP) ^ (place * _STEP)) % np.uint64(VARIANTS)
-    distinct, which = np.unique(flat * VARIANTS + variant.astype("int64"), return_inverse=True)
-    pool, first, long = _segmented(list(number), distinct // VARIANTS, distinct % VARIANTS, v, dropout, seed)
-    out = []
-    for s, n in zip(start, size):
-        own = which[s : s + n]
-        lengths = long[own]
-        shift = np.repeat(first[own] - (np.cumsum(lengths) - lengths), lengths)
-        out.append(pool[shift + np.arange(len(shift))])
-    return out
+    """Piece ids of each text."""
+    return Encoder(v, dropout, seed).encode(texts, names)
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
@@ -264,10 +326,22 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return b"".join(map(v.content.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
+def _in_chunks(texts: list[str], names: list, encoder: Encoder) -> Iterator[np.ndarray]:
+    at = 0
+    while at < len(texts):
+        end, room = at + 1, CHUNK - len(texts[at])
+        while end < len(texts) and room > 0:
+            room -= len(texts[end])
+            end += 1
+        yield from encoder.encode(texts[at:end], names[at:end])
+        at = end
+
+
 def encoded(
     docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """``row`` (struct of all input columns) and ``pieces`` (array of ids) of each whole text.
+    """``row`` (struct of all input columns), ``pieces`` (array of ids) of each whole text and
+    ``decoded``, the text those pieces give back.
 
     Null counts as empty, and an empty text has no pieces.  The vocabulary is read here and sent to
     the tasks: its size does not depend on the data.  The same identifier, text and seed give the
@@ -276,21 +350,16 @@ def encoded(
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(model_path))
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("pieces array<int>, decoded string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(vocabulary.value, dropout, seed)
         for names, texts in batches:
-            texts, names, out, at = list(texts), list(names), [], 0
-            while at < len(texts):
-                end, room = at + 1, CHUNK - len(texts[at])
-                while end < len(texts) and room > 0:
-                    room -= len(texts[end])
-                    end += 1
-                out += encode(texts[at:end], names[at:end], vocabulary.value, dropout, seed)
-                at = end
-            yield pd.Series(out, dtype="object")
+            pieces = list(_in_chunks(list(texts), list(names), encoder))
+            back = [decode(ids, vocabulary.value) for ids in pieces]
+            yield pd.DataFrame({"pieces": pd.Series(pieces, dtype="object"), "decoded": pd.Series(back, dtype="object")})
 
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    return docs.select(as_row(docs), run(name, whole(F.col(f"`{text_col}`"))).alias("pieces"))
+    return docs.select(as_row(docs), run(name, whole(F.col(f"`{text_col}`"))).alias("coded")).select("row", "coded.*")
 
 
 def decoded(coded: DataFrame, model_path: str, pieces_col: str = "pieces", out: str = "decoded") -> DataFrame:

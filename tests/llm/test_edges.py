@@ -50,7 +50,7 @@ def operators(labels):
         "personal_data": lambda d: personal_data.personal_data(d, personal_data.fitted(d)), "license_scan": license_scan,
         "toxicity": lambda d: toxicity.scored(d, toxicity.fitted(d, labels)),
         "quality": lambda d: quality.scored(d, quality.fitted(d, labels)),
-        "piece_codec": lambda d: piece_codec.decoded(piece_codec.encoded(d, PIECE_MODEL), PIECE_MODEL),
+        "piece_codec": lambda d: piece_codec.encoded(d, PIECE_MODEL),
         "main_text": lambda d: extracted(d, html_col="text"),
     }
 
@@ -135,8 +135,8 @@ def test_personal_data_edges(docs):
 
 
 def test_piece_codec_gives_back_every_text(docs):
-    coded = piece_codec.decoded(piece_codec.encoded(docs, PIECE_MODEL), PIECE_MODEL).collect()
-    assert all(r.decoded == (r.row.text or "") for r in coded)
+    coded = piece_codec.decoded(piece_codec.encoded(docs, PIECE_MODEL), PIECE_MODEL, out="again").collect()
+    assert all(r.decoded == r.again == (r.row.text or "") for r in coded)
     assert [len(r.pieces) for r in coded if not r.row.text] == [0, 0]
 
 
