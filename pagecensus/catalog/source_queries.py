@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagecensus.catalog import inputs
-from pagecensus.catalog.oracle import CTES, sql_lookup
+from pagecensus.catalog.oracle import CTES, sql_key, sql_lookup
 from pagecensus.catalog.queries import register
 from pagecensus.operators import targets
+from pagecensus.plans.discovery import discover_sites, established_runs
 from pagecensus.sources import discovery
 
 OTHER = "https://other.example.com/"
@@ -236,6 +237,23 @@ def all_page_links(spark, sf_dir):
     return discovery.seed_page_links(_link_seeds(spark, sf_dir))[0].drop("site")
 
 
+@register("site_discovery", f"""SELECT DISTINCT run_id, url_key, source_id FROM (
+    SELECT srun AS run_id, site AS url_key, 'CANONICAL_SEED' AS source_id FROM smp WHERE page_id % 17 > 2
+    UNION ALL SELECT srun, {sql_key('href')}, 'SAME_ORIGIN_PAGE_LINKS' FROM sl
+    UNION ALL SELECT srun, {sql_key('form')}, 'SITEMAP' FROM (SELECT srun, page_id, unnest(CASE WHEN kind = 0 THEN [site || 's/' || page_id]
+      ELSE [url, site || 'x/' || page_id] END) AS form FROM trees) WHERE page_id % 17 > 2)""")
+def site_discovery(spark, sf_dir):
+    """Seeds, robots files and sitemaps of every run to the sources of its candidates."""
+    seeds = _link_seeds(spark, sf_dir).withColumn("captured_at", F.timestamp_seconds("page_id"))
+    found, _ = discover_sites(seeds, _robots(spark, sf_dir), _sitemaps(spark, sf_dir))
+    return found.sources.select("run_id", "url_key", "source_id")
+
+
+@register("site_discovery_failures", """SELECT 'sm-' || page_id AS run_id FROM pg WHERE page_id % 17 < 3""")
+def site_discovery_failures(spark, sf_dir):
+    return established_runs(_link_seeds(spark, sf_dir).withColumn("captured_at", F.timestamp_seconds("page_id")))[1].select("run_id")
+
+
 # --- targets and redirects ------------------------------------------------------------------------
 
 CTES["verdicts"] = """SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, bool_and(page_id % 5 = 0 OR page_id % 31 <> 0) AS ok

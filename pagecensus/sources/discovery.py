@@ -33,18 +33,25 @@ def _latest(read: DataFrame, keys: list[str], ties: list[Column]) -> DataFrame:
     return read.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "captured_at")
 
 
+def of_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows of the given runs, under the site each run has established."""
+    return rows.drop("site").join(runs.select("run_id", "site"), "run_id")
+
+
 def _captured_at(captures: DataFrame) -> Column:
     named = "captured_at" in captures.columns
     return (F.col("captured_at") if named else F.lit(None).cast("timestamp")).alias("captured_at")
 
 
 def seed_page_links(
-    seed_captures: DataFrame, max_links: int | None = None, max_examined: int | None = None
+    seed_captures: DataFrame, max_links: int | None = None, max_examined: int | None = None,
+    runs: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The seed document of each run (its latest capture) -> (link observations, source attempts).
 
-    Every link of the own origin is observed.  A caller's bound ends the reading of a document
-    where the first target beyond it stands.
+    Every link of the own origin is observed: that of the capture's site, or of the established run
+    where ``runs`` are given.  A caller's bound ends the reading of a document where the first
+    target beyond it stands.
     """
     media = media_type(F.col("content_type"))
     blocked = F.coalesce(
@@ -57,7 +64,8 @@ def seed_page_links(
         settled(timed, ["__blocked"]), F.when(F.col("__blocked").isNull(), F.col("body")),
         F.col("declared_charset"), F.col("final_url"), links=True,
     ).select("run_id", "site", "truncated", "__blocked", "page", "captured_at")
-    read = materialised(_latest(read, ["run_id"], [F.col("site"), F.col("__blocked"), F.xxhash64("page")]))
+    read = _latest(read, ["run_id"], [F.col("site"), F.col("__blocked"), F.xxhash64("page")])
+    read = materialised(read if runs is None else of_runs(read, runs))
     links = read.select("run_id", "site", F.explode("page.links").alias("l")).select(
         "run_id", "site", "l.pos", "l.href", "l.label"
     )
