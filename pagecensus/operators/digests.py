@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.columns import digest_text, instant, stable_id
@@ -41,7 +42,21 @@ def _piece(section: int, kind: str, text: Column, *place: Column | int) -> list[
     ]
 
 
+def floating_fields(kind: T.DataType, path: str = "") -> list[str]:
+    """Where a schema can hold floating-point numbers; ``*`` stands for an item or a key."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in floating_fields(f.dataType, f"{path}/{f.name}")]
+    if isinstance(kind, T.ArrayType):
+        return floating_fields(kind.elementType, f"{path}/*")
+    if isinstance(kind, T.MapType):
+        return floating_fields(kind.keyType, f"{path}/*") + floating_fields(kind.valueType, f"{path}/*")
+    return [path or "/"] if isinstance(kind, (T.FloatType, T.DoubleType)) else []
+
+
 def _fragments(df: DataFrame, *piece: Column) -> DataFrame:
+    """Fragments of digested documents: a digest over a floating-point number is not portable."""
+    if found := floating_fields(df.schema):
+        raise TypeError(f"a digested document must not hold floating-point numbers: {', '.join(found)}")
     return df.select(F.col("run_id").alias("doc_id"), *piece)
 
 

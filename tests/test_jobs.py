@@ -311,3 +311,28 @@ def test_malformed_lines_are_quarantined(spark, tmp_path):
     documents, quarantine = read_documents(spark, str(tmp_path / "docs.json"), "a bigint")
     assert sorted((r.document.a is None, r.document.a) for r in documents.collect()) == [(False, 1), (True, None)]
     assert {r.text for r in quarantine.collect()} == set(lines) - {'{"a":1}', '{"b":1}'}
+
+
+def test_digested_documents_hold_no_floats(spark):
+    from pagecensus.operators.digests import floating_fields, list_fragments
+
+    df = spark.createDataFrame([], "run_id string, a struct<b: array<double>, c: int>, m map<string, float>, n bigint")
+    assert floating_fields(df.schema) == ["/a/b/*", "/m/*"]
+    with pytest.raises(TypeError):
+        list_fragments(df, [F.col("n")], F.to_json("a"))
+
+
+def test_instants_do_not_depend_on_the_session_zone(spark):
+    from pagecensus.functions.columns import instant
+
+    moments = [0, 1767225600, 1774746000, 1774749600, -1, 253402300799]
+    df = spark.createDataFrame([(m,) for m in moments], "m long").withColumn("t", F.timestamp_seconds("m"))
+    want = ["1970-01-01T00:00:00Z", "2026-01-01T00:00:00Z", "2026-03-29T01:00:00Z", "2026-03-29T02:00:00Z",
+            "1969-12-31T23:59:59Z", "9999-12-31T23:59:59Z"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("America/New_York", "Europe/Berlin", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            assert [r.x for r in df.select("m", instant(F.col("t")).alias("x")).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
