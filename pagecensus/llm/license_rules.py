@@ -56,8 +56,8 @@ UNVERSIONED = {
     "unlicense": ["the unlicense", "unlicense org"],
     "cc0-1.0": ["cc0 1 0", "cc0", "creative commons zero"],
     "wtfpl": ["wtfpl", "do what the fuck you want to public license"],
-    "ms-pl": ["microsoft public license", "ms pl"],
-    "ms-rl": ["microsoft reciprocal license", "ms rl"],
+    "ms-pl": ["microsoft public license"],
+    "ms-rl": ["microsoft reciprocal license"],
     "ncsa": ["university of illinois open source license", "ncsa open source license"],
     "postgresql": ["postgresql license"],
     "openssl": ["openssl license"],

@@ -20,17 +20,17 @@ from pagecensus.llm.license_rules import Rule, rules
 BASE = {
     "gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit",
 }
-#: Every gate and every base phrase holds one of these fragments.
-FRAGMENTS = [
-    "licen", "cc", "gpl", "gfdl", "apache", "mpl", "epl", "cddl", "eupl", "osl", "afl", "zpl", "odbl", "cecill", "commons",
-    "bsd", "domain", "rights", "ms pl", "ms-pl", "ms rl", "ms-rl", "proprietary", "permission", "redistribution",
-    "advertising", "endorse", "software", "permitted", "possible under law",
-]
 _GAP, _WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F", r"^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _OPEN, _CLOSE = "\x01", "\x02"
 _SPAN = "array<struct<start:bigint,end:bigint,priority:int,label:string,confidence:double>>"
 
 
+def fragments(ordered: list[Rule]) -> list[str]:
+    """A word, or part of one, out of every gate and base phrase: a text with a match holds one."""
+    words = [phrase.split() for phrase in [*(r.gate for r in ordered), *BASE]]
+    return sorted({"licen" if any("licen" in w for w in own) else max(own, key=len) for own in words})
+
+
 def _n_words(text: Column) -> Column:
     marks = F.regexp_replace(text, f"[{_GAP}]*[{_WORD}]+[{_GAP}]*", "x")
     return F.when(text.rlike(f"[{_WORD}]"), F.length(marks)).otherwise(0).cast("long")
@@ -122,8 +122,9 @@ def license_scan(docs: DataFrame, text_col: str = "text", ordered: list[Rule] |
     """
     text = whole(F.col(f"`{text_col}`"))
     lower = F.lower(text)
+    ordered = ordered or rules()
     maybe = F.lit(False)
-    for fragment in FRAGMENTS:
+    for fragment in fragments(ordered):
         maybe = maybe | F.contains(lower, F.lit(fragment))
     normal = F.when(maybe, _normal(text)).otherwise(" ")
     named = docs.select(as_row(docs), _n_words(text).alias("n_words"), normal.alias("normal"))
@@ -133,7 +134,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", ordered: list[Rule] |
         label: F.when(F.contains("normal", F.lit(f" {phrase} ")), _places(F.col("normal"), F.lit(phrase))[0]).otherwise(none)
         for phrase, label in BASE.items()
     }
-    spans = F.when(some, _kept(_found(F.col("normal"), ordered or rules()))).otherwise(F.array().cast(_SPAN))
+    spans = F.when(some, _kept(_found(F.col("normal"), ordered))).otherwise(F.array().cast(_SPAN))
     seen = named.select("row", "n_words", spans.alias("spans"), *[c.alias(f"at_{k}") for k, c in starts.items()])
     base = F.concat(*[F.col(f"`at_{k}`") for k in starts])
     own = F.array_compact(F.array(*[F.when(F.size(F.col(f"`at_{k}`")) > 0, F.lit(k)) for k in starts]))

@@ -192,6 +192,8 @@ def test_license_rules_resolve_overlaps(spark):
         "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
         "the apache flew over the mitten": "",
+        "(LPPL,version_1.2)": "lppl-1.2",
+        "Creative\tCommons -- Attribution ShareAlike 3.0": "cc-by-sa-3.0",
     }
     rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     found = {r.row.text: r.labels for r in license_scan(rows).collect()}
