@@ -21,6 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +34,9 @@ VARIANTS = 4
 #: Units with more symbols are segmented one by one.
 LONGEST_IN_ARRAYS = 48
 #: Characters of the texts that are segmented together.
-CHUNK = 1_500_000
+CHUNK = 500_000
 #: Distinct units whose segmentations a task keeps for its next texts; it begins anew beyond them.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 150_000
 #: Bits of the table that finds merges.
 _TABLE_BITS = 18
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
@@ -284,8 +286,11 @@ class Encoder:
         self.first[new], self.long[new] = first + self.used, long
         self.used += len(pool)
 
-    def encode(self, texts: list[str], names: list) -> list[np.ndarray]:
-        """Piece ids of each text; ``names`` identify the texts in the hash."""
+    def encode(self, texts: list[str], names: list) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts and where each text's begin, the end of the last included.
+
+        ``names`` identify the texts in the hash.
+        """
         if len(self.units) > KEPT_UNITS:
             self._forget()
         flat, sizes, number, units = [], [], self.number, self.units
@@ -299,7 +304,7 @@ class Encoder:
                     units.append(unit)
                 flat.append(n)
         if not flat:
-            return [np.zeros(0, dtype="int32") for _ in texts]
+            return np.zeros(0, dtype="int32"), np.zeros(len(texts) + 1, dtype="int64")
         size = np.array(sizes, dtype="int64")
         start = np.cumsum(size) - size
         name = np.array([xxhash.xxh3_64_intdigest(str(n).encode()) for n in names], dtype="uint64")
@@ -310,13 +315,13 @@ class Encoder:
         long = self.long[key]
         end = np.cumsum(long)
         pieces = self.pool[np.repeat(self.first[key] - (end - long), long) + np.arange(end[-1])]
-        bounds = np.concatenate([[0], end])
-        return [pieces[bounds[s] : bounds[s + n]] for s, n in zip(start, size)]
+        return pieces, np.concatenate([[0], end])[np.concatenate([start, [len(flat)]])]
 
 
 def encode(texts: list[str], names: list, v: Vocabulary, dropout: float = 0.1, seed: int = 1) -> list[np.ndarray]:
     """Piece ids of each text."""
-    return Encoder(v, dropout, seed).encode(texts, names)
+    pieces, bounds = Encoder(v, dropout, seed).encode(texts, names)
+    return np.split(pieces, bounds[1:-1]) if texts else []
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
@@ -326,14 +331,15 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return b"".join(map(v.content.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
-def _in_chunks(texts: list[str], names: list, encoder: Encoder) -> Iterator[np.ndarray]:
-    at = 0
-    while at < len(texts):
-        end, room = at + 1, CHUNK - len(texts[at])
-        while end < len(texts) and room > 0:
-            room -= len(texts[end])
+def _in_chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of neighbouring texts with about CHUNK characters together."""
+    at, size = 0, pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    while at < len(size):
+        end, room = at + 1, CHUNK - size[at]
+        while end < len(size) and room > 0:
+            room -= size[end]
             end += 1
-        yield from encoder.encode(texts[at:end], names[at:end])
+        yield at, end - at
         at = end
 
 
@@ -350,13 +356,15 @@ def encoded(
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(model_path))
 
-    @F.pandas_udf("pieces array<int>, decoded string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("pieces array<int>, decoded string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         encoder = Encoder(vocabulary.value, dropout, seed)
         for names, texts in batches:
-            pieces = list(_in_chunks(list(texts), list(names), encoder))
-            back = [decode(ids, vocabulary.value) for ids in pieces]
-            yield pd.DataFrame({"pieces": pd.Series(pieces, dtype="object"), "decoded": pd.Series(back, dtype="object")})
+            for at, n in _in_chunks(texts):
+                pieces, bounds = encoder.encode(texts.slice(at, n).to_pylist(), names.slice(at, n).to_pylist())
+                back = [decode(pieces[a:b], vocabulary.value) for a, b in zip(bounds, bounds[1:])]
+                listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pieces, pa.int32()))
+                yield pa.StructArray.from_arrays([listed, pa.array(back, pa.string())], names=["pieces", "decoded"])
 
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     return docs.select(as_row(docs), run(name, whole(F.col(f"`{text_col}`"))).alias("coded")).select("row", "coded.*")
