@@ -2,11 +2,15 @@
 
 The vocabulary file gives pieces and scores; nothing is trained.  A text is cut into units that no
 piece crosses.  In each unit the candidate merges wait on an agenda, best score first and then from
-the left; each one taken from it is skipped if a hash keyed by the seed, the unit, its variant, the
-place and the piece says so.  A skipped merge returns only if a neighbour changes.  Occurrences of
-a unit have one of a few variants, drawn by a hash of seed, document and place, so a corpus sees
-varied segmentations, a rerun sees the same ones, and each distinct (unit, variant) of a batch is
-segmented once: short ones together in arrays, long ones with a heap.
+the left; each one taken from it is skipped if a hash keyed by the seed, the document, the unit's
+place in it, the symbol's place and the piece says so.  A skipped merge returns only if a neighbour
+changes.  So every occurrence of a unit has draws of its own, and a rerun has the same ones.
+
+What the draws lead to is kept for short units: a node is a unit with the tests at which a merge was
+skipped so far.  It has the pieces that come out if nothing more is skipped, and the tests on the way
+there.  An occurrence makes its draws for these tests; the first one skipped leads to the next node,
+which is segmented when the first occurrence comes to it.  Longer units are segmented at each
+occurrence: in arrays, or with a heap.
 
 Characters without a piece, and the blank's own mark, become byte pieces: decoding gives back every
 text.
@@ -16,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +34,16 @@ from pyspark.sql import functions as F
 from pagecensus.llm.common import as_row, whole
 
 MARK = "▁"
-VARIANTS = 4
+#: Units with more symbols are segmented at each of their occurrences.
+LONGEST_KEPT = 10
+#: Tests of a kept unit at most: a pair of neighbours at first and two new ones a merge.
+MOST_TESTS = 3 * LONGEST_KEPT
 #: Units with more symbols are segmented one by one.
 LONGEST_IN_ARRAYS = 48
 #: Characters of the texts that are segmented together.
 CHUNK = 500_000
-#: Distinct units whose segmentations a task keeps for its next texts; it begins anew beyond them.
-KEPT_UNITS = 150_000
+#: Distinct units and nodes that a task keeps for its next texts; it begins anew beyond them.
+KEPT_UNITS, KEPT_NODES = 150_000, 600_000
 #: Bits of the table that finds merges.
 _TABLE_BITS = 18
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
@@ -122,30 +129,33 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, most: np.uint64) -> np.ndarray:
-    """Whether the merge into ``piece`` at symbol ``place`` is dropped for a unit with this key."""
+    """Whether the merge into ``piece`` at symbol ``place`` is dropped for an occurrence with this key."""
     at = place.astype("uint64") * _STEP + piece.astype("uint64")
     return _mixed(key ^ _mixed(at)) < most
 
 
-def _together(symbols: np.ndarray, key: np.ndarray, v: Vocabulary, most: np.uint64) -> np.ndarray:
-    """Segments many units at once; rows of ``symbols`` end in -1, and so do those returned."""
+def _together(symbols: np.ndarray, v: Vocabulary, dropped: Callable[..., np.ndarray]) -> np.ndarray:
+    """Segments many units at once; rows of ``symbols`` end in -1, and so do those returned.
+
+    ``dropped`` gets rows, the number of the test (the same for all of them), symbol places and pieces.
+    """
     done = np.empty_like(symbols)
     row = np.arange(len(symbols))
     place = np.tile(np.arange(symbols.shape[1], dtype="int32"), (len(symbols), 1))
     rank, piece = v.found(symbols[:, :-1], symbols[:, 1:])
     column = np.arange(symbols.shape[1])
+    test = 0
     while len(row):
         best = rank.argmin(axis=1)
         line = np.arange(len(row))
         live = rank[line, best] < _NEVER
         if not live.all():
             done[row[~live]] = symbols[~live]
-            row, symbols, place, rank, piece, key, best = (
-                x[live] for x in (row, symbols, place, rank, piece, key, best)
-            )
+            row, symbols, place, rank, piece, best = (x[live] for x in (row, symbols, place, rank, piece, best))
             line = np.arange(len(row))
         joined = piece[line, best]
-        drop = _skipped(key, place[line, best], joined, most)
+        drop = dropped(row, test, place[line, best], joined)
+        test += 1
         rank[line[drop], best[drop]] = _NEVER
         at, b = line[~drop], best[~drop]
         if not len(at):
@@ -225,26 +235,27 @@ def _spelled(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return pieces, size
 
 
-def _segmented(
-    units: list[str], unit: np.ndarray, variant: np.ndarray, v: Vocabulary, dropout: float, seed: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of each (unit number, variant): one pool, and where each begins and how long it is."""
-    most = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
-    named = np.fromiter(map(xxhash.xxh3_64_intdigest, (u.encode("utf-8", "surrogatepass") for u in units)), "uint64", len(units))
-    key = _mixed(named[unit] ^ _mixed(variant.astype("uint64") * _STEP + np.uint64(seed)))
-    flat, sizes = _spelled(units, v)
-    begin, size = (np.cumsum(sizes) - sizes)[unit], sizes[unit]
-    pools, first, long = [], np.zeros(len(unit), dtype="int64"), np.zeros(len(unit), dtype="int64")
-    used = low = 0
-    for high in (5, 8, 12, 20, LONGEST_IN_ARRAYS):
+def _tables(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their symbols as a table whose rows end in -1) for rows of up to ``longest`` symbols."""
+    low = 0
+    for high in sorted({min(h, longest) for h in (5, 8, LONGEST_KEPT, 12, 20, longest)}):
         rows = np.flatnonzero((size > low) & (size <= high))
         low = high
-        if not len(rows):
-            continue
-        column = np.arange(high + 1)
-        inside = column < size[rows, None]
-        table = np.where(inside, flat[np.minimum(begin[rows, None] + column, len(flat) - 1)], -1)
-        table = _together(table, key[rows], v, most)
+        if len(rows):
+            column = np.arange(high + 1)
+            inside = column < size[rows, None]
+            yield rows, np.where(inside, flat[np.minimum(begin[rows, None] + column, len(flat) - 1)], -1)
+
+
+def _keyed(
+    flat: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, v: Vocabulary, most: np.uint64
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of each occurrence, by its key: one pool, and where each begins and how long it is."""
+    pools, first, long = [np.zeros(0, dtype="int64")], np.zeros(len(key), dtype="int64"), np.zeros(len(key), dtype="int64")
+    used = 0
+    for rows, table in _tables(flat, begin, size, LONGEST_IN_ARRAYS):
+        own = key[rows]
+        table = _together(table, v, lambda row, _, place, piece: _skipped(own[row], place, piece, most))
         long[rows] = (table >= 0).sum(axis=1)
         first[rows] = used + np.cumsum(long[rows]) - long[rows]
         pools.append(table[table >= 0])
@@ -254,68 +265,158 @@ def _segmented(
         first[r], long[r] = used, len(pieces)
         pools.append(pieces)
         used += len(pieces)
-    return np.concatenate(pools).astype("int32"), first, long
+    return np.concatenate(pools), first, long
+
+
+class _Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: str):
+        self.data, self.used = np.zeros(1024, dtype=kind), 0
+
+    def put(self, values: np.ndarray) -> int:
+        """Writes values behind the end, where the next ones replace them; returns where they begin."""
+        while self.used + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.used : self.used + len(values)] = values
+        return self.used
+
+    def add(self, values: np.ndarray) -> int:
+        """Appends values; returns where they begin."""
+        at = self.put(values)
+        self.used += len(values)
+        return at
+
+
+def _runs(first: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """The numbers from each first one, so many each."""
+    end = np.cumsum(long)
+    return np.repeat(first - (end - long), long) + np.arange(end[-1] if len(end) else 0)
 
 
 class Encoder:
-    """Encodes texts one batch after another; keeps the segmentations it has made."""
+    """Encodes texts one batch after another; keeps the segmentations of short units."""
 
     def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1):
-        self.vocabulary, self.dropout, self.seed = vocabulary, dropout, seed
+        self.vocabulary, self.seed = vocabulary, seed
+        self.most = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.units: list[str] = []
-        self.first, self.long = np.full((2, 1024), -1, dtype="int64")
-        self.pool, self.used = np.zeros(1024, dtype="int32"), 0
-
-    def _learn(self, distinct: np.ndarray) -> None:
-        """Segments the (unit, variant) numbers that are new."""
-        while distinct[-1] >= len(self.first):
-            self.first, self.long = (np.concatenate([x, np.full(len(x), -1, dtype="int64")]) for x in (self.first, self.long))
-        new = distinct[self.first[distinct] < 0]
-        if not len(new):
+        self.symbols, self.begin, self.size, self.root = _Pool("int32"), _Pool("int64"), _Pool("int64"), _Pool("int64")
+        # A node: its unit, the node it comes from and the test skipped there (-1: none), its pieces, its tests.
+        self.unit, self.parent, self.skip = _Pool("int64"), _Pool("int64"), _Pool("int64")
+        self.pieces, self.first, self.long = _Pool("int32"), _Pool("int64"), _Pool("int64")
+        self.place, self.piece, self.first_test, self.tests = _Pool("int8"), _Pool("int32"), _Pool("int64"), _Pool("int64")
+        self.after: dict[int, int] = {}
+
+    def _learn(self, units: list[str]) -> None:
+        """Spells new units and adds the nodes of the short ones."""
+        if not units:
             return
-        unit, which = np.unique(new // VARIANTS, return_inverse=True)
-        spelled = [self.units[u] for u in unit.tolist()]
-        pool, first, long = _segmented(spelled, which, new % VARIANTS, self.vocabulary, self.dropout, self.seed)
-        while self.used + len(pool) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), dtype="int32")])
-        self.pool[self.used : self.used + len(pool)] = pool
-        self.first[new], self.long[new] = first + self.used, long
-        self.used += len(pool)
+        flat, size = _spelled(units, self.vocabulary)
+        at = self.symbols.add(flat)
+        self.begin.add(at + np.cumsum(size) - size)
+        unit = self.size.add(size) + np.flatnonzero(size <= min(LONGEST_KEPT, LONGEST_IN_ARRAYS))
+        self.root.add(np.full(len(units), -1, dtype="int64"))
+        self.root.data[unit] = self._grow(unit, *np.full((2, len(unit)), -1, dtype="int64"))
+
+    def _grow(self, unit: np.ndarray, parent: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Adds nodes; returns their numbers."""
+        node = self.unit.add(unit) + np.arange(len(unit))
+        self.parent.add(parent)
+        self.skip.add(skip)
+        skips, at = np.zeros((len(unit), MOST_TESTS), dtype=bool), node
+        while len(line := np.flatnonzero(self.skip.data[at] >= 0)):
+            skips[line, self.skip.data[at[line]]] = True
+            at = np.where(self.skip.data[at] >= 0, self.parent.data[at], at)
+        first, long, first_test, tests = np.zeros((4, len(unit)), dtype="int64")
+        for rows, table in _tables(self.symbols.data, self.begin.data[unit], self.size.data[unit], LONGEST_KEPT):
+            made = []
+
+            def dropped(row, test, place, piece, rows=rows, made=made):
+                later = test > skip[rows[row]]
+                made.append((row[later], place[later], piece[later]))
+                return skips[rows[row], test]
+
+            table = _together(table, self.vocabulary, dropped)
+            long[rows] = (table >= 0).sum(axis=1)
+            first[rows] = self.pieces.add(table[table >= 0]) + np.cumsum(long[rows]) - long[rows]
+            if made:
+                row, place, piece = (np.concatenate(x) for x in zip(*made))
+                order = np.argsort(row, kind="stable")
+                tests[rows] = np.bincount(row, minlength=len(rows))
+                self.place.add(place[order])
+                first_test[rows] = self.piece.add(piece[order]) + np.cumsum(tests[rows]) - tests[rows]
+        for pool, values in ((self.first, first), (self.long, long), (self.first_test, first_test), (self.tests, tests)):
+            pool.add(values)
+        return node
+
+    def _next(self, node: np.ndarray, test: np.ndarray) -> np.ndarray:
+        """The nodes that skipping a test, counted from a node's first one, leads to."""
+        test = test + self.skip.data[node] + 1
+        distinct, which = np.unique(node * MOST_TESTS + test, return_inverse=True)
+        there = np.array([self.after.get(k, -1) for k in distinct.tolist()], dtype="int64")
+        new = distinct[there < 0]
+        if len(new):
+            parent = new // MOST_TESTS
+            there[there < 0] = made = self._grow(self.unit.data[parent], parent, new % MOST_TESTS)
+            self.after.update(zip(new.tolist(), made.tolist()))
+        return there[which]
+
+    def _walked(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The node at which each occurrence ends, by its key."""
+        left = np.arange(len(node))
+        while len(left):
+            at, own = node[left], key[left]
+            long = self.tests.data[at]
+            run = _runs(self.first_test.data[at], long)
+            who = np.repeat(np.arange(len(left)), long)
+            hit = np.flatnonzero(_skipped(own[who], self.place.data[run], self.piece.data[run], self.most))
+            hit = hit[np.diff(who[hit], prepend=-1) > 0]  # the first of each
+            who = who[hit]
+            left = left[who]
+            node[left] = self._next(at[who], hit - (np.cumsum(long) - long)[who])
+        return node
 
     def encode(self, texts: list[str], names: list) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts and where each text's begin, the end of the last included.
 
-        ``names`` identify the texts in the hash.
+        ``names`` identify the texts in the hash, together with what they say.
         """
-        if len(self.units) > KEPT_UNITS:
+        if self.size.used > KEPT_UNITS or self.unit.used > KEPT_NODES:
             self._forget()
-        flat, sizes, number, units = [], [], self.number, self.units
-        for text in texts:
+        flat, sizes, number, units, named = [], [], self.number, [], []
+        for text, name in zip(texts, names):
             own = _UNIT.findall(" " + text) if text else []
             sizes.append(len(own))
+            named.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), xxhash.xxh3_64_intdigest(str(name).encode())))
             for unit in own:
                 n = number.get(unit)
                 if n is None:
-                    number[unit] = n = len(units)
+                    number[unit] = n = len(number)
                     units.append(unit)
                 flat.append(n)
         if not flat:
             return np.zeros(0, dtype="int32"), np.zeros(len(texts) + 1, dtype="int64")
-        size = np.array(sizes, dtype="int64")
+        self._learn(units)
+        unit, size = np.array(flat, dtype="int64"), np.array(sizes, dtype="int64")
         start = np.cumsum(size) - size
-        name = np.array([xxhash.xxh3_64_intdigest(str(n).encode()) for n in names], dtype="uint64")
         place = (np.arange(len(flat)) - np.repeat(start, size)).astype("uint64")
-        variant = _mixed(_mixed(np.repeat(name, size) + np.uint64(self.seed) * _STEP) ^ (place * _STEP)) % np.uint64(VARIANTS)
-        key = np.array(flat, dtype="int64") * VARIANTS + variant.astype("int64")
-        self._learn(np.unique(key))
-        long = self.long[key]
-        end = np.cumsum(long)
-        pieces = self.pool[np.repeat(self.first[key] - (end - long), long) + np.arange(end[-1])]
-        return pieces, np.concatenate([[0], end])[np.concatenate([start, [len(flat)]])]
+        key = _mixed(_mixed(np.repeat(np.array(named, dtype="uint64"), size) + np.uint64(self.seed) * _STEP) ^ (place * _STEP))
+        first, long = np.zeros((2, len(flat)), dtype="int64")
+        node = self.root.data[unit]
+        kept, other = np.flatnonzero(node >= 0), np.flatnonzero(node < 0)
+        node = self._walked(node[kept], key[kept])
+        first[kept], long[kept] = self.first.data[node], self.long.data[node]
+        there = unit[other]
+        pool, begin, long[other] = _keyed(
+            self.symbols.data, self.begin.data[there], self.size.data[there], key[other], self.vocabulary, self.most
+        )
+        first[other] = begin + self.pieces.put(pool)
+        ends = np.concatenate([[0], np.cumsum(long)])
+        return self.pieces.data[_runs(first, long)], ends[np.concatenate([start, [len(flat)]])]
 
 
 def encode(texts: list[str], names: list, v: Vocabulary, dropout: float = 0.1, seed: int = 1) -> list[np.ndarray]:
@@ -350,8 +451,8 @@ def encoded(
     ``decoded``, the text those pieces give back.
 
     Null counts as empty, and an empty text has no pieces.  The vocabulary is read here and sent to
-    the tasks: its size does not depend on the data.  The same identifier, text and seed give the
-    same pieces, also in repeated rows.  An empty table gives an empty result; columns may have any
+    the tasks: its size does not depend on the data.  Merges are dropped at each occurrence of a word
+    by itself; the same identifier, text and seed give the same pieces, also in repeated rows.  An empty table gives an empty result; columns may have any
     names.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(model_path))

@@ -310,3 +310,18 @@ def test_pipeline_stages_do_what_they_say(spark):
     want = components({r.doc_id: shingles(r.text, 5) for r in docs.collect()})
     assert sorted(r.doc_id for r in apart) == sorted(i for i, c in want.items() if i == c)
     assert all(f.columns == docs.columns for f in (good, stages["mixing"](spark, docs, SF)))
+
+
+@pytest.mark.parametrize("kept", [10, 0])
+def test_each_occurrence_has_its_own_dropout(kept, monkeypatch):
+    monkeypatch.setattr(piece_codec, "LONGEST_KEPT", kept, raising=False)
+    vocabulary, n = piece_codec.load(PIECE_MODEL), 4000
+    a, word = (piece_codec.encode([w], [0], vocabulary, 0.0)[0].tolist() for w in ("a", "something"))
+    one_text = [" ".join(["a"] * n)], [7]
+    own_ids = ["a"] * n, list(range(n))
+    no_ids = [f"a {i}" for i in range(n)], [None] * n
+    for texts, names in (one_text, own_ids, no_ids):  # a single candidate merge
+        coded = np.concatenate(piece_codec.encode(texts, names, vocabulary, 0.1, 3))
+        assert len(a) == 1 and abs((coded == a[0]).mean() * len(coded) / n - 0.9) < 0.02
+    coded = [tuple(x) for x in piece_codec.encode(["something"] * n, list(range(n)), vocabulary, 0.1, 3)]
+    assert len(set(coded)) > 20 and coded.count(tuple(word)) < 0.9 * n
