@@ -3,15 +3,17 @@
 Documents may belong to several sources.  Those with the same set of sources are one pattern, and
 only the patterns' word totals reach the driver: a pattern's words flow to the quotas of its
 sources, once at no cost, again at a cost that grows with each repetition.  What flows out of a
-pattern says how often all of its documents are taken and how many words are left to choose: the
-documents with the lowest seeded hashes fill these, then a few smaller ones close the gap, taken
-for the first time or, where none is left of a size, once more.
+pattern says how often all of its documents are taken and how many words are left to choose.  These
+are filled in passes: each takes, of the documents no larger than what is left, those with the
+lowest seeded hashes, until no document fits; then documents already taken are passed over again in
+the same way, as often as they may be repeated.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from dataclasses import dataclass, field
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +27,7 @@ MAX_PATTERNS = 4096
 MAX_REPEATS = 3
 #: Hash ranges in which a pattern's words are summed before the last range is looked at by row.
 RANGE_BITS = 16
-#: Spare documents per power of two of their size that may close the gap.
-FILL_PER_CLASS = 16
+LAST_HASH = (1 << 63) - 1
 
 
 def shared_targets(sizes: list[int], weights: list[int], total: int, most: int) -> list[Fraction]:
@@ -109,8 +110,9 @@ def _sized(docs: DataFrame, sources: Column, id_col: str, text_col: str, seed: i
     )
 
 
-def _plan(sized: DataFrame, repeats: int) -> tuple[DataFrame, DataFrame]:
-    """(how to take each pattern, the sources with their sizes and targets); both small."""
+def _plan(sized: DataFrame, repeats: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(how to take each pattern, words of the identifiers with several rows, the sources with their
+    sizes and targets); the first and the last are small."""
     spark = sized.sparkSession
     rows = materialised(sized.select("pattern", "size", "hash"))
     totals = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
@@ -125,71 +127,90 @@ def _plan(sized: DataFrame, repeats: int) -> tuple[DataFrame, DataFrame]:
     sizes = [sum(t for t, m in zip(tokens, members) if i in m) for i in range(len(names))]
     targets = shared_targets(sizes, [1 + i % 3 for i in range(len(names))], sum(tokens), repeats)
     flow = routed(tokens, members, [int(t) for t in targets], repeats)
-    takes = []
-    for r, words, f in zip(totals, tokens, flow):
-        copies, rest = divmod(f, words) if words else (0, 0)
-        takes.append((r.pattern, copies, rest))
-    take = spark.createDataFrame(takes, "pattern string, copies long, rest long")
+    takes = [_Take(r.pattern, *(divmod(f, words) if words else (0, 0))) for r, words, f in zip(totals, tokens, flow)]
+    shares = spark.createDataFrame([(t.pattern,) for t in takes if t.gap], "pattern string")
+    items = materialised(
+        rows.where("size > 0").join(F.broadcast(shares), "pattern")
+        .groupBy("pattern", "hash").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
+    )
+    _fill(items, takes, repeats)
+    take = spark.createDataFrame([(t.pattern, t.copies, t.passes) for t in takes], f"pattern string, copies long, {_PASSES}")
+    together = materialised(items.where("rows > 1").select("pattern", "hash", F.col("size").alias("together")))
     known = spark.createDataFrame(
         [(s, n, float(t)) for s, n, t in zip(names, sizes, targets)],
         "source string, source_size long, target double",
     )
-    return _cuts(rows, take, repeats), known
-
-
-def _cuts(rows: DataFrame, take: DataFrame, repeats: int) -> DataFrame:
-    """take with ``cut`` (hashes up to it are taken once more) and ``fills`` (single hashes, once more)."""
-    shift = 63 - RANGE_BITS
-    chosen = rows.join(F.broadcast(take), "pattern").where("rest > 0 and size > 0")
-    up_to = Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    edges = (
-        chosen.groupBy("pattern", "rest", F.shiftright("hash", shift).alias("part"))
-        .agg(F.sum("size").alias("words"))
-        .withColumn("before", F.coalesce(F.sum("words").over(up_to), F.lit(0)))
-        .where("before <= rest and rest < before + words")
-        .select("pattern", "part", "before")
+    return take, together, known
+
+
+_PASSES = "passes array<struct<level: int, most: long, cut: long>>"
+
+
+@dataclass
+class _Take:
+    """How a pattern is taken: all of it ``copies`` times, ``gap`` words by ``passes``.
+
+    A pass (level, most, cut) takes the documents of up to ``most`` words with hashes up to ``cut``
+    that the level below has taken and no earlier pass of its own level.
+    """
+
+    pattern: str
+    copies: int
+    gap: int
+    level: int = 1
+    passes: list[tuple[int, int, int]] = field(default_factory=list)
+
+
+def _taken(level: Column | int) -> Column:
+    """Whether a pass of this level takes a document of ``size`` words and this ``hash``."""
+    return F.exists(
+        "passes", lambda p: (p["level"] == level) & (F.col("size") <= p["most"]) & (F.col("hash") <= p["cut"])
     )
-    edges = materialised(edges)  # one row per pattern
+
+
+def _fill(items: DataFrame, takes: list[_Take], repeats: int) -> None:
+    """Adds passes until no document of a pattern fits its gap; only sums by pattern reach the driver.
+
+    A pass sums a pattern's words in hash ranges, and looks at the rows of one range only.  Each
+    leaves less than the document it stopped at, so their number grows with the logarithm of a size.
+    """
+    spark, shift = items.sparkSession, 63 - RANGE_BITS
+    up_to = Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     by_hash = Window.partitionBy("pattern").orderBy("hash")
-    inside = (
-        chosen.withColumn("part", F.shiftright("hash", shift))
-        .join(F.broadcast(edges), ["pattern", "part"])
-        .withColumn("until", F.col("before") + F.sum("size").over(by_hash))  # equal hashes count together
-        .where("until <= rest")
-        .groupBy("pattern").agg(F.max("hash").alias("last"), F.max("until").alias("until"))
-    )
-    cuts = take.join(edges, "pattern", "left").join(inside, "pattern", "left").select(
-        "pattern", "copies",
-        F.coalesce("last", F.shiftleft("part", shift) - 1, F.lit(-1)).alias("cut"),
-        (F.col("rest") - F.coalesce("until", "before", F.lit(0))).alias("gap"),
-    )
-    cuts = materialised(cuts)
-    lowest = Window.partitionBy("pattern", "class", "fresh").orderBy("hash", "size")
-    spare = (
-        rows.join(F.broadcast(cuts), "pattern")
-        .where((F.col("hash") > F.col("cut")) | (F.col("copies") + 2 <= repeats))
-        .where("size > 0 and size <= gap")
-        .groupBy("pattern", "gap", "hash", (F.col("hash") > F.col("cut")).alias("fresh")).agg(F.sum("size").alias("size"))
-        .where("size <= gap")
-        .withColumn("class", F.floor(F.log2("size")))
-        .withColumn("place", F.row_number().over(lowest))
-        .where(F.col("place") <= FILL_PER_CLASS)
-        .groupBy("pattern", "gap")
-        .agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "fresh", "hash")))).alias("spare"))
-    )
-    none = F.array().cast("array<bigint>")
-    filled = F.aggregate(
-        "spare",
-        F.struct(F.col("gap").alias("gap"), none.alias("fills")),
-        lambda s, x: F.when(
-            x["size"] <= s["gap"],
-            F.struct((s["gap"] - x["size"]).alias("gap"), F.concat(s["fills"], F.array(x["hash"])).alias("fills")),
-        ).otherwise(s),
-    )
-    fills = spare.select("pattern", filled["fills"].alias("fills"))
-    return materialised(cuts.join(fills, "pattern", "left").select(
-        "pattern", "copies", "cut", F.coalesce("fills", none).alias("fills")
-    ))
+    while open_ := {t.pattern: t for t in takes if t.gap and t.copies + t.level <= repeats}:
+        now = spark.createDataFrame(
+            [(t.pattern, t.gap, t.level, t.passes) for t in open_.values()], f"pattern string, gap long, level int, {_PASSES}"
+        )
+        below = (F.col("level") == 1) | _taken(F.col("level") - 1)
+        fitting = items.join(F.broadcast(now), "pattern").where("size <= gap").where(below & ~_taken(F.col("level"))).select(
+            "pattern", "gap", "hash", "size", F.shiftright("hash", shift).alias("part")
+        )
+        edges = (
+            fitting.groupBy("pattern", "gap", "part").agg(F.sum("size").alias("words"))
+            .withColumn("until", F.sum("words").over(up_to))
+            .groupBy("pattern").agg(
+                F.max(F.when(F.col("until") <= F.col("gap"), F.col("until"))).alias("before"),
+                F.min(F.when(F.col("until") > F.col("gap"), F.col("part"))).alias("part"),
+            ).collect()
+        )
+        cut = [(e.pattern, e.part, e.before or 0) for e in edges if e.part is not None]
+        inside = (
+            fitting.join(F.broadcast(spark.createDataFrame(cut, "pattern string, part long, before long")), ["pattern", "part"])
+            .withColumn("until", F.col("before") + F.sum("size").over(by_hash))
+            .where("until <= gap")
+            .groupBy("pattern").agg(F.max("hash").alias("last"), F.max("until").alias("until"))
+        ).collect() if cut else []
+        last = {r.pattern: (r.last, r.until) for r in inside}
+        for e in edges:
+            t = open_.pop(e.pattern)
+            if e.part is None:
+                hash_, words = LAST_HASH, e.before
+            else:
+                hash_, words = last.get(e.pattern, ((e.part << shift) - 1, e.before))
+            t.passes.append((t.level, t.gap, hash_))
+            t.gap -= words
+        for t in open_.values():  # nothing fits
+            t.level += 1
 
 
 def mix(
@@ -211,11 +232,15 @@ def mix(
     A row without any source is never taken.
     """
     sized = _sized(docs, sources, id_col, text_col, seed)
-    plan, known = _plan(sized, repeats)
-    again = (F.col("hash") <= F.col("cut")).cast("long") + F.array_contains("fills", F.col("hash")).cast("long")
-    times = F.when(F.col("size") > 0, F.col("copies") + again).otherwise(0)
-    taken = sized.join(F.broadcast(plan), "pattern", "left").select(
-        "row", "size", "pattern", F.coalesce(times, F.lit(0)).alias("times")
+    plan, together, known = _plan(sized, repeats)
+    held, again = F.lit(True), F.lit(0).cast("long")
+    for level in range(1, repeats + 1):
+        held = held & _taken(level)
+        again = again + held.cast("long")
+    times = F.when(F.col("own") > 0, F.col("copies") + again).otherwise(0)
+    placed = sized.join(together, ["pattern", "hash"], "left").join(F.broadcast(plan), "pattern", "left")
+    taken = placed.withColumn("own", F.col("size")).withColumn("size", F.coalesce("together", "size")).select(
+        "row", F.col("own").alias("size"), "pattern", F.coalesce(times, F.lit(0)).alias("times")
     )
     return taken, known
 

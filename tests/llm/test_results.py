@@ -79,6 +79,21 @@ def test_overlapping_sources(spark):
     assert sum(words.values()) == 1200 and words['["x"]'] == words['["x","y"]'] == words['["y"]'] == 400
 
 
+def test_mixing_fills_the_gap_before_a_long_document(spark):
+    # Source a wants a third of all words; its one long document has a hash where they are reached.
+    shorts = [(i, "a" if i < 3000 else "b", 64 + i * 37 % 64) for i in range(6000)]
+    sizes = {s: sum(n for _, t, n in shorts if t == s) for s in "ab"}
+    rest = (sum(sizes.values()) + 20_000) // 3
+    hashed = spark.range(10_000, 10_200).select("id", F.shiftrightunsigned(F.xxhash64(F.lit(1), "id"), 1).alias("h"))
+    long = min(hashed.collect(), key=lambda r: abs(r.h / 2**63 - (rest - 10_000) / sizes["a"])).id
+    rows = [*shorts, (long, "a", 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n int").withColumn("text", F.expr("repeat('w ', n)"))
+    taken, known = mix(docs, F.array("source"))
+    words = {r.source: r.words for r in taken.groupBy("row.source").agg(F.sum(F.col("size") * F.col("times")).alias("words")).collect()}
+    for r in known.collect():
+        assert 0 <= r.target - words[r.source] < 64
+
+
 def shingles(text, width):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
