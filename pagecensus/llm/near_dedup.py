@@ -41,7 +41,6 @@ SKETCH_LONGS, PARITY_LONGS = 8, 32
 MARGIN = 0.2
 #: Members of one band that a row outside its largest component meets in one task, on average.
 BLOCK = 1024
-LAST_ID = (1 << 63) - 1
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,7 +104,7 @@ def _signatures(width: int, seed: int):
                 sketches.append(_parities(_mixed(least + places), SKETCH_LONGS))
                 parities.append(_parities(s, PARITY_LONGS))
             yield pd.DataFrame({
-                "id": batch["id"], "n": sizes, "digest": digests, "keys": keys, "sketch": sketches, "parity": parities,
+                "id": batch["id"], "known": batch["known"], "n": sizes, "digest": digests, "keys": keys, "sketch": sketches, "parity": parities,
             })
 
     return sign
@@ -170,14 +169,16 @@ def near_duplicates(
 
     Null and empty texts have no shingles and are linked with nothing: each stays, as itself.
     Rows of one identifier are one document with several texts: it is linked where one of them is,
-    and has the size of the largest set.  A null identifier counts as the largest, gives a null
-    component if it is alone, and is kept then.  An empty table gives an empty
+    and has the size of the largest set.  Each row with a null identifier is a document of its own,
+    known in the graph by a 64-bit hash of its text.  Null counts as the largest: a component of such
+    rows only has a null ``component_id``, and one of them is kept.  An empty table gives an empty
     result.  Input columns may have any names.
     """
     named = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("own"), whole(text_col).alias("text"))
-    named = named.withColumn("id", F.coalesce(F.col("own").cast("long"), F.lit(LAST_ID)))
-    signed = materialised(named.select("id", "text").mapInPandas(
-        _signatures(width, seed), "id long, n long, digest binary, keys array<long>, sketch array<long>, parity array<long>"
+    named = named.withColumn("id", F.coalesce(F.col("own").cast("long"), F.xxhash64(F.lit("no id"), "text")))
+    named = named.withColumn("known", F.col("own").cast("long").isNotNull())
+    signed = materialised(named.select("id", "known", "text").mapInPandas(
+        _signatures(width, seed), "id long, known boolean, n long, digest binary, keys array<long>, sketch array<long>, parity array<long>"
     ))
     classes = materialised(
         signed.where("n > 0").groupBy("digest").agg(
@@ -249,19 +250,32 @@ def _near_other_parts(members: DataFrame, size: DataFrame, parts: DataFrame, per
 
 
 def _answers(named: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
-    """The component of each row."""
+    """The component of each row, by its smallest identifier that is not null."""
     placed = signed.join(found, "digest", "left").select(
-        "id", "n", "digest", F.coalesce("component", "id").alias("component")
+        "id", "known", "n", "digest", F.coalesce("component", "id").alias("component")
     )
-    repeated = placed.groupBy("id").agg(
+    repeated = materialised(placed.groupBy("id", "known").agg(
         F.count("*").alias("rows"), F.max("n").alias("n"), F.min("component").alias("component")
+    ))
+    # Only in components with null identifiers the smallest node may be none of the identifiers.
+    renamed = materialised(
+        repeated.groupBy("component").agg(F.min(F.when(F.col("known"), F.col("id"))).alias("least"), F.min("known").alias("all"))
+        .where(~F.col("all")).select("component", F.col("least"), F.lit(True).alias("some"))
     )
-    narrow = repeated.select(
-        F.col("id").alias("__id"), F.col("n").alias("n_shingles"), F.col("component").alias("component")
-    )
-    joined = named.drop("text").join(narrow, F.col("id") == F.col("__id"))
-    missing = F.col("component") == LAST_ID
-    return joined.select(
-        "row", "n_shingles", F.when(~missing, F.col("component")).alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
-    )
+    named_part = F.when(F.col("some"), F.col("least")).otherwise(F.col("component"))
+    first = F.when(named_part.isNotNull(), F.col("known") & (F.col("id") == named_part)).otherwise(F.col("id") == F.col("component"))
+    narrow = materialised(repeated.join(renamed, "component", "left").select(
+        F.col("id").alias("__id"), F.col("known").alias("__known"), F.col("n").alias("n_shingles"),
+        named_part.alias("component_id"), first.alias("kept"),
+        (first & ~F.col("known") & (F.col("n") > 0) & (F.col("rows") > 1)).alias("copied"),
+    ))
+    met = (F.col("id") == F.col("__id")) & (F.col("known") == F.col("__known"))
+    joined = named.drop("text").join(narrow, met)
+    columns = ["row", "n_shingles", "component_id", "kept"]
+    if narrow.where("copied").isEmpty():
+        return joined.select(*columns)
+    # Rows with one text and no identifier, whose component has none: the first one written is kept.
+    copies = materialised(joined.where("copied").select("id", *columns).withColumn("at", F.monotonically_increasing_id()))
+    firsts = copies.groupBy("id").agg(F.min("at").alias("at")).select("at", F.lit(True).alias("is_first"))
+    chosen = copies.drop("kept").join(firsts, "at", "left").withColumn("kept", F.coalesce("is_first", F.lit(False)))
+    return joined.where("not copied").select(*columns).unionByName(chosen.select(*columns))

@@ -122,6 +122,24 @@ def test_near_dedup_ids(docs):
     assert len(found[8]) == 2 and {x[1] for x in found[8]} == {6}
 
 
+def test_near_dedup_of_rows_without_an_id(spark):
+    words = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcde"]
+    rows = [
+        (5, words[0]), (None, words[0] + " x"), (None, words[1]), (None, words[2]), (None, words[2] + " x"), (None, words[2]),
+        (None, words[3]), (None, words[3]), (None, ""), (None, " "), (None, ""), (6, words[4]),
+    ]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    by_text = {}
+    for r in found:
+        by_text.setdefault(r.row.text[:1].strip(), []).append((r.row.doc_id, r.component_id, r.kept))
+    assert sorted(by_text["a"], key=str) == [(5, 5, True), (None, 5, False)]
+    assert by_text["b"] == [(None, None, True)] and by_text["e"] == [(6, 6, True)]
+    assert sorted(by_text["c"], key=str) == [(None, None, False)] * 2 + [(None, None, True)]
+    assert sorted(by_text["d"], key=str) == [(None, None, False), (None, None, True)]
+    assert by_text[""] == [(None, None, True)] * 3
+
+
 def test_license_edges(docs):
     found = {r.row.doc_id: r for r in license_scan(docs).collect()}
     assert (found[3].n_words, found[3].n_base, found[3].first_word, found[3].labels, found[3].score) == (0, 0, None, "", 0.0)
