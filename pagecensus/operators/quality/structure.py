@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.columns import CODE_SHAPE, settled, strict_json
+from pagecensus.sources.json_ranges import is_long, long_parts
 
 # Closed vocabularies and lexical shapes of document members.
 _C0 = V.CONTROL_CLASS.replace("0020", "001F")
@@ -459,22 +460,38 @@ def _text_items(items: DataFrame, rules: Callable) -> DataFrame:
 def structural_violations(documents: DataFrame, contract: str) -> DataFrame:
     """(run_id, text) -> (run_id, pointer, keyword) of every broken structural rule.
 
-    Text that is no JSON is one violation at the root.
+    Text that is no JSON is one violation at the root.  Long texts are taken apart, and their rules
+    hold of the parts: the shell has stand-ins for its arrays' items, the items are rows.
     """
     whole, objects, texts = CONTRACTS[contract]
     root = F.lit("")
-    parsed = settled(documents.select("run_id", strict_json(F.col("text")).alias("__doc")), ["__doc"])
-    unreadable = parsed.where("__doc is null").select("run_id", root.alias("pointer"), F.lit("json").alias("keyword"))
-    found = [unreadable, _found(parsed, whole(F.col("__doc"), root).columns())]
+    short = F.when(~is_long(F.col("text")), strict_json(F.col("text")))
+    parsed = settled(documents.where(~is_long(F.col("text"))).select("run_id", short.alias("__doc")), ["__doc"])
+    long = long_parts(documents.select(F.col("run_id").alias("name"), "text"))
+    roots = parsed
+    if long is not None:
+        roots = parsed.unionByName(long.shells.select(F.col("name").alias("run_id"), F.col("value").alias("__doc")))
+    unreadable = roots.where("__doc is null").select("run_id", root.alias("pointer"), F.lit("json").alias("keyword"))
+    found = [unreadable, _found(roots, whole(F.col("__doc"), root).columns())]
+
+    def items(name: str) -> DataFrame:
+        rows = _items(parsed, "__doc", root, name)
+        if long is None:
+            return rows
+        at = F.concat(F.lit(f"/{name}/"), F.col("place").cast("string"))
+        return rows.unionByName(long.items.where(F.col("member") == name).select(
+            F.col("name").alias("run_id"), at.alias("__at"), F.col("value").alias("__item")
+        ))
+
     for name, rules in objects.items():
-        items = _items(parsed, "__doc", root, name)
-        found.append(_found(items, rules(F.col("__item"), F.col("__at")).columns()))
+        held = items(name)
+        found.append(_found(held, rules(F.col("__item"), F.col("__at")).columns()))
         nested = _NESTED_TEXTS.get(contract)
         if nested and nested[0] == name:
             for member, item_rules in nested[1].items():
-                found.append(_text_items(_items(items, "__item", F.col("__at"), member), item_rules))
+                found.append(_text_items(_items(held, "__item", F.col("__at"), member), item_rules))
     for name, item_rules in texts.items():
-        found.append(_text_items(_items(parsed, "__doc", root, name), item_rules))
+        found.append(_text_items(items(name), item_rules))
     result = found[0]
     for part in found[1:]:
         result = result.unionByName(part)

@@ -9,6 +9,7 @@ from pagecensus import schemas
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.columns import declared_charset, lookup, media_type, strict_json, stripped
 from pagecensus.functions.content import undone_content
+from pagecensus.sources.json_ranges import is_long, long_parts
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -29,18 +30,21 @@ def split_documents(lines: DataFrame, column: str, schema: str) -> tuple[DataFra
         "columnNameOfCorruptRecord": "_malformed",
         "allowNonNumericNumbers": "false",
     }
-    parsed = lines.withColumn(
-        "document", F.from_json(F.col(column), f"{schema}, _malformed string", options)
-    )
-    malformed = (
-        F.col("document").isNull()
-        | F.col("document._malformed").isNotNull()
-        | strict_json(F.col(column)).isNull()
-    )
-    documents = parsed.where(~malformed).withColumn(
-        "document", F.col("document").dropFields("_malformed")
-    )
-    return documents.drop(column), parsed.where(malformed).drop("document")
+    text = F.col(column)
+    parsed = lines.withColumn("document", F.from_json(text, f"{schema}, _malformed string", options))
+    unread = ~is_long(text) & strict_json(F.when(~is_long(text), text)).isNull()
+    # Long lines are judged in parts, by their digest: equal lines have one verdict.
+    digest = F.when(is_long(text), F.sha2(text, 256))
+    long = long_parts(lines.select(digest.alias("name"), text.alias("text")))
+    if long is None:
+        malformed = unread
+    else:
+        bad = long.shells.where("value is null").select(F.col("name").alias("__digest")).distinct().withColumn("__bad", F.lit(True))
+        parsed = parsed.withColumn("__digest", digest).join(bad, "__digest", "left").withColumn("__bad", F.col("__bad").isNotNull())
+        malformed = unread | F.col("__bad")
+    malformed = F.col("document").isNull() | F.col("document._malformed").isNotNull() | malformed
+    documents = parsed.where(~malformed).withColumn("document", F.col("document").dropFields("_malformed"))
+    return documents.drop(column, "__digest", "__bad"), parsed.where(malformed).drop("document", "__digest", "__bad")
 
 
 def normalise_captures(raw: DataFrame) -> DataFrame:
