@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagecensus.llm.common import as_row, whole
+from pagecensus.llm.common import whole
 from pagecensus.session import materialised
 
 #: Words of the runs whose hashes are compared, and windows that one packed string holds at most.
@@ -141,11 +141,10 @@ def _super_kmers(words: Words, window: int) -> tuple[np.ndarray, ...]:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in slices of bounded text; a longer text is one of its own."""
+    """Rows in slices of bounded text (``size`` in bytes); a longer text is one of its own."""
     for batch in batches:
-        sizes = np.array(pa.compute.binary_length(batch.column("text")).fill_null(0), dtype="int64") if batch.num_rows else []
         begin, held = 0, 0
-        for i, size in enumerate(sizes):
+        for i, size in enumerate(batch.column("size").to_pylist()):
             if i > begin and held + size > SLICE_BYTES:
                 yield batch.slice(begin, i - begin)
                 begin, held = i, 0
@@ -154,6 +153,21 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(begin)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts compressed, for the shuffles that bring them to what is found about them."""
+    for batch in _slices(batches):
+        blobs = [None if t is None else pa.compress(t.encode(), codec="zstd", asbytes=True) for t in batch.column("text").to_pylist()]
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", pa.array(blobs, pa.binary()))
+
+
+def _texts(batch: pa.RecordBatch) -> list[str | None]:
+    return [
+        None if b is None else pa.decompress(b, n, "zstd", asbytes=True).decode()
+        for b, n in zip(batch.column("text").to_pylist(), batch.column("size").to_pylist())
+    ]
+
+
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum(counts))).astype("int32")
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
@@ -177,7 +191,7 @@ def _packed(window: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            words = Words(batch.column("text").to_pylist())
+            words = Words(_texts(batch))
             text, first, size, least, _ = _super_kmers(words, window)
             counts = np.bincount(text, minlength=batch.num_rows)
             begin = np.cumsum(counts) - counts
@@ -299,7 +313,8 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        words = Words(batch.column("text").to_pylist())
+        texts = _texts(batch)
+        words = Words(texts)
         spans = batch.column("spans")
         asked = np.diff(spans.offsets.to_numpy())
         held, of = spans.flatten(), np.repeat(np.arange(batch.num_rows), asked)
@@ -316,26 +331,37 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(blob[low : max(low, high - 1)].decode())
             low = high
         yield pa.record_batch([
-            batch.column("row"), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()),
-        ], names=["row", "n_words", "n_removed", "kept_text"])
+            batch.column("rest"), pa.array(texts, pa.string()), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()),
+            pa.array(kept, pa.string()),
+        ], names=["rest", "text", "n_words", "n_removed", "kept_text"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = whole(f"`{text_col}`")
-    name = F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("\n"), text)
-    return docs.select(as_row(docs), text.alias("text"), F.unhex(F.md5(name.cast("binary"))).alias("key"))
+    """The text (null as it is), its bytes, a key of identifier and text, and the other columns."""
+    text = F.col(f"`{text_col}`")
+    name = F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("\n"), whole(text))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(
+        F.struct(F.lit(1).alias("_"), *rest).alias("rest"), text.alias("text"), F.octet_length(whole(text)).alias("size"),
+        F.unhex(F.md5(name.cast("binary"))).alias("key"),
+    )
+
+
+def _compressed(keyed: DataFrame) -> DataFrame:
+    kinds = [T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in keyed.schema]
+    return keyed.mapInArrow(_small, T.StructType(kinds))
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, spans): the spans of words that a repeated window covers, per identifier and text."""
     spark = docs.sparkSession
-    texts = _keyed(docs, id_col, text_col).select("key", "text")
+    texts = _keyed(docs, id_col, text_col).select("key", "text", "size")
     marks = materialised(texts.mapInArrow(_minimisers(window), "key binary, hashes array<long>, again array<long>"))
     often = marks.select(F.explode(F.concat("hashes", "again")).alias("hash")).groupBy("hash").count().where("count > 1")
     wanted = marks.select("key", F.posexplode("hashes").alias("nth", "hash")).join(often, "hash").select(
         "key", F.struct("nth", F.ceil(F.col("count") / BUCKET).cast("int").alias("chunks")).alias("one")
     ).groupBy("key").agg(F.collect_set("one").alias("wanted"))  # at most a text's own super-k-mers
-    packed = texts.join(wanted, "key").mapInArrow(
+    packed = _compressed(texts).join(wanted, "key").mapInArrow(
         _packed(window), "bucket long, chunk int, split boolean, key binary, place int, times long, words string"
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -364,10 +390,10 @@ def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     spans = repeated_spans(docs, window, id_col, text_col)
     keyed = _keyed(docs, id_col, text_col)
     kind = T.StructType([
-        keyed.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
-        T.StructField("kept_text", T.StringType()),
+        keyed.schema["rest"], keyed.schema["text"], T.StructField("n_words", T.LongType()),
+        T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()),
     ])
     none = F.array().cast("array<struct<low:int,high:int>>")
-    return keyed.join(spans, "key", "left").select("row", "text", F.coalesce("spans", none).alias("spans")).mapInArrow(
-        _kept, kind
-    )
+    found = _compressed(keyed).join(spans, "key", "left").select("rest", "text", "size", F.coalesce("spans", none).alias("spans")).mapInArrow(_kept, kind)
+    row = [F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns]
+    return found.select(F.struct(*row).alias("row"), "n_words", "n_removed", "kept_text")

@@ -52,7 +52,7 @@ def _floor(x: Column) -> Column:
 
 def _cut(flat: np.ndarray, width: int) -> np.ndarray:
     """Components as [vector, part, position]: 64-bit integers, or Python's where those may overflow."""
-    cut = flat.reshape(-1, PARTS, width)
+    cut = flat.reshape(len(flat), PARTS, width)
     if not flat.size or np.abs(flat).max() <= EXACT:
         return cut.astype("int64")
     return np.frompyfunc(int, 1, 1)(cut)
