@@ -12,6 +12,7 @@ by one matrix product, and only k rows per query and block leave it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -23,24 +24,43 @@ from pagecensus.session import materialised
 #: Queries and vectors of one block at most, on average; both sides of a matrix product in a task.
 QUERY_BLOCK = 4096
 DATA_BLOCK = 16384
-LEAST_PIVOTS, MOST_PIVOTS = 8, 4096
+#: Pivots; the driver holds a bound per pair of them at most, and k + 1 vectors of each.
+LEAST_PIVOTS, MOST_PIVOTS = 8, 512
 #: Rows of a matrix product held at once.
 SLICE = 256
 #: Relative slack of the bounds against rounding; it can only let more vectors through.
 SLACK = 1e-9
+#: Whole numbers below this are exact as doubles; so are products and sums that stay below it.
+EXACT = 1 << 53
+#: Below every score, by kind of number.
+_LEAST = {"f": -np.inf, "i": np.iinfo("int64").min, "O": -(1 << 200)}
 
 
 def scaled(vector: Column) -> Column:
-    """floor(256 x) of each component as double; null for null or non-finite components."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    exact = F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("double"))
-    return F.when(F.coalesce(finite, F.lit(False)) & (F.size(vector) > 0), exact)
+    """floor(256 x) of each component as double; null if one is null, not finite or 2^53 or more."""
+    grown = F.transform(vector, lambda x: x.cast("double") * 256)
+    fits = F.forall(grown, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(EXACT)))
+    exact = F.transform(grown, lambda x: F.floor(x).cast("double"))
+    return F.when(F.coalesce(fits, F.lit(False)) & (F.size(vector) > 0), exact)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), dtype="float64")
 
 
+def _exact(m: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both matrices in the narrowest numbers that hold all their products' sums: doubles, 64-bit
+    integers or Python's."""
+    most = int(np.abs(m).max(initial=0)) * int(np.abs(side).max(initial=0)) * m.shape[1]
+    if most < EXACT:
+        return m, side
+    kind = "int64" if most < 1 << 63 else object
+    if kind == "int64":
+        return m.astype(kind), side.astype(kind)
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(m), whole(side)
+
+
 def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Adds the nearest pivot, the distance to it and the vector's length."""
     norms = (pivots**2).sum(1)
@@ -85,34 +105,30 @@ def _bounds(queries: DataFrame, pivots, near, near_ids, radius, longest, k: int)
     return found.groupBy("group", "cell").agg(F.min("least").alias("least"), F.max("radius").alias("radius"))
 
 
-def _solved(k: int):
-    """The k best of one data block for each query of one query block."""
+def _solved(k: int, kind: str):
+    """The k best of one data block for each query of one query block; scores are exact integers."""
 
     def solve(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        if not len(queries) or not len(data):
-            return empty
-        data = data.sort_values("id", kind="stable")
-        ids, side = data["id"].to_numpy(), _matrix(data["v"]).T
-        names, m = queries["id"].to_numpy(), _matrix(queries["v"])
         out = []
-        for at in range(0, len(m), SLICE):
-            score = m[at : at + SLICE] @ side
-            score[names[at : at + SLICE, None] == ids] = -np.inf
-            if score.shape[1] > k:
-                kth = np.partition(score, -k, axis=1)[:, -k, None]
-            else:
-                kth = np.full((len(score), 1), -np.finfo("float64").max)
-            row, col = np.nonzero(score >= np.maximum(kth, -np.finfo("float64").max))
-            order = np.lexsort((col, -score[row, col], row))  # ids ascend with the columns
-            row, col = row[order], col[order]
-            first = np.searchsorted(row, row, side="left")
-            keep = np.arange(len(row)) - first < k
-            row, col = row[keep], col[keep]
-            out.append(pd.DataFrame({
-                "query_id": names[at + row], "vec_id": ids[col], "score": score[row, col].astype("int64"),
-            }))
-        return pd.concat(out) if out else empty
+        if len(queries) and len(data):
+            data = data.sort_values("id", kind="stable")
+            ids = data["id"].to_numpy()
+            names = queries["id"].to_numpy()
+            m, side = _exact(_matrix(queries["v"]), _matrix(data["v"]).T)
+            for at in range(0, len(m), SLICE):
+                score = m[at : at + SLICE] @ side
+                other = names[at : at + SLICE, None] != ids
+                if score.shape[1] > k:
+                    score[~other] = _LEAST[score.dtype.kind]
+                    kth = np.sort(score, axis=1)[:, -k, None] if score.dtype == object else np.partition(score, -k, axis=1)[:, -k, None]
+                    other &= score >= kth
+                row, col = np.nonzero(other)
+                found = pd.DataFrame({"query_id": names[at + row], "vec_id": ids[col], "score": score[row, col]})
+                # Identifiers ascend with the columns, and both sorts keep their order.
+                found = found.assign(row=row).sort_values("score", ascending=False, kind="stable").sort_values("row", kind="stable")
+                out.append(found[found.groupby("row").cumcount() < k].drop(columns="row"))
+        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        return found.assign(score=found["score"].map(lambda x: Decimal(int(x)))) if kind != "long" else found.astype("int64")
 
     def join(key, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         return solve(queries, data)
@@ -128,10 +144,11 @@ def top_k(
 
     Components count as floor(256 x).  Returns query_id, rank (from 1), vec_id, score; ties go to
     the smaller identifier.  Rows with a null identifier, an empty vector, null or non-finite
-    components take no part.  A query's own rows are those with its identifier; repeated rows of
-    other identifiers are rows of their own, and repeated query rows are one query (its smallest
-    vector).  Fewer than k others give fewer rows, an empty table none.  All vectors have one
-    length; scores are exact below 2^53.
+    components, or one whose floor(256 x) is 2^53 or more in size, take no part.  A query's own rows
+    are those with its identifier; repeated rows of other identifiers are rows of their own, and
+    repeated query rows are one query (its smallest vector).  Fewer than k others give fewer rows, an
+    empty table none.  Vectors of other lengths than the longest count as filled up with zeros.
+    Scores are exact integers at any size; one beyond 64 bits keeps its rank and is null.
     """
     named = vectors.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), scaled(F.col(f"`{vector_col}`")).alias("v"),
@@ -139,10 +156,14 @@ def top_k(
     ).where("id is not null and v is not null")
     rows = materialised(named)
     spark = rows.sparkSession
-    total, asking = rows.agg(F.count("*"), F.sum(F.col("asks").cast("long"))).first()
+    total, asking, longest, largest = rows.agg(
+        F.count("*"), F.sum(F.col("asks").cast("long")), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))
+    ).first()
     out = "query_id long, rank int, vec_id long, score long"
     if not total or not asking:
         return spark.createDataFrame([], out)
+    kind = "long" if int(largest) ** 2 * longest < 1 << 63 else "decimal(38,0)"
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v"))))
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, -(-asking // (16 * QUERY_BLOCK))))
     # Distinct seeded vectors: one that is very common becomes one pivot.  At most MOST_PIVOTS rows.
     sample = (
@@ -198,11 +219,11 @@ def top_k(
         "chunk", F.explode(F.sequence(F.lit(0), F.element_at(spread, F.col("cell")).cast("int") - 1))
     )
     solved = questions.groupBy(*place).cogroup(copies.groupBy(*place)).applyInPandas(
-        _solved(k), "query_id long, vec_id long, score long"
+        _solved(k, kind), f"query_id long, vec_id long, score {kind}"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
+        "query_id", "rank", "vec_id", F.expr("try_cast(score as long)").alias("score")
     )
 
 
