@@ -196,7 +196,7 @@ def near_duplicates(
     first = _near(pairs, size, percent)
     texts = named.select("id", "text")
     sets = _sets_of(texts, first.select(F.explode(F.array("a", "b")).alias("id")), width)
-    links = materialised(_confirmed(sets, first, percent))
+    links = materialised(_confirmed(sets, first, percent).unionByName(_own_links(signed, classes)))
     parts = connected(links)
     rest = _near_other_parts(members, size, parts, percent)
     more = rest.select(F.explode(F.array("a", "b")).alias("id")).join(sets.select("id").distinct(), "id", "leftanti")
@@ -209,6 +209,15 @@ def near_duplicates(
     return _answers(named, signed, found)
 
 
+def _own_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of one identifier: it is one document with several texts."""
+    texts = signed.where("n > 0").select("id", "digest")
+    several = texts.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
+    nodes = texts.join(several, "id").distinct().join(classes.select("digest", F.col("id").alias("b")), "digest")
+    least = nodes.groupBy("id").agg(F.min("b").alias("a"))
+    return nodes.join(least, "id").where("a <> b").select("a", "b").distinct()
+
+
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, with the input's columns."""
     return near_duplicates(docs, **options).where("kept").select("row.*")
