@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from pagecensus.llm.common import as_row, whole, word_count
 from pagecensus.session import materialised
 
-#: Distinct sets of sources that the network on the driver may hold; more is an error, not a cut.
-MAX_PATTERNS = 4096
 MAX_REPEATS = 3
+#: Patterns up to which what is decided of each is broadcast; beyond, it meets the rows in a shuffle.
+BROADCAST_PATTERNS = 4096
 #: Hash ranges in which a pattern's words are summed before the last range is looked at by row.
 RANGE_BITS = 16
 LAST_HASH = (1 << 63) - 1
@@ -99,6 +99,44 @@ def routed(tokens: list[int], members: list[list[int]], quotas: list[int], repea
     return [sum(room[e ^ 1] for e in out[1 + p] if to[e] != 0 and not e & 1) for p in range(patterns)]
 
 
+def allotted(tokens: list[int], members: list[list[int]], quotas: list[int], repeats: int) -> list[int]:
+    """The flow of every pattern, by independent networks.
+
+    Sources that no pattern joins have networks of their own.  A pattern that is alone with its only
+    source needs none: it gives what its quota and its repetitions allow.
+    """
+    parent = list(range(len(quotas)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for held in members:
+        for other in held[1:]:
+            parent[root(other)] = root(held[0])
+    networks: dict[int, list[int]] = {}
+    for p, held in enumerate(members):
+        if held:
+            networks.setdefault(root(held[0]), []).append(p)
+    flows = [0] * len(tokens)
+    for patterns in networks.values():
+        if len(patterns) == 1 and len(members[patterns[0]]) == 1:
+            p = patterns[0]
+            flows[p] = min(repeats * tokens[p], quotas[members[p][0]])
+            continue
+        local = {s: i for i, s in enumerate(sorted({s for p in patterns for s in members[p]}))}
+        found = routed([tokens[p] for p in patterns], [[local[s] for s in members[p]] for p in patterns], [quotas[s] for s in local], repeats)
+        for p, flow in zip(patterns, found):
+            flows[p] = flow
+    return flows
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_PATTERNS else table
+
+
 def _sized(docs: DataFrame, sources: Column, id_col: str, text_col: str, seed: int) -> DataFrame:
     """row, size, pattern (its distinct sources as JSON) and a hash of 63 bits per row."""
     named = docs.select(as_row(docs), F.array_sort(F.array_distinct(sources)).alias("members"))
@@ -115,22 +153,23 @@ def _plan(sized: DataFrame, repeats: int) -> tuple[DataFrame, DataFrame, DataFra
     sizes and targets); the first and the last are small."""
     spark = sized.sparkSession
     rows = materialised(sized.select("pattern", "size", "hash"))
-    totals = rows.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} distinct sets of sources")
+    totals = rows.groupBy("pattern").agg(F.sum("size").alias("words")).collect()  # a row per set of sources
     totals.sort(key=lambda r: r.pattern)
     sets = [json.loads(r.pattern) for r in totals]
     names = sorted({s for found in sets for s in found}, key=lambda s: (s is None, (s or "").encode()))
     number = {s: i for i, s in enumerate(names)}
     members = [[number[s] for s in found] for found in sets]
     tokens = [r.words for r in totals]
-    sizes = [sum(t for t, m in zip(tokens, members) if i in m) for i in range(len(names))]
+    sizes = [0] * len(names)
+    for words, held in zip(tokens, members):
+        for i in held:
+            sizes[i] += words
     targets = shared_targets(sizes, [1 + i % 3 for i in range(len(names))], sum(tokens), repeats)
-    flow = routed(tokens, members, [int(t) for t in targets], repeats)
+    flow = allotted(tokens, members, [int(t) for t in targets], repeats)
     takes = [_Take(r.pattern, *(divmod(f, words) if words else (0, 0))) for r, words, f in zip(totals, tokens, flow)]
     shares = spark.createDataFrame([(t.pattern,) for t in takes if t.gap], "pattern string")
     items = materialised(
-        rows.where("size > 0").join(F.broadcast(shares), "pattern")
+        rows.where("size > 0").join(_small(shares, len(takes)), "pattern")
         .groupBy("pattern", "hash").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     )
     _fill(items, takes, repeats)
@@ -140,7 +179,7 @@ def _plan(sized: DataFrame, repeats: int) -> tuple[DataFrame, DataFrame, DataFra
         [(s, n, float(t)) for s, n, t in zip(names, sizes, targets)],
         "source string, source_size long, target double",
     )
-    return take, together, known
+    return _small(take, len(takes)), together, known
 
 
 _PASSES = "passes array<struct<level: int, most: long, cut: long>>"
@@ -182,7 +221,7 @@ def _fill(items: DataFrame, takes: list[_Take], repeats: int) -> None:
             [(t.pattern, t.gap, t.level, t.passes) for t in open_.values()], f"pattern string, gap long, level int, {_PASSES}"
         )
         below = (F.col("level") == 1) | _taken(F.col("level") - 1)
-        fitting = items.join(F.broadcast(now), "pattern").where("size <= gap").where(below & ~_taken(F.col("level"))).select(
+        fitting = items.join(_small(now, len(open_)), "pattern").where("size <= gap").where(below & ~_taken(F.col("level"))).select(
             "pattern", "gap", "hash", "size", F.shiftright("hash", shift).alias("part")
         )
         edges = (
@@ -195,7 +234,7 @@ def _fill(items: DataFrame, takes: list[_Take], repeats: int) -> None:
         )
         cut = [(e.pattern, e.part, e.before or 0) for e in edges if e.part is not None]
         inside = (
-            fitting.join(F.broadcast(spark.createDataFrame(cut, "pattern string, part long, before long")), ["pattern", "part"])
+            fitting.join(_small(spark.createDataFrame(cut, "pattern string, part long, before long"), len(cut)), ["pattern", "part"])
             .withColumn("until", F.col("before") + F.sum("size").over(by_hash))
             .where("until <= gap")
             .groupBy("pattern").agg(F.max("hash").alias("last"), F.max("until").alias("until"))
@@ -238,7 +277,7 @@ def mix(
         held = held & _taken(level)
         again = again + held.cast("long")
     times = F.when(F.col("own") > 0, F.col("copies") + again).otherwise(0)
-    placed = sized.join(together, ["pattern", "hash"], "left").join(F.broadcast(plan), "pattern", "left")
+    placed = sized.join(together, ["pattern", "hash"], "left").join(plan, "pattern", "left")
     taken = placed.withColumn("own", F.col("size")).withColumn("size", F.coalesce("together", "size")).select(
         "row", F.col("own").alias("size"), "pattern", F.coalesce(times, F.lit(0)).alias("times")
     )

@@ -59,7 +59,7 @@ def op1_exact_dedup(spark, sf_dir):
 def op2_mixing(spark, sf_dir):
     taken, known = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), F.array("source"))
     mine = F.col("row.source").eqNullSafe(F.col("source"))
-    return taken.join(F.broadcast(known), mine).select(
+    return taken.join(known, mine).select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
         (F.col("size") * F.col("times")).alias("taken"), F.col("row.source").alias("source"), "times",
     )
