@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagecensus.functions.url import with_url_identity
@@ -31,16 +31,22 @@ def observed_captures(captures: DataFrame, homepage: bool = False) -> DataFrame:
 def wanted_captures(selections: DataFrame, captures: DataFrame) -> DataFrame:
     """The latest captures of the selected pages, bodies included and unread.
 
-    Which ones these are is found without the bodies: the scan of the first step has three narrow
-    columns, and only what it leaves meets the captures again, ahead of the parser.
+    Which ones these are is found without the bodies: one ranking over three narrow columns, which
+    sends no more than a page's latest captures on, and only what it leaves meets the captures again,
+    ahead of the parser.  Captures without a time are earlier than all others, and count.
     """
-    keyed = with_url_identity(captures.select("run_id", "requested_url", "captured_at"), "requested_url")
-    latest = (
+    keyed = with_url_identity(captures.select("run_id", "requested_url", "captured_at"), "requested_url").select(
+        "run_id", "url_key", "requested_url", "captured_at"
+    )
+    latest = Window.partitionBy("run_id", "url_key").orderBy(F.desc_nulls_last("captured_at"))
+    forms = (
         keyed.join(selections.select("run_id", "url_key"), ["run_id", "url_key"])
-        .groupBy("run_id", "url_key").agg(F.max("captured_at").alias("captured_at"))
+        .withColumn("place", F.rank().over(latest)).where("place = 1")
+        .select("run_id", "requested_url", "captured_at").distinct()
+        .toDF("__run", "__form", "__at")
     )
-    forms = keyed.join(latest, ["run_id", "url_key", "captured_at"]).select("run_id", "requested_url", "captured_at")
-    return captures.join(forms.distinct(), ["run_id", "requested_url", "captured_at"], "leftsemi")
+    met = (F.col("run_id") == F.col("__run")) & (F.col("requested_url") == F.col("__form"))
+    return captures.join(forms, met & F.col("captured_at").eqNullSafe(F.col("__at")), "leftsemi")
 
 
 def acquire(selections: DataFrame, captures: DataFrame, manifests: DataFrame) -> Acquisition:
