@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields, replace
+
 from pyspark.sql import functions as F
 
 from pagecensus.catalog import inputs
@@ -10,6 +12,9 @@ from pagecensus.catalog.queries import joined, register
 from pagecensus.functions import fixed_values as V
 from pagecensus.operators import lifecycle
 from pagecensus.operators import quality
+from pagecensus.plans import gates
+from pagecensus.plans.acquisition import acquire
+from pagecensus.plans.discovery import discover
 from pagecensus.operators.quality import documents as rules
 from pagecensus.operators.ranking import with_position
 from pagecensus.session import materialised
@@ -383,16 +388,30 @@ def homepage_states(spark, sf_dir):
     return lifecycle.homepage_states(_homepages(spark, sf_dir))
 
 
-def _site_runs(spark, sf_dir):
-    """Breaches by the first page id of each site, so that every outcome occurs."""
-    heads = inputs.seeds(spark, sf_dir).withColumn("requested_at", F.timestamp_seconds(F.col("page_id") + inputs.EPOCH))
-    pid = F.col("page_id")
+def _gated(spark, sf_dir):
+    """A discovery and its pages, tampered with by the first page id of each site, through all gates."""
+    heads = materialised(inputs.seeds(spark, sf_dir).withColumn("requested_at", F.timestamp_seconds(F.col("page_id") + inputs.EPOCH)))
+    pid, first = F.col("page_id"), heads.select("run_id", "page_id")
+    found = discover(inputs.runs(spark, sf_dir), inputs.page_observations(spark, sf_dir), inputs.page_attempts(spark, sf_dir))
+
+    def tampered(df, column, modulus, value):
+        step = df.join(first, "run_id")
+        return step.withColumn(column, F.when(pid % modulus == 0, value).otherwise(F.col(column))).drop("page_id")
+
+    twice = found.attempts.unionByName(found.attempts.join(first.where(pid % 7 == 0), "run_id", "leftsemi"))
+    broken = replace(
+        found, attempts=twice, selections=tampered(found.selections, "stratum", 5, F.lit("")),
+        manifests=tampered(found.manifests, "output_digest", 3, F.lit("other")),
+    )
 
-    def breach(modulus):
-        return quality.rows_where(heads, pid % modulus == 0, F.lit("/"), "derived")
+    def acquiring(selections, captures, manifests):
+        got = acquire(selections, captures, manifests)
+        return replace(got, records=tampered(got.records, "observation_mode", 2, F.lit("RENDERED_BROWSER")))
 
     failed = heads.where(pid % 11 == 0).select("run_id", F.lit("SITE_DISCOVERY_TIMEOUT").alias("failure_code"))
-    return lifecycle.site_runs(heads, failed, breach(7), breach(5), breach(3), breach(2))
+    none = {f.name: getattr(broken, f.name).join(failed, "run_id", "leftanti") for f in fields(broken)}
+    captured = inputs.captures(spark, sf_dir).unionByName(inputs.seed_captures(spark, sf_dir))
+    return gates.gated(heads, failed, replace(broken, **none), captured, acquiring)
 
 
 _FLAGS = """SELECT run_id, generated_at, page_id % 11 = 0 AS b, page_id % 7 = 0 AS i, page_id % 5 = 0 AS m, page_id % 3 = 0 AS a,
@@ -405,7 +424,7 @@ _FLAGS = """SELECT run_id, generated_at, page_id % 11 = 0 AS b, page_id % 7 = 0
     NOT (b OR i) AS has_inventory, NOT (b OR i OR m OR a) AS has_manifest, NOT (b OR i OR m OR a OR p) AS has_page_documents
     FROM ({_FLAGS})""")
 def site_runs(spark, sf_dir):
-    return _site_runs(spark, sf_dir).select(
+    return _gated(spark, sf_dir).runs.select(
         "run_id", "state", "entered_at", "failure_code", "has_inventory", "has_manifest", "has_page_documents"
     )
 
@@ -414,4 +433,24 @@ def site_runs(spark, sf_dir):
     UNION ALL SELECT run_id, 'SAMPLING_PLAN', CASE WHEN m THEN 'FAILED' ELSE 'SUCCEEDED' END FROM ({_FLAGS}) WHERE NOT (b OR i)
     UNION ALL SELECT run_id, 'PAGE_ACQUISITION', CASE WHEN a OR p THEN 'FAILED' ELSE 'SUCCEEDED' END FROM ({_FLAGS}) WHERE NOT (b OR i OR m)""")
 def site_stages(spark, sf_dir):
-    return lifecycle.site_stages(_site_runs(spark, sf_dir))
+    return lifecycle.site_stages(_gated(spark, sf_dir).runs)
+
+
+@register("gated_runs", f"""SELECT f.run_id, CASE WHEN b OR i THEN 0 ELSE c.n END AS candidates, CASE WHEN b OR i OR m OR a THEN 0 ELSE s.n END AS selections,
+    CASE WHEN b OR i OR m OR a OR p THEN 0 ELSE s.n END AS records, CASE WHEN b OR i OR m OR a OR p THEN 0 ELSE x.n END AS measurements,
+    concat_ws('|', CASE WHEN NOT b AND (a OR i OR m) THEN 'admission' END, CASE WHEN NOT b AND i THEN 'inventory' END, CASE WHEN NOT b AND m THEN 'manifest' END,
+      CASE WHEN NOT (b OR i OR m OR a) AND p THEN 'pages' END) AS gates
+    FROM ({_FLAGS}) f JOIN (SELECT run_id, count(*) AS n FROM a_candidates GROUP BY run_id) c USING (run_id)
+    JOIN (SELECT run_id, count(*) AS n FROM acquired GROUP BY run_id) s USING (run_id)
+    JOIN (SELECT run_id, count(*) AS n FROM measured GROUP BY run_id) x USING (run_id)""")
+def gated_runs(spark, sf_dir):
+    """What is left of each run's documents, and which gates withheld the rest."""
+    out = _gated(spark, sf_dir)
+    counts = out.runs.select("run_id")
+    for name, table in (
+        ("candidates", out.found.candidates), ("selections", out.found.selections), ("records", out.got.records),
+        ("measurements", out.got.measurements),
+    ):
+        counts = counts.join(table.groupBy("run_id").agg(F.count("*").alias(name)), "run_id", "left").fillna(0, subset=[name])
+    named = out.verdicts.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("gate")), "|").alias("gates"))
+    return counts.join(named, "run_id", "left").fillna("", subset=["gates"])
