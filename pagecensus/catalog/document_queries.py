@@ -59,17 +59,27 @@ _EVIDENCE_JSON = f"""'{{' || {_ASSESSMENT} || '{_CONTEXT},"evidence_id":"' || ev
     || {sql_quoted('source_url')} || '}}'"""
 
 
+_RECORD_JSON = f"""'{{"acquired_at":"' || acquired_at || '","acquisition_id":"' || acquisition_id || '","acquisition_method":"{V.ACQUISITION_METHOD}"'
+    || ',"acquisition_method_version":"{V.ACQUISITION_METHOD_VERSION}","acquisition_outcome":"' || acquisition_outcome || '"'
+    || coalesce(',"body_decoded":' || body_decoded, '') || coalesce(',"body_digest":"' || body_digest || '"', '')
+    || coalesce(',"body_truncated":' || body_truncated, '') || coalesce(',"final_url_key":' || {sql_quoted('final_url_key')}, '')
+    || coalesce(',"http_status":' || http_status, '') || ',"measurement_refs":["' || replace(measurement_refs, '|', '","') || '"]'
+    || ',"observation_mode":"{V.OBSERVATION_MODE}"' || coalesce(',"redirect_count":' || redirect_count, '') || ',"run_id":"' || run_id
+    || '","sampling_manifest_output_digest":"' || sampling_manifest_output_digest || '","sampling_manifest_ref":"' || sampling_manifest_ref
+    || '","schema_version":"1.0.0","url_key":' || {sql_quoted('url_key')} || '}}'"""
+
+
 @register("document_set_digests", f"""SELECT run_id, 'measurements' AS document_type, count(*) AS count,
       'sha256:' || sha256('[' || string_agg({_MEASUREMENT_JSON}, ',' ORDER BY selection_rank, measurement_no) || ']') AS digest
       FROM (SELECT c.*, r.selection_rank FROM cited c JOIN records r USING (run_id, url_key)) GROUP BY run_id
     UNION ALL SELECT run_id, 'website_evidence', count(*),
       'sha256:' || sha256('[' || string_agg({_EVIDENCE_JSON}, ',' ORDER BY selection_rank, measurement_no) || ']')
-      FROM (SELECT c.*, r.selection_rank FROM cited c JOIN records r USING (run_id, url_key)) GROUP BY run_id""")
+      FROM (SELECT c.*, r.selection_rank FROM cited c JOIN records r USING (run_id, url_key)) GROUP BY run_id
+    UNION ALL SELECT run_id, 'page_acquisitions', count(*), 'sha256:' || sha256('[' || string_agg({_RECORD_JSON}, ',' ORDER BY selection_rank) || ']')
+      FROM records GROUP BY run_id""")
 def document_set_digests(spark, sf_dir):
     got = _acquisition(spark, sf_dir)[1]
-    return receipts.document_set_digests(got.records, got.measurements, got.evidence).where(
-        "document_type <> 'page_acquisitions'"
-    )
+    return receipts.document_set_digests(got.records, got.measurements, got.evidence)
 
 
 @register("run_summaries", """SELECT i.run_id, i.site AS target_origin, inventory_id, i.input_digest AS inventory_input_digest,

@@ -1,13 +1,12 @@
 """Canonical documents and their digests.
 
-A document's canonical text is never built.  It is a set of fragments, each a short text with its
-place in the document; the fragments are shuffled by document, sorted, and streamed through SHA-256
-batch by batch, so memory does not grow with the document.  The digest itself is one serial pass by
-definition; everything before it (JSON, sorting keys, deduplication) runs in parallel.
+A document's canonical text is never held whole.  It is a set of fragments, each a short text with
+its place in the document; ranges of them are sorted and assembled side by side, and the serial pass
+that a digest is by definition sees the few large parts that come out.
 
 Fragment kinds: ``L`` opening or closing text of the document, ``O`` an item of an outer list,
-``M`` text inside such an item, ``I`` an item of a list inside it.  Separators depend on order only
-and are added while streaming.
+``M`` text inside such an item, ``I`` an item of a list inside it.  Separators depend on neighbouring
+kinds only and are added while assembling.
 """
 
 from __future__ import annotations
@@ -15,13 +14,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.columns import digest_text, instant, stable_id
+from pagecensus.session import materialised
 
 PLACE = ["section", "key1", "part", "key2", "key3"]
 
@@ -208,81 +210,139 @@ def list_fragments(documents: DataFrame, order: list[Column], json: Column) -> D
 
 
 def _in_order(fragments: DataFrame) -> DataFrame:
-    return fragments.repartition("doc_id").sortWithinPartitions("doc_id", *PLACE)
+    """Fragments in ranges of (document, place): a large document is read in as many as it fills."""
+    ranged = fragments.repartitionByRange(
+        int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", *PLACE
+    ).sortWithinPartitions("doc_id", *PLACE)
+    return ranged.select(F.spark_partition_id().alias("range"), "doc_id", "kind", "text")
 
 
-def _with_separators(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
-    """(document, text) per fragment, a comma between neighbours of one list."""
-    document, outer, inner = None, 0, 0
+#: Characters from which the text of a document so far is given out as a part.
+_TEXT_PART = 1 << 20
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, str, str, str]]:
+    """(range, document, first kind, last kind, text) of neighbouring fragments of one document.
+
+    What stands between two fragments depends on them alone: items of the outer list follow a comma
+    unless they open it, items of an inner list if they follow one another.
+    """
     for batch in batches:
-        columns = (batch.column(name).to_pylist() for name in ("doc_id", "kind", "text"))
-        for doc_id, kind, text in zip(*columns):
-            if doc_id != document:
-                document, outer, inner = doc_id, 0, 0
-            comma = ""
-            if kind == "O":
-                comma = "," if outer else ""
-                outer, inner = outer + 1, 0
-            elif kind == "I":
-                comma = "," if inner else ""
-                inner += 1
+        if not batch.num_rows:
+            continue
+        docs = np.array(batch.column("doc_id").to_pylist(), dtype=object)
+        kinds = np.array(batch.column("kind").to_pylist())
+        fresh = np.append(True, docs[1:] != docs[:-1])
+        before = np.append("", kinds[:-1])
+        comma = ~fresh & (((kinds == "O") & (before != "L")) | ((kinds == "I") & (before == "I")))
+        texts = pc.binary_join_element_wise(pa.array(np.where(comma, ",", ""), pa.string()), batch.column("text"), "")
+        begin = np.flatnonzero(fresh)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(begin, len(docs)), pa.int32()), texts), "")
+        last = np.append(begin[1:], len(docs)) - 1
+        number = batch.column("range")[0].as_py()
+        yield from zip([number] * len(begin), docs[begin], kinds[begin], kinds[last], joined.to_pylist())
+
+
+def _comma(last: str | None, first: str) -> str:
+    """What stands between a document's text so far, ending in kind ``last``, and the next."""
+    return "," if (first == "O" and last not in (None, "L")) or (first == "I" and last == "I") else ""
+
+
+def _assembled(hashed: bool):
+    """Per range: the digests (or texts) of the short documents that lie in it, and the parts of all others.
+
+    The first document of a range may have begun before it and the last may go on; what joins their
+    parts is decided by the parts' first and last kinds.
+    """
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        document, number, opens, first, last, pending, size = None, 0, True, "", "", [], 0
+
+        def end(done: bool) -> None:
+            nonlocal number, pending, size
+            text = "".join(pending)
+            if done and not number and not opens:
+                whole = "sha256:" + hashlib.sha256(text.encode()).hexdigest() if hashed else text
+                rows.append((document, place, 0, None, None, None, whole))
             else:
-                inner = 0
-                outer = outer if kind == "M" else 0
-            yield doc_id, comma + text
-
+                rows.append((document, place, number, first, last, text, None))
+            number, pending, size = number + 1, [], 0
 
-def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def finished(document, state):
-        return pa.RecordBatch.from_pydict(
-            {"doc_id": [document], "digest": ["sha256:" + state.hexdigest()]}
-        )
+        def flushed() -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            rows.clear()
+            return pa.record_batch(columns, names=["doc_id", "range", "part", "first", "last", "text", "whole"])
 
-    document, state = None, None
-    for doc_id, text in _with_separators(batches):
-        if doc_id != document:
-            if state is not None:
-                yield finished(document, state)
-            document, state = doc_id, hashlib.sha256()
-        state.update(text.encode("utf-8"))
-    if state is not None:
-        yield finished(document, state)
+        place, seen = 0, 0
+        for place, doc_id, head, tail, text in _stretches(batches):
+            if doc_id != document:
+                if document is not None:
+                    end(done=True)
+                opens, seen = seen == 0, seen + 1
+                document, number = doc_id, 0
+            elif size >= _TEXT_PART:
+                end(done=False)
+            if pending:
+                pending.append(_comma(last, head))
+            else:
+                first = head
+            pending.append(text)
+            last, size = tail, size + len(text)
+            if len(rows) >= 1000:
+                yield flushed()
+        if document is not None:
+            end(done=False)  # it may go on in the next range
+        if rows:
+            yield flushed()
 
+    return each
 
-def streamed_digests(fragments: DataFrame) -> DataFrame:
-    """(doc_id, digest) of every document."""
-    columns = _in_order(fragments).select("doc_id", "kind", "text")
-    return columns.mapInArrow(_digest_batches, "doc_id string, digest string")
 
+def _parts(fragments: DataFrame, hashed: bool) -> DataFrame:
+    columns = "doc_id string, range int, part int, first string, last string, text string, whole string"
+    return materialised(_in_order(fragments).mapInArrow(_assembled(hashed), columns))
 
-_TEXT_PART = 1 << 20
 
+def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    document, state, last, found = None, None, None, []
+    for batch in batches:
+        for doc_id, first, ends, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if doc_id != document:
+                if state is not None:
+                    found.append((document, "sha256:" + state.hexdigest()))
+                document, state, last = doc_id, hashlib.sha256(), None
+            state.update((_comma(last, first) + text).encode("utf-8"))
+            last = ends
+    if state is not None:
+        found.append((document, "sha256:" + state.hexdigest()))
+    if found:
+        yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*found)], names=["doc_id", "digest"])
 
-def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    document, number, pending, size = None, 0, [], 0
 
-    def part():
-        return pa.RecordBatch.from_pydict(
-            {"doc_id": [document], "part_no": [number], "text": ["".join(pending)]},
-            schema=pa.schema([("doc_id", pa.string()), ("part_no", pa.int64()), ("text", pa.string())]),
-        )
+def streamed_digests(fragments: DataFrame) -> DataFrame:
+    """(doc_id, digest) of every document.
 
-    for doc_id, text in _with_separators(batches):
-        if pending and (doc_id != document or size >= _TEXT_PART):
-            yield part()
-            number, pending, size = number + 1, [], 0
-        if doc_id != document:
-            document, number = doc_id, 0
-        pending.append(text)
-        size += len(text)
-    if pending:
-        yield part()
+    Ranges assemble their fragments side by side; a document that one range holds is hashed there,
+    of the others the serial hash sees parts of about a million characters.
+    """
+    parts = _parts(fragments, hashed=True)
+    long = parts.where("whole is null").repartition("doc_id").sortWithinPartitions("doc_id", "range", "part")
+    hashed = long.select("doc_id", "first", "last", "text").mapInArrow(_digest_batches, "doc_id string, digest string")
+    return parts.where("whole is not null").select("doc_id", F.col("whole").alias("digest")).unionByName(hashed)
 
 
 def document_texts(fragments: DataFrame) -> DataFrame:
     """The canonical text of every document, in numbered parts of about a million characters."""
-    columns = _in_order(fragments).select("doc_id", "kind", "text")
-    return columns.mapInArrow(_text_batches, "doc_id string, part_no bigint, text string")
+    parts = _parts(fragments, hashed=False)
+    order = Window.partitionBy("doc_id").orderBy("range", "part")
+    # Narrow rows: as many per document as its text has parts.
+    placed = parts.where("whole is null").select("doc_id", "range", "part", F.lag("last").over(order).alias("before"), (F.row_number().over(order) - 1).cast("long").alias("part_no"))
+    first = F.col("first")
+    comma = F.when(((first == "O") & (F.col("before") != "L")) | ((first == "I") & (F.col("before") == "I")), ",").otherwise("")
+    joined = parts.join(placed, ["doc_id", "range", "part"]).select("doc_id", "part_no", F.concat(comma, "text").alias("text"))
+    return parts.where("whole is not null").select("doc_id", F.lit(0).cast("long").alias("part_no"), F.col("whole").alias("text")).unionByName(joined)
 
 
 def inventory_digests(

@@ -15,7 +15,7 @@ from pagecensus.operators.findings import findings
 from pagecensus.operators.quality import problems, repeats
 from pagecensus.operators.quality.structure import structural_violations
 from pagecensus.operators.ranking import with_position
-from pagecensus.plans.acquisition import acquire, observed_captures
+from pagecensus.plans.acquisition import acquire, observed_captures, wanted_captures
 from pagecensus.plans.discovery import discover
 from pagecensus.operators.measurements import measurements
 from pagecensus.session import ensure_checkpoint_dir
@@ -336,3 +336,50 @@ def test_instants_do_not_depend_on_the_session_zone(spark):
             assert [r.x for r in df.select("m", instant(F.col("t")).alias("x")).collect()] == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("ranges,part", [(1, 1 << 20), (7, 40), (40, 1)])
+def test_documents_assembled_in_ranges(spark, monkeypatch, ranges, part):
+    """Digests and texts do not depend on where ranges and parts of a document end."""
+
+
+    monkeypatch.setattr(digests, "_TEXT_PART", part)
+    rows, want = [], {}
+    for d in range(9):
+        pieces = [(0, "", 0, "", "L", "[")]
+        text, items = "[", []
+        for i in range(d * 7):
+            inner = [f'"{i}-{j}"' for j in range(i % 4)]
+            pieces.append((1, f"{i:04d}", 0, "", "O", '{"a":['))
+            pieces += [(1, f"{i:04d}", 1, f"{j}", "I", t) for j, t in enumerate(inner)]
+            pieces += [(1, f"{i:04d}", 2, "", "M", '],"b":['), (1, f"{i:04d}", 3, "é", "I", '"x"'), (1, f"{i:04d}", 4, "", "M", "]}")]
+            items.append('{"a":[' + ",".join(inner) + '],"b":["x"]}')
+        pieces += [(2, "", 0, "", "L", "],["), (3, "a", 0, "", "O", "1"), (3, "b", 0, "", "O", "2"), (4, "", 0, "", "L", "]")]
+        text += ",".join(items) + "],[1,2]"
+        want[f"doc{d}"] = text
+        rows += [(f"doc{d}", s, k, p, i, "", kind, t) for s, k, p, i, kind, t in pieces]
+    schema = "doc_id string, section int, key1 string, part int, key2 string, key3 string, kind string, text string"
+    fragments = spark.createDataFrame(rows[::-1], schema)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        found = {r.doc_id: r.digest for r in digests.streamed_digests(fragments).collect()}
+        texts = {}
+        for r in sorted(digests.document_texts(fragments).collect(), key=lambda r: (r.doc_id, r.part_no)):
+            assert r.part_no == len(texts.setdefault(r.doc_id, []))
+            texts[r.doc_id].append(r.text)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {k: "".join(v) for k, v in texts.items()} == want
+    assert found == {k: "sha256:" + hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+    assert digests.streamed_digests(fragments.limit(0)).collect() == []
+
+
+def test_a_capture_without_a_time_is_a_capture(spark):
+    captures = spark.createDataFrame(
+        [("r", "https://s.example/a", None, 1), ("r", "https://s.example/b", None, 2), ("r", "https://s.example/b", 5, 3),
+         ("r", "https://s.example/b#x", 5, 4), ("r", "https://s.example/c", 1, 5), ("q", "https://s.example/a", 1, 6)],
+        "run_id string, requested_url string, at long, n int",
+    ).withColumn("captured_at", F.timestamp_seconds("at"))
+    selections = spark.createDataFrame([("r", "https://s.example/a"), ("r", "https://s.example/b")], "run_id string, url_key string")
+    assert sorted(r.n for r in wanted_captures(selections, captures).collect()) == [1, 3, 4]
