@@ -1,20 +1,24 @@
 """Personal data: patterns, and a semi-Markov conditional random field for what they leave.
 
-The patterns (email, ip, card, phone) give the base spans.  Around digits and at-signs, regions of
-text become tokens; every run of up to 24 tokens that could be of a kind is a candidate segment with
-features of the whole span (digits, groups, checksum, what stands beside it).  The field scores all
-ways to cut a region into segments and other tokens; dynamic programming over them finds the best
-cut, with boundaries and kinds decided together.  Base spans are fixed in it, and what the best cut
-holds beyond them is added.
-
-The weights are fitted here, on the regions of a bounded sample of documents, by the likelihood of
-the base spans among all cuts.
+The patterns (email, ip, card, phone) give the base spans.  Around digits, at-signs and long mixed
+tokens, regions of text become tokens; every bounded run of tokens that could be of a kind is a
+candidate segment with features of the whole span (digits, groups, checksum, alphabet, what stands
+beside it).  The field scores all ways to cut a region into segments and other tokens; dynamic
+programming over them finds the best cut, with boundaries and kinds decided together.  Base spans are
+fixed in it, and what the best cut holds beyond them is added: other ways of writing phone numbers,
+addresses and cards, and secrets (keys, tokens), which no pattern names.
+
+The weights are fitted here, by the likelihood of the true spans among all cuts: on forms written
+from a seed (``personal_forms``), and on those regions of a bounded sample of documents in which the
+patterns explain every trigger.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,13 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagecensus.llm.common import as_row, whole
+from pagecensus.llm.personal_forms import written
 from pagecensus.session import materialised
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds that have a pattern.
+BASE_KINDS = KINDS[:4]
+#: Written forms of the fit, besides the regions of documents.
+WRITTEN = 4_000
 #: Documents whose regions may be used to fit the weights, and regions used, lowest hashes first.
 SAMPLE_DOCUMENTS, SAMPLE_REGIONS = 20_000, 1_500
-#: Tokens of one segment; base spans of any length stay.
-MAX_TOKENS = 24
+#: Characters of a region up to which it may be used to fit; regions of any length are cut.
+FIT_CHARACTERS = 2_000
+#: Tokens of one segment and characters of a secret; base spans of any length stay.
+MAX_TOKENS, MAX_SECRET = 24, 512
 #: Characters of context around what opens a region, and the gap that parts two regions.
 AROUND, GAP = 32, 48
 
@@ -38,14 +49,16 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile("[0-9]")
-_TRIGGER = re.compile(r"@|[0-9](?:[ ().-]{0,2}[0-9]){3}")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,512}={0,2}(?![A-Za-z0-9_+/-])")
+_TRIGGER = re.compile(r"@|[0-9](?:[ ()./-]{0,2}[0-9]){3}|" + _SECRET.pattern)
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
-_NUMBER_SIGNS = frozenset("+-.()")
+_NUMBER_SIGNS = frozenset("+-.()/")
 _CUES = {
     "phone": re.compile(r"\b(?:tel|phone|call|mobile|cell|fax|telefon|téléphone|teléfono|ring)\W*$", re.I),
     "card": re.compile(r"\b(?:card|visa|mastercard|amex|credit|karte|carte|tarjeta|cc)\W*$", re.I),
     "ip": re.compile(r"\b(?:ip|host|server|address|addr|from)\W*$", re.I),
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|correo|courriel)\W*$", re.I),
+    "secret": re.compile(r"(?:token|key|secret|password|passwd|pwd|auth|bearer|credential)\W*$", re.I),
 }
 
 
@@ -154,37 +167,65 @@ def _beside(kind: str, text: str, start: int, end: int) -> list[str]:
     ]
 
 
+def _secret_features(text: str, start: int, end: int) -> list[str]:
+    span = text[start:end]
+    digits, upper, lower = (sum(map(f, span)) for f in (str.isdigit, str.isupper, str.islower))
+    varied = len(set(span)) / min(len(span), 32)
+    return [
+        "secret", f"secret size {min(len(span), 64) // 8}", f"secret hex {not set(span) - set('0123456789abcdef')}",
+        f"secret digits {min(4, 10 * digits // len(span))}", f"secret upper {upper > 0}", f"secret lower {lower > 0}",
+        f"secret varied {int(4 * varied)}", f"secret signs {min(3, len(span) - digits - upper - lower)}",
+    ]
+
+
+def _starting(text: str, starts, ends, i: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(token after the last, kind, features) of the candidate segments that begin at token ``i``."""
+    start, head = starts[i], text[starts[i]]
+    number = head.isascii() and (head.isdigit() or head in "+(")
+    word = head in _LOCAL
+    if word or head in "+/":
+        m = _SECRET.match(text, start)
+        if m is not None and (after := bisect_left(starts, m.end(), i)) and ends[after - 1] == m.end():
+            yield after, 4, _secret_features(text, start, m.end()) + _beside("secret", text, start, m.end())
+    at_signs, numeric = 0, 0
+    for j in range(i, min(i + MAX_TOKENS, len(starts))):
+        a, b = starts[j], ends[j]
+        gap = a - ends[j - 1] if j > i else 0
+        piece = text[a:b]
+        word = word and gap == 0 and (piece == "@" or (piece.isascii() and all(c in _LOCAL for c in piece)))
+        at_signs += piece == "@"
+        digits = piece.isascii() and piece.isdigit()
+        number = number and gap <= 1 and (gap == 0 or text[a - 1] == " ") and (digits or piece in _NUMBER_SIGNS)
+        numeric += len(piece) if digits else 0
+        number = number and numeric <= 19
+        if not (number or (word and at_signs <= 1)):
+            break
+        if word and at_signs == 1 and piece[-1].isalnum():
+            yield j + 1, 0, _email_features(text, start, b) + _beside("email", text, start, b)
+        if number and digits and numeric >= 4:
+            span = text[start:b]
+            if 3 == span.count(".") and numeric <= 12 and not set(span) - set("0123456789."):
+                yield j + 1, 1, _number_features("ip", text, start, b) + _beside("ip", text, start, b)
+            if 7 <= numeric <= 19:
+                for kind in (2, 3):
+                    name = KINDS[kind]
+                    yield j + 1, kind, _number_features(name, text, start, b) + _beside(name, text, start, b)
+
+
+def _tokens(text: str, low: int, high: int) -> tuple[array, array]:
+    """Where the tokens of a region start and end; arrays, as regions may be as long as a text."""
+    starts, ends = array("q"), array("q")
+    for m in _TOKEN.finditer(text, low, high):
+        starts.append(m.start())
+        ends.append(m.end())
+    return starts, ends
+
+
 def lattice(text: str, low: int, high: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, list[str]]]]:
     """Tokens (start, end) of a region and its candidate segments (first, after last, kind, features)."""
-    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, low, high)]
-    found = []
-    for i, (start, first_end) in enumerate(tokens):
-        head = text[start]
-        number = head.isascii() and (head.isdigit() or head in "+(")
-        word = head in _LOCAL
-        at_signs, numeric = 0, 0
-        for j in range(i, min(i + MAX_TOKENS, len(tokens))):
-            a, b = tokens[j]
-            gap = a - tokens[j - 1][1] if j > i else 0
-            piece = text[a:b]
-            word = word and gap == 0 and (piece == "@" or (piece.isascii() and all(c in _LOCAL for c in piece)))
-            at_signs += piece == "@"
-            digits = piece.isascii() and piece.isdigit()
-            number = number and gap <= 1 and (gap == 0 or text[a - 1] == " ") and (digits or piece in _NUMBER_SIGNS)
-            numeric += len(piece) if digits else 0
-            if not (number or (word and at_signs <= 1)):
-                break
-            if word and at_signs == 1 and piece[-1].isalnum():
-                found.append((i, j + 1, 0, _email_features(text, start, b) + _beside("email", text, start, b)))
-            if number and digits and numeric >= 4:
-                span = text[start:b]
-                if 3 == span.count(".") and numeric <= 12 and not set(span) - set("0123456789."):
-                    found.append((i, j + 1, 1, _number_features("ip", text, start, b) + _beside("ip", text, start, b)))
-                if 7 <= numeric <= 19:
-                    for kind in (2, 3):
-                        name = KINDS[kind]
-                        found.append((i, j + 1, kind, _number_features(name, text, start, b) + _beside(name, text, start, b)))
-    return tokens, found
+    starts, ends = _tokens(text, low, high)
+    found = [(i, j, kind, features) for i in range(len(starts)) for j, kind, features in _starting(text, starts, ends, i)]
+    return list(zip(starts, ends)), found
 
 
 def _gold(tokens, segments, spans) -> set[int]:
@@ -242,7 +283,10 @@ def fit(examples: list[tuple[str, list]], rounds: int = 8, rate: float = 0.3, ri
 
 
 def added(text: str, base: list[tuple[int, int, int]], w: dict[str, float]) -> list[tuple[int, int, int]]:
-    """Segments of the best cut of each region, with the base spans fixed."""
+    """Segments of the best cut of each region, with the base spans fixed.
+
+    Segments are scored as they are met and not kept; a region takes a few numbers per token.
+    """
     out, fixed = [], []
     for s, e in sorted((s, e) for _, s, e in base):
         if fixed and s < fixed[-1][1]:
@@ -251,38 +295,36 @@ def added(text: str, base: list[tuple[int, int, int]], w: dict[str, float]) -> l
             fixed.append([s, e])
     at = 0
     for low, high in regions(text):
-        tokens, segments = lattice(text, low, high)
-        covered = [0]  # tokens before this one that touch a base span
-        for s, e in tokens:
+        starts, ends = _tokens(text, low, high)
+        n = len(starts)
+        covered = array("q", [0])  # tokens before this one that touch a base span
+        for s, e in zip(starts, ends):
             while at < len(fixed) and fixed[at][1] <= s:
                 at += 1
             covered.append(covered[-1] + (at < len(fixed) and fixed[at][0] < e))
-        free = [x for x in segments if covered[x[0]] == covered[x[1]]]
-        if not free:
-            continue
-        best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-        into: dict[int, list] = {}
-        for x in free:
-            into.setdefault(x[1], []).append(x)
-        for t in range(1, len(tokens) + 1):
-            best[t] = best[t - 1]
-            for x in into.get(t, ()):
-                score = best[x[0]] + sum(w.get(f, 0.0) for f in x[3])
-                if score > best[t]:
-                    best[t], back[t] = score, x
-        t = len(tokens)
+        best = array("d", [0.0]) + array("d", [-math.inf]) * n
+        first, kinds = array("q", [-1]) * (n + 1), bytearray(n + 1)
+        for i in range(n):
+            if best[i] >= best[i + 1]:
+                best[i + 1], first[i + 1] = best[i], -1
+            if covered[i + 1] > covered[i]:
+                continue
+            for j, kind, features in _starting(text, starts, ends, i):
+                if covered[j] == covered[i] and (score := best[i] + sum(w.get(f, 0.0) for f in features)) > best[j]:
+                    best[j], first[j], kinds[j] = score, i, kind
+        t = n
         while t > 0:
-            x = back[t]
-            if x is None:
-                t -= 1
-            else:
-                out.append((x[2], tokens[x[0]][0], tokens[x[1] - 1][1]))
-                t = x[0]
+            i = first[t]
+            if i >= 0:
+                out.append((kinds[t], starts[i], ends[t - 1]))
+            t = i if i >= 0 else t - 1
     return out
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> dict[str, float]:
-    """Weights from the regions of a bounded sample of documents, drawn by a hash of the identifier."""
+    """Weights from written forms, and from regions of a bounded sample of documents, drawn by a hash
+    of the identifier.  Only regions whose triggers all lie in base spans take part: what else a
+    document holds is not known."""
     named = docs.select(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")).alias("hash"), F.col(f"`{text_col}`").alias("text"))
     named = named.where("text is not null")
     total = named.count()
@@ -294,14 +336,18 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
             for key, text in zip(batch["hash"], batch["text"]):
                 base = base_spans(text)
                 for low, high in regions(text):
+                    if high - low > FIT_CHARACTERS:
+                        continue
                     own = [(k, s - low, e - low) for k, s, e in base if low <= s and e <= high]
-                    rows.append((key, low, text[low:high], [x for span in own for x in span]))
+                    marks = [m.start() - low for m in _TRIGGER.finditer(text, low, high)]
+                    if all(any(s <= m < e for _, s, e in own) for m in marks):
+                        rows.append((key, low, text[low:high], [x for span in own for x in span]))
             yield pd.DataFrame(rows, columns=["hash", "low", "text", "spans"])
 
-    found = drawn.mapInPandas(cut, "hash long, low long, text string, spans array<long>")
-    found = materialised(found.where(F.length("text") <= 2000))
+    found = materialised(drawn.mapInPandas(cut, "hash long, low long, text string, spans array<long>"))
     rows = found.orderBy("hash", "low", "text").limit(SAMPLE_REGIONS).collect()
-    return fit([(r.text, [tuple(r.spans[i : i + 3]) for i in range(0, len(r.spans), 3)]) for r in rows])
+    known = [(r.text, [tuple(r.spans[i : i + 3]) for i in range(0, len(r.spans), 3)]) for r in rows]
+    return fit(written(KINDS, WRITTEN, seed) + known)
 
 
 def personal_data(docs: DataFrame, weights: dict[str, float], text_col: str = "text") -> DataFrame:
@@ -309,13 +355,14 @@ def personal_data(docs: DataFrame, weights: dict[str, float], text_col: str = "t
 
     Returns one row per input row: ``row`` (struct of all input columns), ``base`` and ``spans``
     (arrays of kind:start:end, by kind as in ``KINDS``, then start; ``spans`` holds the base too) and
-    the counts of base spans ``n_email``, ``n_ip``, ``n_card``, ``n_phone``.
+    the counts of base spans ``n_email``, ``n_ip``, ``n_card``, ``n_phone``.  Added spans are of the
+    same kinds or secrets.
 
     Null counts as empty; texts without findings have empty arrays.  Spans of different kinds may
     overlap.  Repeated rows have equal results; an empty table gives an empty result; columns may
     have any names.
     """
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
+    counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
 
     @F.pandas_udf(f"{counts}, base array<string>, spans array<string>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -327,8 +374,8 @@ def personal_data(docs: DataFrame, weights: dict[str, float], text_col: str = "t
             for text in texts:
                 base = base_spans(text)
                 held = set(base) | set(added(text, base, weights))
-                rows.append((*(sum(k == i for k, _, _ in base) for i in range(len(KINDS))), shown(base), shown(held)))
-            yield pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base", "spans"])
+                rows.append((*(sum(k == i for k, _, _ in base) for i in range(len(BASE_KINDS))), shown(base), shown(held)))
+            yield pd.DataFrame(rows, columns=[*(f"n_{k}" for k in BASE_KINDS), "base", "spans"])
 
     found = docs.select(as_row(docs), find(whole(F.col(f"`{text_col}`"))).alias("found"))
     return found.select("row", "found.*")

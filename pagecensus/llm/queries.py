@@ -123,7 +123,7 @@ def op5_personal_data(spark, sf_dir):
     return found.select(
         F.col("row.doc_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone",
         F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join("spans", ",").alias("spans"),
+        F.array_join("spans", ",").alias("spans"), (F.size("spans") > 0).cast("int").alias("predicted"),
     )
 
 
