@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,37 +35,56 @@ STOP_WORDS = frozenset("""
 SHORT, LONG = 60, 180
 FEW_STOPS, MANY_STOPS = 0.08, 0.2
 MOST_LINKS = 0.4
+#: Linked blocks in a row that are a menu.
+MENU = 4
 
 _BLOCK = frozenset("""
     address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
     form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary
     table tbody td tfoot th thead tr ul
 """.split())
-_RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object select".split())
+_RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg select".split())
+_RAW_ENDS = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ASIDE_TAGS = frozenset("nav aside footer form button menu dialog fieldset".split())
-_ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|"
-    r"consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|widget|"
-    r"widgets|menu|menus|nav|navbar|navigation|breadcrumb|breadcrumbs|header|masthead|topbar|footer|footnav|comment|comments|"
-    r"commentlist|disqus|replies|respond|social|share|sharing|related|recommended|recommendations|pagination|pager|toolbar|"
-    r"search|copyright|disclaimer|tracking|teaser|outbrain|taboola)(?:$|[\s_-])"
-)
+#: Parts of class names and ids that stand for what surrounds an article.
+_ASIDE_PARTS = frozenset("""
+    ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr
+    notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets menu menus
+    nav navbar navigation breadcrumb breadcrumbs masthead topbar footnav social share sharing recommended recommendations
+    pagination pager toolbar search copyright disclaimer tracking teaser outbrain taboola header footer related
+""".split())
+#: Parts that say an element has or lacks such a thing, or belongs to one of an article's own parts.
+_ABOUT = frozenset("no not non without hide has have with is free enabled disabled open closed left right full layout page body wrapper".split())
+_OWN = frozenset("entry post article content story main section chapter figure table page title heading".split())
+#: What "related" announces when it means other pages.
+_OTHERS = frozenset("posts post articles article links link stories story content items reading news products entries pages box list".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*)>?|<[!?/][^>]*>?|[^<]+|<", re.S
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|replies|respond)(?:$|[\s_-])")
+_COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Short calls to the reader that stand in articles without any mark; a parameter of the operator.
+_CALLS = re.compile(
+    r"\b(?:subscribe|newsletter|sign up|log ?in|follow us|share this|advertisement|sponsored|cookies?|read more|click here|"
+    r"abonnieren|anmelden|werbung|abonnez|publicité|suscríbete|publicidad|all rights reserved)\b", re.I
+)
+CALL = 160
 
 
 @dataclass
 class Block:
-    """A run of text: its parts, whether they are linked, and where it stands."""
+    """A run of text: its parts, whether they are linked, and where it stands.
+
+    ``aside``: in an element whose kind says that it is no main text; ``named``: the elements around
+    it whose names say so, which hold unless most of the page is in them.
+    """
 
     tag: str
     aside: bool
     article: int
+    named: tuple = ()
     parts: list = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -88,12 +108,47 @@ def _names(attributes: str) -> tuple[str, str, bool]:
     return " ".join(names), role, hidden
 
 
+def _parts(names: str) -> Iterator[list[str]]:
+    """The parts of each class name and id: lower-case runs between separators."""
+    for name in names.split():
+        if parts := [p for p in re.split(r"[^a-z0-9]+", name) if p]:
+            yield parts
+
+
+def _furniture(names: str) -> bool:
+    """Whether a class name or id, as a whole, names something around an article.
+
+    Its first or last part has to say so; "no-sidebar", "has-menu" and "ad-free" do not, nor does an
+    article's own part such as "entry-header", nor "related" before a subject.
+    """
+    for parts in _parts(names):
+        first, last = parts[0], parts[-1]
+        if len(parts) > 1 and (first in _ABOUT or last in _ABOUT - {"wrapper", "left", "right", "open", "closed", "body"}):
+            continue
+        if last in ("header", "footer") and len(parts) > 1 and parts[-2] in _OWN:
+            continue
+        if first == "related" and len(parts) > 1:
+            if parts[1] in _OTHERS:
+                return True
+            continue
+        if first in _ASIDE_PARTS or last in _ASIDE_PARTS:
+            return True
+    return False
+
+
+def _talk(names: str) -> bool:
+    return any(parts[0] in _COMMENTS or parts[-1] in _COMMENTS for parts in _parts(names) if parts[0] not in _ABOUT)
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page, in page order, with white space folded and references decoded."""
     found: list[Block] = []
-    # Open elements: (tag, its content is no main text, it holds comments, number of its article).
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
-    current, links, articles, at = None, 0, 0, 0
+    # Open elements: (tag, no main text by kind, it holds comments, number of its article, named
+    # elements around it, something other than a div is no main text).
+    stack: list[tuple] = [("", False, False, 0, (), False)]
+    open_tags: Counter = Counter()
+    unended: set[str] = set()
+    current, links, articles, at, marks = None, 0, 0, 0, 0
 
     def end() -> None:
         nonlocal current
@@ -103,6 +158,11 @@ def blocks(page: str) -> list[Block]:
                 found.append(current)
             current = None
 
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        return tag
+
     while at < len(page):
         m = _PIECE.match(page, at)
         at = m.end()
@@ -110,8 +170,8 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             if page[m.start()] != "<" or m.end() - m.start() == 1:
                 if current is None:
-                    _, aside, _, article = stack[-1]
-                    current = Block(stack[-1][0], aside, article)
+                    top = stack[-1]
+                    current = Block(top[0], top[1], top[3], top[4])
                 text = html.unescape(m[0])
                 current.parts.append(text)
                 if links:
@@ -123,18 +183,19 @@ def blocks(page: str) -> list[Block]:
                 links = 0
             if tag in _BLOCK:
                 end()
-                if any(x[0] == tag for x in stack):
-                    while stack[-1][0] != tag:
-                        stack.pop()
-                    stack.pop()
+                if open_tags[tag]:
+                    while pop() != tag:
+                        pass
                 links = 0
             continue
         if tag in _RAW:
-            closing = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            closing = None if tag in unended else _RAW_ENDS[tag].search(page, at)
             if closing is not None:
                 at = page.find(">", closing.end() - 1) + 1 or len(page)
             elif tag in ("script", "style"):
                 at = len(page)
+            else:
+                unended.add(tag)  # no later one ends either
             continue
         if tag == "a":
             links = 1
@@ -146,40 +207,64 @@ def blocks(page: str) -> list[Block]:
         end()
         links = 0
         if tag == "p" and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
-        elif tag in ("li", "td", "th", "dt", "dd") and stack[-1][0] == "p":
-            stack.pop()
+            pop()
         elif stack[-1][0] == "p":
-            stack.pop()
+            pop()
         if tag in _VOID or m[3].endswith("/"):
             continue
         names, role, hidden = _names(m[3])
-        _, aside, comments, article = stack[-1]
-        talk = comments or bool(_COMMENTS.search(names))
-        marked = hidden or tag in _ASIDE_TAGS or role in _ASIDE_ROLES or bool(_ASIDE_NAMES.search(names))
+        _, aside, comments, article, named, firm = stack[-1]
+        talk = comments or _talk(names)
+        marked = hidden or tag in _ASIDE_TAGS or role in _ASIDE_ROLES
         if tag == "header" and not article:
             marked = True
+        furniture = _furniture(names)
         if tag in ("article", "main") or role == "main":
+            furniture = False
             if not talk:
                 # A main element inside what was never closed starts anew.
-                marked, aside = hidden, aside and not all(x[0] == "div" or not x[1] for x in stack)
+                marked, aside, named = hidden, aside and firm, () if not firm else named
             articles += 1
             article = article or articles
         elif tag in ("body", "html"):
-            marked = False
-        stack.append((tag, aside or marked or talk, talk, article))
+            marked = furniture = False
+        if furniture:
+            marks += 1
+            named = (*named[-7:], marks)
+        aside = aside or marked or talk
+        stack.append((tag, aside, talk, article, named, firm or (aside and tag != "div")))
+        open_tags[tag] += 1
     end()
+    _settle_names(found)
     return found
 
 
+def _settle_names(found: list[Block]) -> None:
+    """A name holds unless most of the page's text that is not linked stands in its element."""
+    weight: Counter = Counter()
+    total = 0
+    for block in found:
+        if not block.aside:
+            plain = max(0, len(block.text) - 2 * block.linked)
+            total += plain
+            for mark in block.named:
+                weight[mark] += plain
+    for block in found:
+        if any(weight[mark] < LONG or 2 * weight[mark] <= total for mark in block.named):
+            block.aside = True
+
+
 def _first_pass(block: Block, stop_words: frozenset) -> str:
     text = block.text
-    if block.aside or text.startswith("©"):
+    if block.aside or (text.startswith("©") and not block.article):
+        return "bad"
+    if len(text) < CALL and block.tag in ("div", "section", "span", "") and _CALLS.search(text):
         return "bad"
     letters = len(text) - text.count(" ")
     linked = block.linked / max(letters, 1)
     if linked > MOST_LINKS:
-        return "bad"
+        # A linked item or line of an article may be one of its own; its neighbours say.
+        return "short" if block.article and block.tag in ("li", "p", "td", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption") else "bad"
     words = [w.strip(".,;:!?()\"'«»¿¡").lower() for w in text.split(" ")]
     stops = sum(w in stop_words for w in words) / len(words)
     if len(text) < SHORT:
@@ -189,6 +274,20 @@ def _first_pass(block: Block, stop_words: frozenset) -> str:
     return "short" if stops >= FEW_STOPS else "bad"
 
 
+def _menus(found: list[Block]) -> None:
+    """Many linked items in a row are a menu, in an article too."""
+    begin = None
+    for i in range(len(found) + 1):
+        linked = i < len(found) and found[i].label == "short" and found[i].linked > MOST_LINKS * max(1, len(found[i].text) - found[i].text.count(" "))
+        if linked and begin is None:
+            begin = i
+        elif not linked and begin is not None:
+            if i - begin >= MENU:
+                for block in found[begin:i]:
+                    block.label = "bad"
+            begin = None
+
+
 def _second_pass(found: list[Block]) -> None:
     """Short blocks take the label of the nearest decided block of their own article or none.
 
@@ -229,6 +328,7 @@ def main_text(page: str, stop_words: frozenset = STOP_WORDS) -> str:
     found = blocks(page)
     for block in found:
         block.label = _first_pass(block, stop_words)
+    _menus(found)
     _second_pass(found)
     return "\n".join(b.text for b in found if b.label == "good")
 
