@@ -61,6 +61,9 @@ class Vocabulary:
     merged: np.ndarray
     rank: np.ndarray
     content: list[bytes]
+    #: (rank, piece) by left * size + right, and the pairs of characters that pieces hold, ascending.
+    joins: dict[int, tuple[int, int]]
+    within: np.ndarray
 
     def found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged piece) of neighbours; rank is out of reach where no piece joins them."""
@@ -119,7 +122,25 @@ def load(model_path: str) -> Vocabulary:
     for piece, i in normal.items():
         if len(piece) == 1:
             chars[ord(" " if piece == MARK else piece)] = i
-    return Vocabulary(chars, byte_of, pairs, merged, rank, content)
+    within = {_pair(ord(" " if a == MARK else a), ord(" " if b == MARK else b)) for p in normal for a, b in zip(p, p[1:])}
+    joins = {key: (r, i) for key, i, r in merges}
+    return Vocabulary(chars, byte_of, pairs, merged, rank, content, joins, np.array(sorted(within), dtype="int64"))
+
+
+def _pair(a, b):
+    return a << 21 | b
+
+
+def apart(units: list[str], v: Vocabulary) -> list[str]:
+    """The units cut between neighbours that stand side by side in no piece: nothing merges across."""
+    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="uint32").astype("int64")
+    pair = _pair(points[:-1], points[1:])
+    at = np.minimum(np.searchsorted(v.within, pair), len(v.within) - 1)
+    cut = np.concatenate([v.within[at] != pair, [True]])
+    cut[np.cumsum(np.fromiter(map(len, units), "int64", len(units))) - 1] = True
+    ends = np.flatnonzero(cut) + 1
+    text = "".join(units)
+    return [text[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -178,36 +199,41 @@ def _together(symbols: np.ndarray, v: Vocabulary, dropped: Callable[..., np.ndar
     return done
 
 
-def _alone(symbols: list[int], key: np.uint64, v: Vocabulary, most: np.uint64) -> np.ndarray:
-    """Segments one unit with a heap; the same merges as in arrays."""
-    now = np.array(symbols, dtype="int64")
-    after = list(range(1, len(symbols))) + [-1]
-    before = list(range(-1, len(symbols) - 1))
-    rank, piece = v.found(now[:-1], now[1:])
-    now = now.tolist()
-    agenda = [(r, i, p, now[i], now[i + 1]) for i, (r, p) in enumerate(zip(rank.tolist(), piece.tolist())) if r < _NEVER]
-    heapq.heapify(agenda)
-    keys = np.array([key], dtype="uint64")
+_WORD, _ODD, _M1, _M2 = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def _mixed_one(x: int) -> int:
+    x = (x ^ (x >> 30)) * _M1 & _WORD
+    x = (x ^ (x >> 27)) * _M2 & _WORD
+    return x ^ (x >> 31)
 
-    def propose(i: int) -> None:
-        if i >= 0 and (j := after[i]) >= 0:
-            r, p = v.found(np.array([now[i]], dtype="int64"), np.array([now[j]], dtype="int64"))
-            if r[0] < _NEVER:
-                heapq.heappush(agenda, (int(r[0]), i, int(p[0]), now[i], now[j]))
 
+def _alone(symbols: list[int], key: np.uint64, v: Vocabulary, most: np.uint64) -> np.ndarray:
+    """Segments one unit with a heap, in plain numbers; the same merges as in arrays."""
+    now, joins, size = list(symbols), v.joins, len(v.content)
+    after = list(range(1, len(now))) + [-1]
+    before = list(range(-1, len(now) - 1))
+    own, limit, get = int(key), int(most), joins.get
+    agenda = [(*found, i, now[i], now[i + 1]) for i in range(len(now) - 1) if now[i] >= 0 and (found := get(now[i] * size + now[i + 1]))]
+    agenda = [(r, i, p, x, y) for r, p, i, x, y in agenda]
+    heapq.heapify(agenda)
+    push, pop = heapq.heappush, heapq.heappop
     while agenda:
-        _, i, p, left, right = heapq.heappop(agenda)
+        _, i, p, left, right = pop(agenda)
         j = after[i]
-        if j < 0 or now[i] != left or now[j] != right or now[i] < 0:
+        if j < 0 or now[i] != left or now[j] != right:
             continue
-        if _skipped(keys, np.array([i]), np.array([p]), most)[0]:
+        if _mixed_one(own ^ _mixed_one((i * _ODD + p) & _WORD)) < limit:
             continue
         now[i], now[j] = p, -1
-        after[i] = after[j]
-        if after[i] >= 0:
-            before[after[i]] = i
-        propose(before[i])
-        propose(i)
+        after[i] = k = after[j]
+        if k >= 0:
+            before[k] = i
+            if found := get(p * size + now[k]):
+                push(agenda, (found[0], i, found[1], p, now[k]))
+        h = before[i]
+        if h >= 0 and (found := get(now[h] * size + p)):
+            push(agenda, (found[0], h, found[1], now[h], p))
     return np.array([s for s in now if s >= 0], dtype="int64")
 
 
@@ -297,8 +323,9 @@ def _runs(first: np.ndarray, long: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts one batch after another; keeps the segmentations of short units."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1):
-        self.vocabulary, self.seed = vocabulary, seed
+    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.1, seed: int = 1, numbered: bool = False):
+        self.vocabulary, self.seed, self.numbered = vocabulary, seed, numbered
+        self.last, self.repeat = None, 0
         self.most = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
         self._forget()
 
@@ -383,15 +410,23 @@ class Encoder:
     def encode(self, texts: list[str], names: list) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts and where each text's begin, the end of the last included.
 
-        ``names`` identify the texts in the hash, together with what they say.
+        ``names`` identify the texts in the hash, together with what they say.  With ``numbered``, the
+        second and later of neighbours that agree in both count as others.
         """
         if self.size.used > KEPT_UNITS or self.unit.used > KEPT_NODES:
             self._forget()
         flat, sizes, number, units, named = [], [], self.number, [], []
         for text, name in zip(texts, names):
             own = _UNIT.findall(" " + text) if text else []
+            if any(len(unit) > LONGEST_KEPT for unit in own):
+                own = [x for unit in own for x in (apart([unit], self.vocabulary) if len(unit) > LONGEST_KEPT else (unit,))]
             sizes.append(len(own))
-            named.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), xxhash.xxh3_64_intdigest(str(name).encode())))
+            code = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), xxhash.xxh3_64_intdigest(str(name).encode()))
+            if self.numbered:
+                self.repeat = self.repeat + 1 if self.last == (name, code) else 0
+                self.last = (name, code)
+                code ^= _mixed_one(self.repeat) if self.repeat else 0
+            named.append(code)
             for unit in own:
                 n = number.get(unit)
                 if n is None:
@@ -404,7 +439,8 @@ class Encoder:
         unit, size = np.array(flat, dtype="int64"), np.array(sizes, dtype="int64")
         start = np.cumsum(size) - size
         place = (np.arange(len(flat)) - np.repeat(start, size)).astype("uint64")
-        key = _mixed(_mixed(np.repeat(np.array(named, dtype="uint64"), size) + np.uint64(self.seed) * _STEP) ^ (place * _STEP))
+        seed = np.array([self.seed], dtype="uint64") * _STEP
+        key = _mixed(_mixed(np.repeat(np.array(named, dtype="uint64"), size) + seed) ^ (place * _STEP))
         first, long = np.zeros((2, len(flat)), dtype="int64")
         node = self.root.data[unit]
         kept, other = np.flatnonzero(node >= 0), np.flatnonzero(node < 0)
@@ -419,9 +455,11 @@ class Encoder:
         return self.pieces.data[_runs(first, long)], ends[np.concatenate([start, [len(flat)]])]
 
 
-def encode(texts: list[str], names: list, v: Vocabulary, dropout: float = 0.1, seed: int = 1) -> list[np.ndarray]:
+def encode(
+    texts: list[str], names: list, v: Vocabulary, dropout: float = 0.1, seed: int = 1, numbered: bool = False
+) -> list[np.ndarray]:
     """Piece ids of each text."""
-    pieces, bounds = Encoder(v, dropout, seed).encode(texts, names)
+    pieces, bounds = Encoder(v, dropout, seed, numbered).encode(texts, names)
     return np.split(pieces, bounds[1:-1]) if texts else []
 
 
@@ -446,20 +484,22 @@ def _in_chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def encoded(
     docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text",
+    numbered: bool = False,
 ) -> DataFrame:
     """``row`` (struct of all input columns), ``pieces`` (array of ids) of each whole text and
     ``decoded``, the text those pieces give back.
 
     Null counts as empty, and an empty text has no pieces.  The vocabulary is read here and sent to
     the tasks: its size does not depend on the data.  Merges are dropped at each occurrence of a word
-    by itself; the same identifier, text and seed give the same pieces, also in repeated rows.  An empty table gives an empty result; columns may have any
-    names.
+    by itself; the same identifier, text and seed give the same pieces, also in repeated rows.  With
+    ``numbered``, repeated rows that follow one another have draws of their own, as when a mix takes a
+    document several times.  An empty table gives an empty result; columns may have any names.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(model_path))
 
     @F.arrow_udf("pieces array<int>, decoded string")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        encoder = Encoder(vocabulary.value, dropout, seed)
+        encoder = Encoder(vocabulary.value, dropout, seed, numbered)
         for names, texts in batches:
             for at, n in _in_chunks(texts):
                 pieces, bounds = encoder.encode(texts.slice(at, n).to_pylist(), names.slice(at, n).to_pylist())

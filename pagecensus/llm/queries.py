@@ -135,9 +135,9 @@ def op6_license_scan(spark, sf_dir):
     )
 
 
-def coded(spark, docs):
+def coded(spark, docs, numbered=False):
     """The digest columns of encoding and decoding, one row per row of documents."""
-    return piece_codec.encoded(docs, PIECE_MODEL).select(
+    return piece_codec.encoded(docs, PIECE_MODEL, numbered=numbered).select(
         F.col("row.doc_id").alias("doc_id"), F.size("pieces").cast("long").alias("n_pieces"),
         F.sha2(F.array_join("pieces", ",").cast("binary"), 256).alias("pieces_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
