@@ -36,7 +36,8 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def encode_pieces(spark, docs, sf_dir):
-    return coded(spark, docs)
+    """Documents that the mix holds several times are cut differently each time."""
+    return coded(spark, docs, numbered=True)
 
 
 STAGES = [
