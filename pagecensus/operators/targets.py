@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +72,11 @@ def redirect_chains(starts: DataFrame, hops: DataFrame, max_redirects: int | Non
 
     ``starts``: chain_id, url, scope (an origin, or null for none).  ``hops``: chain_id, url,
     status, location.  A chain that redirects more often than it has hops runs in a circle, which
-    is too many redirects.  Only chains that are still open meet the hops again.
+    is too many redirects.
+
+    Pointers are doubled: after n rounds every URL of a chain knows where up to 2^n redirects lead
+    and how many there were, so a chain of a thousand hops takes about ten rounds, and a circle is
+    one whose count exceeds the chain's hops.
     """
     once = hops.groupBy("chain_id", "url").agg(
         F.min(F.struct("status", F.coalesce("location", F.lit("")).alias("location"))).alias("h")
@@ -85,55 +88,81 @@ def redirect_chains(starts: DataFrame, hops: DataFrame, max_redirects: int | Non
         ),
         F.lit(0),
     )
-    answers = settled(once.withColumn("next_url", target), ["next_url"])
-    answers = materialised(with_url_identity(answers, "next_url", "next_").drop("next_url_refusal"))
-    hops_of = answers.groupBy("chain_id").agg(F.count("*").alias("hops"))
-    state = with_url_identity(starts, "url", "cursor_").select(
-        "chain_id", "scope", "url", F.col("url").alias("cursor"), "cursor_url_key", "cursor_origin",
-        F.lit(None).cast("string").alias("outcome"), F.lit(0).alias("redirect_count"),
-        F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("int").alias("final_status"),
-    ).join(hops_of, "chain_id", "left")
-    ended, step = [], 0
-    while True:
-        last = step == max_redirects
-        state = materialised(_followed(state, answers, last))
-        ended.append(state.where("outcome is not null"))
-        state, step = state.where("outcome is null"), step + 1
-        if last or state.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, ended).select(
-        "chain_id", "url", "outcome", "redirect_count", "final_url", "final_status"
+    answers = materialised(settled(once.withColumn("next_url", target), ["next_url"]))
+    stretches = _stretches(starts, answers)
+    while not stretches.where("open").isEmpty():
+        stretches = materialised(_doubled(stretches))
+    last = F.lit(max_redirects).cast("long")
+    met = starts.join(
+        stretches.toDF(*[f"__{c}" for c in stretches.columns]),
+        (F.col("chain_id") == F.col("__chain_id")) & F.col("scope").eqNullSafe(F.col("__scope")) & (F.col("url") == F.col("__url")), "left",
+    )
+    circle = F.col("__end").isNull() & F.col("__to").isNotNull()
+    count = F.when(circle, F.col("__hops")).otherwise(F.coalesce("__count", F.lit(0)))
+    beyond = last.isNotNull() & ((count > last) | ((count == last) & F.col("__late")))
+    outcome = F.when(circle | F.coalesce(beyond, F.lit(False)), "TOO_MANY_REDIRECTS").otherwise(F.coalesce("__end", F.lit("BLOCKED_TARGET")))
+    arrived = F.col("outcome") == "RESPONSE_RECEIVED"
+    return met.withColumn("outcome", outcome).select(
+        "chain_id", "url", "outcome", F.least(count, last).cast("int").alias("redirect_count"),
+        F.when(arrived, F.col("__to")).alias("final_url"), F.when(arrived, F.col("__status")).alias("final_status"),
     )
 
 
-def _followed(state: DataFrame, answers: DataFrame, last: bool) -> DataFrame:
-    """One more hop of every chain that has not ended; an ended chain has no cursor."""
-    met = state.join(
-        answers.withColumnRenamed("chain_id", "__chain"),
-        (F.col("chain_id") == F.col("__chain")) & (F.col("cursor") == F.col("hop_url")), "left",
-    )
-    off_scope = F.col("scope").isNotNull() & ~F.col("cursor_origin").eqNullSafe(F.col("scope"))
-    redirecting = F.col("status").isin(V.REDIRECT_STATUSES)
-    verdict = (
-        F.when(F.col("outcome").isNotNull(), F.col("outcome"))
-        .when(off_scope | F.col("cursor_url_key").isNull(), "BLOCKED_TARGET")
+def _stretches(starts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every URL of every chain with the stretch that begins there: one redirect, or none at an end.
+
+    ``to`` is where it leads, ``count`` its redirects, ``end`` the verdict there (null while it goes
+    on), ``late`` whether that verdict gives way to the bound, ``open`` whether it may go on.
+    """
+    groups = starts.select("chain_id", "scope").distinct()
+    urls = starts.select("chain_id", "url").unionByName(
+        answers.select("chain_id", F.explode(F.array("hop_url", "next_url")).alias("url"))
+    ).where("url is not null").distinct()
+    sizes = answers.groupBy("chain_id").agg(F.count("*").alias("hops"))
+    nodes = with_url_identity(urls, "url").join(groups, "chain_id").join(
+        answers.withColumnRenamed("hop_url", "url"), ["chain_id", "url"], "left"
+    ).join(sizes, "chain_id", "left")
+    off_scope = F.col("scope").isNotNull() & ~F.col("origin").eqNullSafe(F.col("scope"))
+    absolute = F.coalesce(F.col("next_url").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(False))
+    end = (
+        F.when(off_scope | F.col("url_key").isNull(), "BLOCKED_TARGET")
         .when(F.col("status").isNull(), "CONNECTION_FAILURE")
-        .when(~redirecting, "RESPONSE_RECEIVED")
-        .when(F.col("location") == "", "INVALID_REDIRECT")
+        .when(~F.col("status").isin(V.REDIRECT_STATUSES), "RESPONSE_RECEIVED")
+        .when((F.col("location") == "") | ~absolute, "INVALID_REDIRECT")
     )
-    verdict = verdict.when(F.lit(True), "TOO_MANY_REDIRECTS") if last else verdict.when(
-        ~F.coalesce(F.col("next_url").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(False)), "INVALID_REDIRECT"
-    ).when(F.col("redirect_count") >= F.col("hops"), "TOO_MANY_REDIRECTS")
-    ended_now = F.col("outcome").isNull() & F.col("__verdict").isNotNull()
-    arrived = ended_now & (F.col("__verdict") == "RESPONSE_RECEIVED")
-    going = F.col("__verdict").isNull()
-    return settled(met.withColumn("__verdict", verdict), ["__verdict"]).select(
-        "chain_id", "scope", "url", "hops",
-        F.when(going, F.col("next_url")).alias("cursor"),
-        F.when(going, F.col("next_url_key")).alias("cursor_url_key"),
-        F.when(going, F.col("next_origin")).alias("cursor_origin"),
-        F.col("__verdict").alias("outcome"),
-        (F.col("redirect_count") + going.cast("int")).alias("redirect_count"),
-        F.when(arrived, F.col("cursor")).otherwise(F.col("final_url")).alias("final_url"),
-        F.when(arrived, F.col("status")).otherwise(F.col("final_status")).alias("final_status"),
+    judged = settled(nodes.withColumns({"end": end, "late": (F.col("location") != "") & ~absolute}), ["end", "late"])
+    goes_on = F.col("end").isNull()
+    return materialised(_with_ends(judged.select(
+        "chain_id", "scope", "url", "hops", F.when(goes_on, F.col("next_url")).otherwise(F.col("url")).alias("to"),
+        goes_on.cast("long").alias("count"), F.col("end").alias("own"), F.col("status").alias("own_status"),
+        (~goes_on & F.coalesce("late", F.lit(False)) & (F.col("end") == "INVALID_REDIRECT")).alias("own_late"),
+    )))
+
+
+_KEY = ["chain_id", "scope"]
+
+
+def _met(stretches: DataFrame, names: list[str]) -> DataFrame:
+    """Stretches joined with what is known of the URL they lead to."""
+    there = stretches.select(*_KEY, "url", *names).toDF("__chain", "__scope", "__at", *[f"__{n}" for n in names])
+    same = (F.col("chain_id") == F.col("__chain")) & F.col("scope").eqNullSafe(F.col("__scope")) & (F.col("to") == F.col("__at"))
+    return stretches.join(there, same, "left")
+
+
+def _with_ends(stretches: DataFrame) -> DataFrame:
+    met = _met(stretches, ["own", "own_status", "own_late"])
+    return met.select(
+        *stretches.columns, F.col("__own").alias("end"), F.col("__own_status").alias("status"), F.col("__own_late").alias("late"),
+        (F.col("__own").isNull() & (F.col("count") <= F.col("hops"))).alias("open"),
     )
+
+
+def _doubled(stretches: DataFrame) -> DataFrame:
+    """Stretches that go on are prolonged by the one that begins where they end."""
+    met = _met(stretches, ["to", "count", "end", "status", "late"])
+    longer = F.col("open")
+    return met.select(
+        *_KEY, "url", "hops", F.when(longer, F.col("__to")).otherwise(F.col("to")).alias("to"),
+        F.when(longer, F.col("count") + F.col("__count")).otherwise(F.col("count")).alias("count"), "own", "own_status", "own_late",
+        *[F.when(longer, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in ("end", "status", "late")],
+    ).withColumn("open", F.col("end").isNull() & (F.col("count") <= F.col("hops")))

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import random
 import uuid
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagecensus import schemas
 from pagecensus.functions import fixed_values as V
-from pagecensus.operators import census, digests, inventory, lifecycle
+from pagecensus.operators import census, digests, inventory, lifecycle, targets
 from pagecensus.operators.findings import findings
 from pagecensus.operators.quality import problems, repeats
 from pagecensus.operators.quality.structure import structural_violations
@@ -383,3 +384,59 @@ def test_a_capture_without_a_time_is_a_capture(spark):
     ).withColumn("captured_at", F.timestamp_seconds("at"))
     selections = spark.createDataFrame([("r", "https://s.example/a"), ("r", "https://s.example/b")], "run_id string, url_key string")
     assert sorted(r.n for r in wanted_captures(selections, captures).collect()) == [1, 3, 4]
+
+
+def followed(start, scope, hops, bound):
+    """One chain, hop by hop."""
+    from urllib.parse import urljoin
+
+    at, count = start, 0
+    while True:
+        if (scope and not at.startswith(scope)) or not at.startswith("https://"):
+            return "BLOCKED_TARGET", count, None
+        if at not in hops:
+            return "CONNECTION_FAILURE", count, None
+        status, location = hops[at]
+        if status not in V.REDIRECT_STATUSES:
+            return "RESPONSE_RECEIVED", count, at
+        if not (location or "").strip():
+            return "INVALID_REDIRECT", count, None
+        if bound == count or count >= len(hops):
+            return "TOO_MANY_REDIRECTS", count, None
+        at, count = urljoin(at, location.strip()), count + 1
+
+
+def test_redirects_are_followed_by_doubling(spark):
+    rng = random.Random(11)
+    starts, hops, want = [], [], {}
+    for chain in range(60):
+        n = rng.choice([1, 2, 3, 7, 20])
+        urls = [f"{SITE}u{i}" for i in range(n)]
+        own = {}
+        for i, url in enumerate(urls):
+            kind = rng.random()
+            to = urls[rng.randrange(n)] if kind < 0.15 else urls[i + 1] if i + 1 < n else None
+            own[url] = (301, to) if to and kind < 0.92 else (200, None) if kind < 0.96 else (302, rng.choice([" ", "https://other.example/", f"{SITE}gone"]))
+        scope = rng.choice([SITE, None])
+        starts.append((str(chain), urls[0], scope))
+        hops += [(str(chain), u, s, to) for u, (s, to) in own.items()]
+        want[str(chain)] = (urls[0], scope, own)
+    starts_df = spark.createDataFrame(starts, "chain_id string, url string, scope string")
+    hops_df = spark.createDataFrame(hops, "chain_id string, url string, status int, location string")
+    for bound in (None, 0, 3):
+        got = {r.chain_id: (r.outcome, r.redirect_count, r.final_url) for r in targets.redirect_chains(starts_df, hops_df, bound).collect()}
+        assert got == {c: followed(*w, bound) for c, w in want.items()}
+
+
+def test_a_thousand_redirects_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    doubled = targets._doubled
+    monkeypatch.setattr(targets, "_doubled", lambda s: rounds.append(1) or doubled(s))
+    hops = [("c", f"{SITE}{i}", 301, f"{SITE}{i + 1}") for i in range(1000)] + [("c", f"{SITE}1000", 200, None)]
+    hops += [("d", f"{SITE}{i}", 301, f"{SITE}{(i + 1) % 1000}") for i in range(1000)]
+    found = targets.redirect_chains(
+        spark.createDataFrame([("c", f"{SITE}0", SITE), ("d", f"{SITE}0", SITE)], "chain_id string, url string, scope string"),
+        spark.createDataFrame(hops, "chain_id string, url string, status int, location string"),
+    )
+    assert {(r.chain_id, r.outcome, r.redirect_count) for r in found.collect()} == {("c", "RESPONSE_RECEIVED", 1000), ("d", "TOO_MANY_REDIRECTS", 1000)}
+    assert len(rounds) <= 11
