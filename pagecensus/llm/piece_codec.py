@@ -131,16 +131,13 @@ def _pair(a, b):
     return a << 21 | b
 
 
-def apart(units: list[str], v: Vocabulary) -> list[str]:
-    """The units cut between neighbours that stand side by side in no piece: nothing merges across."""
-    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="uint32").astype("int64")
+def apart(unit: str, v: Vocabulary) -> list[str]:
+    """The unit cut between neighbours that stand side by side in no piece: nothing merges across."""
+    points = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), dtype="uint32").astype("int64")
     pair = _pair(points[:-1], points[1:])
     at = np.minimum(np.searchsorted(v.within, pair), len(v.within) - 1)
-    cut = np.concatenate([v.within[at] != pair, [True]])
-    cut[np.cumsum(np.fromiter(map(len, units), "int64", len(units))) - 1] = True
-    ends = np.flatnonzero(cut) + 1
-    text = "".join(units)
-    return [text[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+    ends = np.flatnonzero(v.within[at] != pair) + 1
+    return [unit[a:b] for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(unit)])]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -418,8 +415,8 @@ class Encoder:
         flat, sizes, number, units, named = [], [], self.number, [], []
         for text, name in zip(texts, names):
             own = _UNIT.findall(" " + text) if text else []
-            if any(len(unit) > LONGEST_KEPT for unit in own):
-                own = [x for unit in own for x in (apart([unit], self.vocabulary) if len(unit) > LONGEST_KEPT else (unit,))]
+            if own and len(max(own, key=len)) > LONGEST_IN_ARRAYS:
+                own = [x for unit in own for x in (apart(unit, self.vocabulary) if len(unit) > LONGEST_IN_ARRAYS else (unit,))]
             sizes.append(len(own))
             code = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), xxhash.xxh3_64_intdigest(str(name).encode()))
             if self.numbered:
