@@ -10,12 +10,15 @@ from pagecensus.catalog import inputs
 from pagecensus.catalog.oracle import CTES
 from pagecensus.catalog.queries import joined, register
 from pagecensus.functions import fixed_values as V
+from pagecensus.functions.columns import lookup
 from pagecensus.operators import lifecycle
 from pagecensus.operators import quality
 from pagecensus.plans import gates
 from pagecensus.plans.acquisition import acquire
 from pagecensus.plans.discovery import discover
 from pagecensus.operators.quality import documents as rules
+from pagecensus.operators.quality import vocabulary
+from pagecensus.operators.quality.vocabulary import VOCABULARIES
 from pagecensus.operators.ranking import with_position
 from pagecensus.session import materialised
 
@@ -307,14 +310,6 @@ def dq_bundle_run(spark, sf_dir):
     return rules.foreign_documents(rows, "page_acquisitions")
 
 
-@register("vocabulary_audit", "SELECT DISTINCT 'final_' || (page_id % 7) AS value FROM pages WHERE page_id % 7 > 1")
-def vocabulary_audit(spark, sf_dir):
-    stated = inputs.pages(spark, sf_dir).select(
-        F.concat(F.lit("final_"), (F.col("page_id") % 7).cast("string")).alias("outcome")
-    )
-    return quality.outside_vocabulary(stated, "outcome", ["final_0", "final_1"])
-
-
 # --- lifecycles -----------------------------------------------------------------------------------
 
 STATES = {"signup": "CREATED", "view": "QUEUED", "click": "RUNNING", "purchase": "SUCCEEDED", "error": "FAILED"}
@@ -332,13 +327,14 @@ CTES.update({
       WHERE CASE WHEN previous IS NULL THEN state <> 'CREATED' ELSE NOT ({_EDGES}) END
     UNION ALL SELECT run_id, place, previous, state, 'activity_after_end' FROM paired WHERE place > ended""")
 def lifecycle_audit(spark, sf_dir):
-    from pagecensus.functions.columns import lookup
+    return lifecycle.audit(_transitions(spark, sf_dir), ["ts", "event_id"])
+
 
-    states = inputs.events(spark, sf_dir).select(
+def _transitions(spark, sf_dir):
+    return inputs.events(spark, sf_dir).select(
         F.col("user_id").cast("string").alias("run_id"), "ts", "event_id",
         lookup(STATES, F.col("event_type")).alias("state"),
     )
-    return lifecycle.audit(states, ["ts", "event_id"])
 
 
 _REQUESTS = """SELECT 'run-' || page_id AS run_id, 'req-' || page_id AS request_id,
@@ -436,6 +432,54 @@ def site_stages(spark, sf_dir):
     return lifecycle.site_stages(_gated(spark, sf_dir).runs)
 
 
+_DECLARED = ", ".join(f"('{d}', '{m}', '{v}')" for (d, m), values in VOCABULARIES.items() for v in values)
+_STATED = {
+    ("sources", "outcome"): "SELECT CASE WHEN source_id = 'PAGE_CAPTURE' AND candidate_count > 3 THEN 'LOST' ELSE outcome END FROM a_counts",
+    ("candidates", "eligibility_state"): "SELECT eligibility_state FROM a_candidates",
+    ("candidates", "exclusion_reason"): "SELECT exclusion_reason FROM a_candidates",
+    ("sampling_manifest", "mode"): "SELECT 'CENSUS'", ("sampling_manifest", "incompleteness_cause"): "SELECT incompleteness_cause FROM a_summary",
+    ("selections", "selection_reason"): "SELECT CASE WHEN stratum = 'HOMEPAGE' THEN selection_reason ELSE lower(selection_reason) END FROM a_selections",
+    ("exclusions", "reason"): "SELECT reason FROM a_exclusions", ("page_acquisitions", "observation_mode"): f"SELECT '{V.OBSERVATION_MODE}'",
+    ("page_acquisitions", "acquisition_outcome"): "SELECT coalesce(failure_kind, 'RESPONSE_RECEIVED') FROM acquired",
+    ("measurements", "result.value_type"): "SELECT value_type FROM measured",
+    **{(d, f"assessment.{m}"): f"SELECT {m} FROM measured" for d in ("measurements", "website_evidence")
+       for m in ("collection_mode", "result_state", "not_assessed_reason")},
+    ("analysis_run_state", "state"): "SELECT state FROM steps", ("stage_executions", "status"): f"SELECT CASE WHEN i OR b THEN 'FAILED' ELSE 'SUCCEEDED' END FROM ({{flags}})",
+    ("analysis_run_request", "scan_mode"): "SELECT CASE page_id % 3 WHEN 0 THEN 'PUBLIC_NON_INVASIVE' WHEN 1 THEN 'LOUD_' || page_id % 5 END FROM pages",
+}
+
+
+CTES["declared_tokens"] = f"SELECT * FROM (VALUES {_DECLARED}) t(dataset, member, value)"
+CTES["stated_tokens"] = " UNION ".join(
+    f"SELECT '{d}' AS dataset, '{m}' AS member, value FROM ({q.format(flags=_FLAGS)}) t(value) WHERE value IS NOT NULL" for (d, m), q in _STATED.items()
+)
+
+
+@register("vocabulary_audit", """SELECT *, 'undeclared' AS problem FROM (SELECT * FROM stated_tokens EXCEPT SELECT * FROM declared_tokens)
+    UNION ALL SELECT *, 'unused' FROM (SELECT * FROM declared_tokens EXCEPT SELECT * FROM stated_tokens)""")
+def vocabulary_audit(spark, sf_dir):
+    """All closed members of the documents of all sites, some of them with tokens of no vocabulary."""
+    found = discover(inputs.runs(spark, sf_dir), inputs.page_observations(spark, sf_dir), inputs.page_attempts(spark, sf_dir))
+    captured = inputs.captures(spark, sf_dir).unionByName(inputs.seed_captures(spark, sf_dir))
+    got = acquire(found.selections, captured, found.manifests)
+    pid = F.col("page_id")
+    heads = inputs.seeds(spark, sf_dir)
+    lost = (F.col("source_id") == "PAGE_CAPTURE") & (F.col("candidate_count") > 3)
+    return vocabulary.vocabulary_audit({
+        "sources": found.attempts.withColumn("outcome", F.when(lost, "LOST").otherwise(F.col("outcome"))),
+        "candidates": found.candidates, "exclusions": found.exclusions,
+        "selections": found.selections.withColumn(
+            "selection_reason", F.when(F.col("stratum") == "HOMEPAGE", F.col("selection_reason")).otherwise(F.lower("selection_reason"))
+        ),
+        "sampling_manifest": found.manifests, "page_acquisitions": got.records, "measurements": got.measurements,
+        "website_evidence": got.evidence, "analysis_run_state": _transitions(spark, sf_dir),
+        "stage_executions": heads.select(F.when((pid % 7 == 0) | (pid % 11 == 0), "FAILED").otherwise("SUCCEEDED").alias("status")),
+        "analysis_run_request": inputs.pages(spark, sf_dir).select(
+            F.when(pid % 3 == 0, "PUBLIC_NON_INVASIVE").when(pid % 3 == 1, F.concat(F.lit("LOUD_"), (pid % 5).cast("string"))).alias("scan_mode")
+        ),
+    })
+
+
 @register("gated_runs", f"""SELECT f.run_id, CASE WHEN b OR i THEN 0 ELSE c.n END AS candidates, CASE WHEN b OR i OR m OR a THEN 0 ELSE s.n END AS selections,
     CASE WHEN b OR i OR m OR a OR p THEN 0 ELSE s.n END AS records, CASE WHEN b OR i OR m OR a OR p THEN 0 ELSE x.n END AS measurements,
     concat_ws('|', CASE WHEN NOT b AND (a OR i OR m) THEN 'admission' END, CASE WHEN NOT b AND i THEN 'inventory' END, CASE WHEN NOT b AND m THEN 'manifest' END,

@@ -89,10 +89,3 @@ def problems(violations: DataFrame, contract: str, total_of: str = "keyword", li
         F.transform("__errors", lambda e: F.struct(e["pointer"].alias("pointer"), e["keyword"].alias("keyword")))
         .alias("errors"),
     )
-
-
-def outside_vocabulary(df: DataFrame, column: str, declared: list[str]) -> DataFrame:
-    """Distinct values present that the closed vocabulary does not hold."""
-    return df.select(F.col(column).alias("value")).distinct().where(
-        F.col("value").isNotNull() & ~F.col("value").isin(declared)
-    )
