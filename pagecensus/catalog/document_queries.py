@@ -22,7 +22,7 @@ from pagecensus.operators.measurements import measurements
 from pagecensus.operators.quality import documents as rules
 from pagecensus.plans.acquisition import observed_captures
 from pagecensus.session import ensure_checkpoint_dir, materialised
-from pagecensus.sources import bundle
+from pagecensus.sources import archive, bundle, readback
 from pagecensus.sources.captures import normalise_captures, split_documents
 
 CTES.update({
@@ -221,6 +221,60 @@ def bundle_differences(spark, sf_dir):
     return bundle.reconcile(spark, expected, folder)
 
 
+@register("bundle_problems", """SELECT CASE WHEN k = 7 THEN 'other-' || run_id ELSE run_id END AS run_id, document_type, problem
+    FROM (SELECT run_id, page_id % 8 AS k FROM runs) JOIN (VALUES
+      (1, 'website_evidence', 'missing'), (1, 'receipt', 'does not summarise the documents beside it'),
+      (2, 'measurements', 'changed'), (2, 'measurements', 'member collector_version changed'),
+      (3, 'page_acquisitions', 'changed'), (3, 'page_acquisitions', 'member extra added'), (3, 'page_acquisitions', ' [additionalProperties]'),
+      (4, 'page_acquisitions', 'changed'), (4, 'page_acquisitions', 'member observation_mode missing'), (4, 'page_acquisitions', ' [required]'),
+      (4, 'page_documents', 'record_declares_this_producer'), (5, 'measurements', 'repeated'),
+      (6, 'website_evidence', 'changed'), (6, 'website_evidence', ' [json]'), (6, 'receipt', 'does not summarise the documents beside it'),
+      (7, 'page_acquisitions', 'unexpected'), (7, 'page_acquisitions', 'belongs to no run of the bundle'), (7, 'page_documents', 'record_binds_manifest'),
+      (7, 'page_documents', 'refs_name_a_measurement'), (7, 'receipt', 'does not summarise the documents beside it')) v(k, document_type, problem) USING (k)
+    UNION ALL SELECT NULL, 'notes', 'not part of this bundle'""")
+def bundle_problems(spark, sf_dir):
+    """The page documents of all sites in a bundle, one kind of damage per remainder of a site's first page."""
+    found, got = _acquisition(spark, sf_dir)
+    written = {name: materialised(lines) for name, lines in readback.page_bundle(got, found.selections).items()}
+    kinds = inputs.seeds(spark, sf_dir).select(F.col("run_id").alias("of"), (F.col("page_id") % 8).alias("k"))
+    value = F.col("value")
+    member = F.regexp_extract("value", '"run_id":"([^"]*)"', 1)
+
+    def damaged(name, *changes):
+        rows = written[name].withColumn("of", member).join(kinds, "of")
+        for k, new in changes:
+            rows = rows.withColumn("value", F.when(F.col("k") == k, new).otherwise(value))
+        return rows.where("value is not null").select("value", "of", "k")
+
+    records = damaged(
+        "page_acquisitions", (3, F.concat(F.substring(value, F.lit(1), F.length(value) - 1), F.lit(',"extra":1}'))),
+        (4, F.replace(value, F.lit(f',"observation_mode":"{V.OBSERVATION_MODE}"'), F.lit(""))),
+    )
+    strangers = records.where("k = 7").withColumn("value", F.replace(value, F.concat(F.lit('"run_id":"'), "of"), F.concat(F.lit('"run_id":"other-'), "of")))
+    measured = damaged("measurements", (2, F.replace(value, F.lit('"collector_version":"1.0.0"'), F.lit('"collector_version":"9.9.9"'))))
+    evidence = damaged("website_evidence", (1, F.lit(None).cast("string")), (6, F.substring(value, F.lit(1), F.length(value) - 1)))
+    lying = {
+        "page_acquisitions": records.unionByName(strangers), "measurements": measured.unionByName(measured.where("k = 5")),
+        "website_evidence": evidence, "receipt": written["receipt"], "notes": spark.range(1).select(F.lit("x").alias("value")),
+    }
+    folder = f"{ensure_checkpoint_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    for name, rows in lying.items():
+        rows.select("value").write.text(f"{folder}/{name}")
+    return readback.bundle_problems(written, found.manifests, found.selections, folder)
+
+
+@register("published_bundles", """SELECT CASE WHEN r.page_id % 2 = 0 THEN '2026-01-01' ELSE '2026-01-02' END AS run_date, r.run_id, count(*) AS observations
+    FROM page_observations o JOIN runs r USING (run_id) GROUP BY ALL""")
+def published_bundles(spark, sf_dir):
+    """The observations of all sites, published in two runs on two dates, read as one table."""
+    root = f"{ensure_checkpoint_dir(spark)}/archive-{uuid.uuid4().hex}"
+    rows = inputs.page_observations(spark, sf_dir).join(inputs.seeds(spark, sf_dir).select("run_id", "page_id"), "run_id")
+    for remainder, day in ((0, "2026-01-01"), (1, "2026-01-02")):
+        archive.publish({"observations": rows.where(F.col("page_id") % 2 == remainder).drop("page_id")}, root, day, "sites")
+    found = archive.read_archive(spark, root, "observations", "run_id string, observed_form string")
+    return found.groupBy("run_date", "run_id").agg(F.count("*").alias("observations"))
+
+
 _TEXTS = """CASE page_id % 5 WHEN 0 THEN '{"run_id":"' || page_id || '","n":1}' WHEN 1 THEN '{"run_id":"' || page_id || '","n":NaN}'
     WHEN 2 THEN '{"run_id":"' || page_id WHEN 3 THEN '{"run_id":"' || page_id || '"}' ELSE '{"run_id":"' || page_id || '"} x' END"""
 

@@ -20,7 +20,7 @@ from pagecensus.plans.acquisition import acquire, observed_captures, wanted_capt
 from pagecensus.plans.discovery import discover
 from pagecensus.operators.measurements import measurements
 from pagecensus.session import ensure_checkpoint_dir
-from pagecensus.sources import bundle, discovery
+from pagecensus.sources import archive, bundle, discovery
 from pagecensus.sources.captures import read_captures, read_documents
 from pagecensus.streaming.captures import capture_stream, for_each_batch, measurement_stream
 
@@ -440,3 +440,27 @@ def test_a_thousand_redirects_take_few_rounds(spark, monkeypatch):
     )
     assert {(r.chain_id, r.outcome, r.redirect_count) for r in found.collect()} == {("c", "RESPONSE_RECEIVED", 1000), ("d", "TOO_MANY_REDIRECTS", 1000)}
     assert len(rounds) <= 11
+
+
+def test_archives_show_whole_bundles_only(spark):
+    root = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    table = spark.createDataFrame([("r1", 1), ("r2", 2)], "run_id string, n int")
+    schema = "run_id string, n int"
+    assert archive.bundles(spark, root) == [] and archive.read_archive(spark, root, "a", schema).collect() == []
+    first = archive.publish({"a": table, "b": table}, root, "2026-01-01", "x")
+    archive.publish({"a": table.where("n = 1")}, root, "2026-01-02", "x")
+    with pytest.raises(FileExistsError):
+        archive.publish({"a": table}, root, "2026-01-01", "x")
+    broken = table.withColumn("n", F.expr("raise_error('stopped')").cast("int"))
+    with pytest.raises(Exception, match="stopped"):
+        archive.publish({"a": table, "b": broken}, root, "2026-01-03", "x")
+    table.write.json(f"{root}/_staging-of-a-writer-that-was-killed/a")
+    assert [(d, n) for d, n, _ in archive.bundles(spark, root)] == [("2026-01-01", "x"), ("2026-01-02", "x")]
+    found = archive.read_archive(spark, root, "a", schema)
+    assert sorted((r.run_date, r.bundle, r.run_id, r.n) for r in found.collect()) == [
+        ("2026-01-01", "x", "r1", 1), ("2026-01-01", "x", "r2", 2), ("2026-01-02", "x", "r1", 1)
+    ]
+    assert archive.unsound(spark, root).count() == 0
+    table.write.mode("append").json(f"{first}/b")
+    table.limit(1).write.mode("overwrite").json(f"{first}/a")
+    assert {(r.dataset, r.problem) for r in archive.unsound(spark, root).collect()} == {("b", "unrecorded"), ("a", "missing"), ("a", "unrecorded")}
