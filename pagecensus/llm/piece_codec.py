@@ -415,7 +415,7 @@ class Encoder:
         flat, sizes, number, units, named = [], [], self.number, [], []
         for text, name in zip(texts, names):
             own = _UNIT.findall(" " + text) if text else []
-            if own and len(max(own, key=len)) > LONGEST_IN_ARRAYS:
+            if own and max(map(len, own)) > LONGEST_IN_ARRAYS:
                 own = [x for unit in own for x in (apart(unit, self.vocabulary) if len(unit) > LONGEST_IN_ARRAYS else (unit,))]
             sizes.append(len(own))
             code = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), xxhash.xxh3_64_intdigest(str(name).encode()))
