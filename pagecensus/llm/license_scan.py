@@ -3,7 +3,7 @@
 A text becomes its words with one blank between them.  Only texts that hold one of a few fragments
 are looked at further; there each rule is tried only where its gate, a literal name, occurs.  What
 the rules find are word intervals: one that lies within another is dropped, equal ones leave the
-rule of first priority, and of two that overlap the later stays only with a better priority.
+rule of first priority, and of those that overlap the one of better priority stays.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ BASE = {
 }
 _GAP, _WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F", r"^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _OPEN, _CLOSE = "\x01", "\x02"
+_CHAIN = "array<struct<priority:int,minus_size:bigint,start:bigint,end:bigint,label:string,confidence:double>>"
 _SPAN = "array<struct<start:bigint,end:bigint,priority:int,label:string,confidence:double>>"
 
 
@@ -87,25 +88,39 @@ def _found(normal: Column, ordered: list[Rule]) -> Column:
 
 
 def _kept(found: Column) -> Column:
-    """The intervals that stand: none within another, overlaps only by better priority."""
+    """The intervals that stand: none within another, and of those that overlap the best priorities.
+
+    Intervals in a chain of overlaps are taken by priority, then length, then start; each stands if no
+    better one of the chain overlaps it, whether that one begins before or after it.
+    """
     ordered = F.array_sort(F.transform(found, lambda x: F.struct(
         x["start"].alias("start"), (-x["end"]).alias("minus_end"), x["priority"].alias("priority"),
         x["label"].alias("label"), x["confidence"].alias("confidence"),
     )))
 
-    def step(state: Column, x: Column) -> Column:
+    def chained(state: Column, x: Column) -> Column:
         end = -x["minus_end"]
-        stands = (end > state["until"]) & ((x["start"] >= state["until"]) | (x["priority"] < state["priority"]))
         own = F.array(F.struct(
-            x["start"].alias("start"), end.alias("end"), x["priority"].alias("priority"), x["label"].alias("label"),
-            x["confidence"].alias("confidence"),
+            x["priority"].alias("priority"), (x["start"] - end).alias("minus_size"), x["start"].alias("start"), end.alias("end"),
+            x["label"].alias("label"), x["confidence"].alias("confidence"),
+        ))
+        joins = x["start"] < state["until"]
+        return F.when(end <= state["until"], state).otherwise(F.struct(
+            end.alias("until"), F.when(joins, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))).alias("done"),
+            F.when(joins, F.concat(state["open"], own)).otherwise(own).alias("open"),
         ))
-        return F.when(stands, F.struct(
-            end.alias("until"), x["priority"].alias("priority"), F.concat(state["spans"], own).alias("spans")
-        )).otherwise(state)
 
-    start = F.struct(F.lit(0).cast("long").alias("until"), F.lit(99).alias("priority"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(ordered, start, step, lambda s: s["spans"])
+    def best(chain: Column) -> Column:
+        def take(spans: Column, x: Column) -> Column:
+            clear = ~F.exists(spans, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+            own = F.array(F.struct(*[x[n].alias(n) for n in ("start", "end", "priority", "label", "confidence")]))
+            return F.when(clear, F.concat(spans, own)).otherwise(spans)
+
+        return F.aggregate(F.array_sort(chain), F.array().cast(_SPAN), take)
+
+    start = F.struct(F.lit(0).cast("long").alias("until"), F.array().cast(f"array<{_CHAIN}>").alias("done"), F.array().cast(_CHAIN).alias("open"))
+    chains = F.aggregate(ordered, start, chained, lambda s: F.concat(s["done"], F.array(s["open"])))
+    return F.array_sort(F.flatten(F.transform(chains, best)))
 
 
 def license_scan(docs: DataFrame, text_col: str = "text", ordered: list[Rule] | None = None) -> DataFrame:
