@@ -45,6 +45,8 @@ def wanted_captures(selections: DataFrame, captures: DataFrame) -> DataFrame:
         .select("run_id", "requested_url", "captured_at").distinct()
         .toDF("__run", "__form", "__at")
     )
+    # Written first: where the list is small, its size is known before any body would be shuffled.
+    forms = materialised(forms)
     met = (F.col("run_id") == F.col("__run")) & (F.col("requested_url") == F.col("__form"))
     return captures.join(forms, met & F.col("captured_at").eqNullSafe(F.col("__at")), "leftsemi")
 
