@@ -296,10 +296,13 @@ def dq_acquisition(spark, sf_dir):
       HAVING count(DISTINCT src) > CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END
     UNION ALL SELECT e.run_id, '/website_evidence/' || e.pos, 'evidence_context_matches' FROM evidrefs e
       JOIN meas m ON m.run_id = e.run_id AND m.id = e.ref WHERE e.src <> m.src OR e.seen <> m.seen
+    UNION ALL SELECT run_id, '/measurements/' || (pos + 100000), 'unique_measurement_id' FROM meas WHERE pos % 6 = 1
     UNION ALL SELECT run_id, '/selections', 'selections_within_budget' FROM heads WHERE n > 2""")
 def dq_linkage(spark, sf_dir):
+    """Some measurements are named again at the end; the first of a name is the one that counts."""
     t = _page_documents(spark, sf_dir)
-    return rules.linkage(t["records"], t["manifests"], t["selections"], t["measurements"], t["evidence"])
+    again = t["measurements"].where("pos % 6 = 1").withColumns({"pos": F.col("pos") + 100_000, "metric_id": F.lit("OTHER")})
+    return rules.linkage(t["records"], t["manifests"], t["selections"], t["measurements"].unionByName(again), t["evidence"])
 
 
 @register("dq_bundle_run", "SELECT run_id, '/page_acquisitions/' || pos AS pointer, 'belongs_to_run' AS rule FROM placed WHERE page_id % 5 = 0")
@@ -313,7 +316,8 @@ def dq_bundle_run(spark, sf_dir):
 # --- lifecycles -----------------------------------------------------------------------------------
 
 STATES = {"signup": "CREATED", "view": "QUEUED", "click": "RUNNING", "purchase": "SUCCEEDED", "error": "FAILED"}
-_STATE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items()) + " END"
+_STATE = "CASE WHEN event_id % 97 = 0 THEN 'LOST' " + " ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in STATES.items()) + " END"
+_KNOWN = "('" + "', '".join(V.RUN_STATES) + "')"
 _EDGES = " OR ".join(f"(previous = '{a}' AND state = '{b}')" for a, b in V.LEGAL_TRANSITIONS)
 CTES.update({
     "steps": f"""SELECT CAST(user_id AS VARCHAR) AS run_id, {_STATE} AS state,
@@ -324,7 +328,8 @@ CTES.update({
 
 
 @register("lifecycle_audit", f"""SELECT run_id, place, previous, state, 'illegal_transition' AS rule FROM paired
-      WHERE CASE WHEN previous IS NULL THEN state <> 'CREATED' ELSE NOT ({_EDGES}) END
+      WHERE state IN {_KNOWN} AND coalesce(previous, 'CREATED') IN {_KNOWN} AND CASE WHEN previous IS NULL THEN state <> 'CREATED' ELSE NOT ({_EDGES}) END
+    UNION ALL SELECT run_id, place, previous, state, 'unknown_state' FROM paired WHERE state NOT IN {_KNOWN}
     UNION ALL SELECT run_id, place, previous, state, 'activity_after_end' FROM paired WHERE place > ended""")
 def lifecycle_audit(spark, sf_dir):
     return lifecycle.audit(_transitions(spark, sf_dir), ["ts", "event_id"])
@@ -333,7 +338,7 @@ def lifecycle_audit(spark, sf_dir):
 def _transitions(spark, sf_dir):
     return inputs.events(spark, sf_dir).select(
         F.col("user_id").cast("string").alias("run_id"), "ts", "event_id",
-        lookup(STATES, F.col("event_type")).alias("state"),
+        F.when(F.col("event_id") % 97 == 0, "LOST").otherwise(lookup(STATES, F.col("event_type"))).alias("state"),
     )
 
 

@@ -13,8 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Captures carry page bodies: small Arrow batches keep one Python worker within memory.
+    # Captures carry page bodies: batches bounded by rows and bytes keep one Python worker within memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
 }
 
 
