@@ -40,6 +40,8 @@ LONGEST_KEPT = 10
 MOST_TESTS = 3 * LONGEST_KEPT
 #: Units with more symbols are segmented one by one.
 LONGEST_IN_ARRAYS = 48
+#: Units with more characters are first cut between those that stand side by side in no piece.
+LONGEST_UNCUT = 48
 #: Characters of the texts that are segmented together.
 CHUNK = 500_000
 #: Distinct units and nodes that a task keeps for its next texts; it begins anew beyond them.
@@ -415,8 +417,8 @@ class Encoder:
         flat, sizes, number, units, named = [], [], self.number, [], []
         for text, name in zip(texts, names):
             own = _UNIT.findall(" " + text) if text else []
-            if own and max(map(len, own)) > LONGEST_IN_ARRAYS:
-                own = [x for unit in own for x in (apart(unit, self.vocabulary) if len(unit) > LONGEST_IN_ARRAYS else (unit,))]
+            if own and max(map(len, own)) > LONGEST_UNCUT:
+                own = [x for unit in own for x in (apart(unit, self.vocabulary) if len(unit) > LONGEST_UNCUT else (unit,))]
             sizes.append(len(own))
             code = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), xxhash.xxh3_64_intdigest(str(name).encode()))
             if self.numbered:
