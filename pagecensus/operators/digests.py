@@ -334,7 +334,10 @@ def streamed_digests(fragments: DataFrame) -> DataFrame:
 
 
 def document_texts(fragments: DataFrame) -> DataFrame:
-    """The canonical text of every document, in numbered parts of about a million characters."""
+    """The canonical text of every document, in numbered parts of up to about a million characters.
+
+    A part ends where a range does, so a short document may have two.
+    """
     parts = _parts(fragments, hashed=False)
     order = Window.partitionBy("doc_id").orderBy("range", "part")
     # Narrow rows: as many per document as its text has parts.

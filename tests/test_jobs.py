@@ -134,7 +134,10 @@ def test_assembled_documents_satisfy_their_structure(spark):
         "sampling-manifest": digests.whole_manifest_fragments(found.manifests, found.selections, found.exclusions),
     }
     for contract, fragments in texts.items():
-        text = digests.document_texts(fragments).select(F.col("doc_id").alias("run_id"), "text")
+        parts = F.array_sort(F.collect_list(F.struct("part_no", "text")))
+        text = digests.document_texts(fragments).groupBy(F.col("doc_id").alias("run_id")).agg(
+            F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text")
+        )
         assert json.loads(text.first().text)["schema_version"] == "1.0.0"
         assert structural_violations(text, contract).collect() == []
 
