@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagecensus.catalog import inputs
-from pagecensus.catalog.oracle import CTES, sql_key, sql_lookup
+from pagecensus.catalog.oracle import CTES, sql_key, sql_lookup, sql_unescaped
 from pagecensus.catalog.queries import register
 from pagecensus.operators import targets
 from pagecensus.plans.discovery import discover_sites, established_runs
@@ -212,6 +212,15 @@ def _link_seeds(spark, sf_dir):
     return _response(rows, F.col("url"), F.col("html"), media)
 
 
+# The links of every page by itself: two pages may have one URL.
+CTES.update({
+    "own_links": f"""SELECT srun, page_id, site, pos - 1 AS pos, regexp_extract(url, '^(https?://[^/]+)', 1) || regexp_extract(tag, '"([^"]*)"', 1) AS href,
+        nullif(regexp_replace(trim({sql_unescaped("regexp_extract(tag, '>([^<]*)<', 1)")}), '\\s+', ' ', 'g'), '') AS label
+        FROM (SELECT srun, page_id, site, url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS tag,
+          generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) AS pos FROM smp WHERE blocked IS NULL AND page_id % 13 <> 0)""",
+    "own_firsts": "SELECT *, row_number() OVER (PARTITION BY srun ORDER BY pos) AS k FROM (SELECT srun, href, min(pos) AS pos FROM own_links GROUP BY ALL)",
+    "own_stops": "SELECT srun, min(pos) AS stop FROM own_firsts WHERE k > 3 GROUP BY srun",
+})
 CTES.update({
     "sl": "SELECT 'sm-' || p.page_id AS srun, p.page_id, p.site, l.pos, l.href, l.label FROM smp p JOIN links l ON l.page_url = p.url WHERE p.blocked IS NULL AND p.page_id % 13 <> 0",
     "slf": "SELECT *, row_number() OVER (PARTITION BY srun ORDER BY pos) AS k FROM (SELECT srun, href, min(pos) AS pos FROM sl GROUP BY ALL)",
@@ -232,7 +241,7 @@ def link_budget_outcomes(spark, sf_dir):
     return discovery.seed_page_links(_link_seeds(spark, sf_dir), max_links=3, max_examined=5)[1].drop("site")
 
 
-@register("all_page_links", """SELECT DISTINCT srun AS run_id, href AS observed_form, 'SAME_ORIGIN_PAGE_LINKS' AS source_id, label FROM sl""")
+@register("all_page_links", """SELECT DISTINCT srun AS run_id, href AS observed_form, 'SAME_ORIGIN_PAGE_LINKS' AS source_id, label FROM own_links""")
 def all_page_links(spark, sf_dir):
     return discovery.seed_page_links(_link_seeds(spark, sf_dir))[0].drop("site")
 
