@@ -228,8 +228,8 @@ CTES.update({
 })
 
 
-@register("link_budget", """SELECT DISTINCT sl.srun AS run_id, href AS observed_form, 'SAME_ORIGIN_PAGE_LINKS' AS source_id, label
-    FROM sl LEFT JOIN stops USING (srun) WHERE stop IS NULL OR pos < stop""")
+@register("link_budget", """SELECT DISTINCT srun AS run_id, href AS observed_form, 'SAME_ORIGIN_PAGE_LINKS' AS source_id, label
+    FROM own_links LEFT JOIN own_stops USING (srun) WHERE stop IS NULL OR pos < stop""")
 def link_budget(spark, sf_dir):
     return discovery.seed_page_links(_link_seeds(spark, sf_dir), max_links=3, max_examined=5)[0].drop("site")
 
