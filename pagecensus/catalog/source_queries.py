@@ -248,7 +248,7 @@ def all_page_links(spark, sf_dir):
 
 @register("site_discovery", f"""SELECT DISTINCT run_id, url_key, source_id FROM (
     SELECT srun AS run_id, site AS url_key, 'CANONICAL_SEED' AS source_id FROM smp WHERE page_id % 17 > 2
-    UNION ALL SELECT srun, {sql_key('href')}, 'SAME_ORIGIN_PAGE_LINKS' FROM sl
+    UNION ALL SELECT srun, {sql_key('href')}, 'SAME_ORIGIN_PAGE_LINKS' FROM own_links
     UNION ALL SELECT srun, {sql_key('form')}, 'SITEMAP' FROM (SELECT srun, page_id, unnest(CASE WHEN kind = 0 THEN [site || 's/' || page_id]
       ELSE [url, site || 'x/' || page_id] END) AS form FROM trees) WHERE page_id % 17 > 2)""")
 def site_discovery(spark, sf_dir):
