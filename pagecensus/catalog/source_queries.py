@@ -270,7 +270,7 @@ CTES["verdicts"] = """SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host
 
 
 @register("target_admissibility", """SELECT page_id, p.url, CASE WHEN page_id % 7 = 1 THEN 'BLOCKED_TARGET'
-    WHEN page_id % 7 = 2 THEN CASE WHEN page_id % 8 IN (0, 1, 5) THEN 'BLOCKED_TARGET' END
+    WHEN page_id % 7 = 2 THEN CASE WHEN page_id % 8 IN (0, 1, 5) OR page_id % 8 = 4 AND page_id % 256 BETWEEN 16 AND 31 THEN 'BLOCKED_TARGET' END
     WHEN v.ok IS NULL THEN 'DNS_FAILURE' WHEN NOT v.ok THEN 'BLOCKED_TARGET' END AS failure_kind
     FROM pg p LEFT JOIN verdicts v ON v.host = regexp_extract(p.url, '^https?://([^/]*)', 1)""")
 def target_admissibility(spark, sf_dir):
@@ -285,7 +285,7 @@ def target_admissibility(spark, sf_dir):
     )
     resolved = rows.where(pid % 3 != 0).select(
         F.regexp_extract("url", "^https?://([^/]*)", 1).alias("host"),
-        F.when(pid % 5 == 0, F.concat(F.lit("2600:db8::"), F.lower(F.hex(pid))))
+        F.when(pid % 5 == 0, F.concat(F.lit("2600:db8::"), F.lower(F.hex(F.shiftright(pid, 16))), F.lit(":"), F.lower(F.hex(pid % 65536))))
         .when(pid % 31 == 0, F.lit("::ffff:10.0.0.1"))
         .otherwise(F.concat(F.lit("93."), second, F.lit(".113.7"))).alias("address"),
     )
