@@ -14,6 +14,7 @@ from pagecensus.operators.observation import latest_capture
 from pagecensus.functions.columns import (
     instant, is_contract_url, lookup, representable, single_line, stable_id,
 )
+from pagecensus.session import shuffled
 
 
 def _assessment(mode=None, state=None, reason=None) -> Column:
@@ -200,7 +201,7 @@ def selected_captures(selected: DataFrame, observed: DataFrame, manifests: DataF
         ),
         "run_id",
     )
-    joined = bound.join(captured, ["run_id", "url_key"], "left")
+    joined = bound.join(shuffled(captured), ["run_id", "url_key"], "left")
     lost = F.col("acquisition_outcome").isNull()
     return joined.withColumns({
         "failure_kind": F.when(lost, "RUNTIME_ERROR").otherwise(F.col("failure_kind")),

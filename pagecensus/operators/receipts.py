@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagecensus.functions import fixed_values as V
 from pagecensus.operators import digests
+from pagecensus.session import shuffled
 
 
 def page_receipts(
@@ -22,8 +23,8 @@ def page_receipts(
     )
     cited = evidence.select("run_id", "evidence_id", F.explode("measurement_refs").alias("measurement_id"))
     followed = (
-        refs.join(reasons, ["run_id", "measurement_id"], "left")
-        .join(cited, ["run_id", "measurement_id"], "left")
+        refs.join(shuffled(reasons), ["run_id", "measurement_id"], "left")
+        .join(shuffled(cited), ["run_id", "measurement_id"], "left")
         .groupBy("run_id", "acquisition_id")
         .agg(
             F.array_sort(F.collect_set("reason")).alias("not_assessed_reasons"),
@@ -39,8 +40,8 @@ def page_receipts(
     ranks = selections.select("run_id", "url_key", F.col("selection_rank").alias("__rank"))
     return (
         records.drop("selection_rank")
-        .join(ranks, ["run_id", "url_key"], "left")
-        .join(followed, ["run_id", "acquisition_id"], "left")
+        .join(shuffled(ranks), ["run_id", "url_key"], "left")
+        .join(shuffled(followed), ["run_id", "acquisition_id"], "left")
         .select(
             "run_id", F.col("__rank").alias("selection_rank"), "url_key", "acquisition_id", "acquisition_outcome",
             "http_status", "final_url_key", "redirect_count", "body_truncated", "body_decoded", "body_digest",
@@ -96,8 +97,8 @@ def document_set_digests(records: DataFrame, measurements: DataFrame, evidence:
     place = digests.rank_key(F.col("measurement_no"))
     sets = {
         "page_acquisitions": (records, [page], record_json()),
-        "measurements": (measurements.join(ranks, ["run_id", "url_key"]), [page, place], measurement_json()),
-        "website_evidence": (evidence.join(ranks, ["run_id", "url_key"]), [page, place], evidence_json()),
+        "measurements": (measurements.join(shuffled(ranks), ["run_id", "url_key"]), [page, place], measurement_json()),
+        "website_evidence": (evidence.join(shuffled(ranks), ["run_id", "url_key"]), [page, place], evidence_json()),
     }
     fragments = counts = None
     for name, (documents, order, text) in sets.items():

@@ -11,7 +11,7 @@ from pagecensus.functions.url import with_url_identity
 from pagecensus.operators import measurements as m
 from pagecensus.operators.findings import findings
 from pagecensus.operators.observation import observe_pages
-from pagecensus.session import materialised
+from pagecensus.session import materialised, shuffled
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def wanted_captures(selections: DataFrame, captures: DataFrame) -> DataFrame:
     )
     latest = Window.partitionBy("run_id", "url_key").orderBy(F.desc_nulls_last("captured_at"))
     forms = (
-        keyed.join(selections.select("run_id", "url_key"), ["run_id", "url_key"])
+        keyed.join(shuffled(selections.select("run_id", "url_key")), ["run_id", "url_key"])
         .withColumn("place", F.rank().over(latest)).where("place = 1")
         .select("run_id", "requested_url", "captured_at").distinct()
         .toDF("__run", "__form", "__at")

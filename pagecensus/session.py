@@ -81,6 +81,15 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the files give fewer partitions than that.
 
     Only a small input is moved: files of any size beyond have more splits than there are cores.
+def shuffled(df: DataFrame) -> DataFrame:
+    """One side of a join that grows with the input: it is shuffled, never sent to every executor.
+
+    Spark estimates a table by its packed files and an exploded one by what was exploded.  Both may lie
+    far below what a broadcast would then put into the driver's memory.
+    """
+    return df.hint("merge")
+
+
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

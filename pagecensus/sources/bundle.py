@@ -41,13 +41,14 @@ def read_bundle(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str)
 def differences(expected: DataFrame, present: DataFrame, document_type: str) -> DataFrame:
     """Documents missing from what was read, and documents nobody wrote, copies counted."""
     columns = expected.columns
-
-    def side(rows: DataFrame, problem: str) -> DataFrame:
-        return rows.select("run_id", F.lit(document_type).alias("document_type"), F.lit(problem).alias("problem"))
-
-    return side(expected.select(columns).exceptAll(present.select(columns)), "missing").unionByName(
-        side(present.select(columns).exceptAll(expected.select(columns)), "unexpected")
-    )
+    both = expected.select(*columns, F.lit(1).alias("__n")).unionByName(present.select(*columns, F.lit(-1).alias("__n")))
+    # One aggregate for both directions: what is left over on a side counts its copies.
+    left = both.groupBy(*columns).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    return left.select(
+        "run_id", F.lit(document_type).alias("document_type"),
+        F.when(F.col("__n") > 0, "missing").otherwise("unexpected").alias("problem"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.abs("__n"))).alias("__copy"),
+    ).drop("__copy")
 
 
 def misshapen(present: DataFrame, document_type: str) -> DataFrame:
