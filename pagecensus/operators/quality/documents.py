@@ -12,6 +12,7 @@ from pagecensus.functions import fixed_values as V
 from pagecensus.functions.columns import is_code
 from pagecensus.operators.quality import all_violations, at, repeats, rows_where
 from pagecensus.operators.ranking import with_position
+from pagecensus.session import shuffled
 
 
 def _fixed(pointer: str):
@@ -196,12 +197,12 @@ def acquisition(
     """What the emitted set of page documents must satisfy as a whole."""
     known = measurements.select("run_id", "measurement_id").distinct()
     refs = _references(records)
-    owners = _owners(records).join(known, ["run_id", "measurement_id"], "left_semi")
-    dangling = refs.join(known, ["run_id", "measurement_id"], "left_anti").select("run_id", "pos").distinct()
+    owners = _owners(records).join(shuffled(known), ["run_id", "measurement_id"], "left_semi")
+    dangling = refs.join(shuffled(known), ["run_id", "measurement_id"], "left_anti").select("run_id", "pos").distinct()
     shared = owners.where("named > 1").select(
         "run_id", "measurement_id", F.col("first.pos").alias("__pos"), F.col("first.ref_no").alias("__no")
     )
-    again = refs.join(shared, ["run_id", "measurement_id"]).where(
+    again = refs.join(shuffled(shared), ["run_id", "measurement_id"]).where(
         (F.col("pos") != F.col("__pos")) | (F.col("ref_no") != F.col("__no"))
     )
     bound = records.join(
@@ -215,9 +216,9 @@ def acquisition(
         & F.col("acquisition_method").eqNullSafe(V.ACQUISITION_METHOD)
         & F.col("acquisition_method_version").eqNullSafe(V.ACQUISITION_METHOD_VERSION)
     )
-    unowned = measurements.join(owners, ["run_id", "measurement_id"], "left_anti")
+    unowned = measurements.join(shuffled(owners), ["run_id", "measurement_id"], "left_anti")
     pages = _references(evidence).join(
-        owners.select("run_id", "measurement_id", F.col("first.pos").alias("owner")),
+        shuffled(owners.select("run_id", "measurement_id", F.col("first.pos").alias("owner"))),
         ["run_id", "measurement_id"], "left",
     ).groupBy("run_id", "pos").agg(
         F.countDistinct("owner").alias("owners"), F.max(F.col("owner").isNull()).alias("missing")
@@ -283,16 +284,16 @@ def linkage(
     owned = (
         _owners(records)
         .select("run_id", "measurement_id", F.col("first.pos").alias("pos"))
-        .join(facts, ["run_id", "measurement_id"])
-        .join(records.select("run_id", "pos", "url_key", "acquired_at", "acquisition_outcome"), ["run_id", "pos"])
+        .join(shuffled(facts), ["run_id", "measurement_id"])
+        .join(shuffled(records.select("run_id", "pos", "url_key", "acquired_at", "acquisition_outcome")), ["run_id", "pos"])
     )
     twice = owned.groupBy("run_id", "pos", "metric_id").agg(F.count("*").alias("n")).where("n > 1")
     foreign = owned.where(F.col("source_url") != F.col("url_key")).groupBy(
         "run_id", "pos", "acquisition_outcome"
     ).agg(F.countDistinct("source_url").alias("n"))
     allowed = F.when(F.col("acquisition_outcome") == "RESPONSE_RECEIVED", 1).otherwise(0)
-    context = _references(evidence).join(facts, ["run_id", "measurement_id"]).join(
-        evidence.select("run_id", "pos", F.col("source_url").alias("__url"), F.col("observed_at").alias("__at")),
+    context = _references(evidence).join(shuffled(facts), ["run_id", "measurement_id"]).join(
+        shuffled(evidence.select("run_id", "pos", F.col("source_url").alias("__url"), F.col("observed_at").alias("__at"))),
         ["run_id", "pos"],
     )
     selected = selections.groupBy("run_id").agg(F.count("*").alias("n")).join(manifests, "run_id")

@@ -16,7 +16,7 @@ from pagecensus.operators import receipts
 from pagecensus.operators.quality import documents as rules
 from pagecensus.operators.quality.structure import structural_violations
 from pagecensus.plans.acquisition import Acquisition
-from pagecensus.session import materialised
+from pagecensus.session import materialised, shuffled
 
 #: Datasets of page documents: the member that tells documents apart, and the contract.
 DATASETS = {
@@ -125,7 +125,7 @@ def bundle_problems(
         for name, fields in _FIELDS.items()
     }
     ranks = selections.select("run_id", "url_key", "selection_rank")
-    records = typed["page_acquisitions"].join(ranks, ["run_id", "url_key"], "left").withColumn("pos", F.col("selection_rank") - 1)
+    records = typed["page_acquisitions"].join(shuffled(ranks), ["run_id", "url_key"], "left").withColumn("pos", F.col("selection_rank") - 1)
     placed = {n: typed[n].withColumn("pos", F.monotonically_increasing_id()) for n in ("measurements", "website_evidence")}
     broken = rules.acquisition(
         records, manifests, ranks.withColumn("pos", F.col("selection_rank") - 1), placed["measurements"], placed["website_evidence"]
