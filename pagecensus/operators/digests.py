@@ -219,6 +219,10 @@ def _in_order(fragments: DataFrame) -> DataFrame:
 
 #: Characters from which the text of a document so far is given out as a part.
 _TEXT_PART = 1 << 20
+#: Characters of a row that goes on to the serial hash: a batch holds thousands of rows.
+_HASH_PART = 1 << 13
+#: Characters of the rows that are given out together.
+_BATCH = 1 << 22
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, str, str, str]]:
@@ -258,19 +262,26 @@ def _assembled(hashed: bool):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        document, number, opens, first, last, pending, size = None, 0, True, "", "", [], 0
+        document, number, opens, first, last, pending, size, held = None, 0, True, "", "", [], 0, 0
 
         def end(done: bool) -> None:
-            nonlocal number, pending, size
+            nonlocal number, pending, size, held
             text = "".join(pending)
             if done and not number and not opens:
                 whole = "sha256:" + hashlib.sha256(text.encode()).hexdigest() if hashed else text
                 rows.append((document, place, 0, None, None, None, whole))
             else:
-                rows.append((document, place, number, first, last, text, None))
-            number, pending, size = number + 1, [], 0
+                # Nothing stands between the rows of one part: a row that goes on has no first kind.
+                step = _HASH_PART if hashed else max(len(text), 1)
+                for at in range(0, max(len(text), 1), step):
+                    rows.append((document, place, number, "" if at else first, last, text[at : at + step], None))
+                    number += 1
+                number -= 1
+            number, pending, size, held = number + 1, [], 0, held + len(text)
 
         def flushed() -> pa.RecordBatch:
+            nonlocal held
+            held = 0
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             rows.clear()
             return pa.record_batch(columns, names=["doc_id", "range", "part", "first", "last", "text", "whole"])
@@ -290,7 +301,7 @@ def _assembled(hashed: bool):
                 first = head
             pending.append(text)
             last, size = tail, size + len(text)
-            if len(rows) >= 1000:
+            if len(rows) >= 1000 or held >= _BATCH:
                 yield flushed()
         if document is not None:
             end(done=False)  # it may go on in the next range
@@ -308,7 +319,8 @@ def _parts(fragments: DataFrame, hashed: bool) -> DataFrame:
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     document, state, last, found = None, None, None, []
     for batch in batches:
-        for doc_id, first, ends, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for row in zip(*batch.columns):  # one row at a time is Python objects
+            doc_id, first, ends, text = (v.as_py() for v in row)
             if doc_id != document:
                 if state is not None:
                     found.append((document, "sha256:" + state.hexdigest()))
@@ -325,7 +337,7 @@ def streamed_digests(fragments: DataFrame) -> DataFrame:
     """(doc_id, digest) of every document.
 
     Ranges assemble their fragments side by side; a document that one range holds is hashed there,
-    of the others the serial hash sees parts of about a million characters.
+    of the others the serial hash sees their parts in short rows.
     """
     parts = _parts(fragments, hashed=True)
     long = parts.where("whole is null").repartition("doc_id").sortWithinPartitions("doc_id", "range", "part")
