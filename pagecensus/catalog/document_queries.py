@@ -17,6 +17,7 @@ from pagecensus.catalog.queries import (
 )
 from pagecensus.catalog.quality_queries import _page_documents
 from pagecensus.functions import fixed_values as V
+from pagecensus.functions.content import in_slices
 from pagecensus.operators import digests, receipts
 from pagecensus.operators.measurements import measurements
 from pagecensus.operators.quality import documents as rules
@@ -299,9 +300,7 @@ def json_quarantine(spark, sf_dir):
 def _wire(body: pa.Array, kind: pa.Array) -> pa.Array:
     """Bodies as a server would send them: plain, gzip or deflate."""
     pack = {1: gzip.compress, 2: zlib.compress}
-    return pa.array(
-        [pack.get(k, bytes)(b) for b, k in zip(body.to_pylist(), kind.to_pylist())], type=pa.binary()
-    )
+    return in_slices(lambda b, k: pack.get(k, bytes)(b), pa.binary(), body, kind)
 
 
 @register("capture_normalisation", """SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'sha256-of-empty' ELSE sha256(html) END AS body_digest,

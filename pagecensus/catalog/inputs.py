@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagecensus.functions.html import with_page
 from pagecensus.functions.url import with_url_identity
-from pagecensus.session import spread
+from pagecensus.session import bounded_batches, spread
 
 EPOCH = 1767225600  # 2026-01-01T00:00:00Z
 LABELS = ["Kontakt", "Unser Team", "Preise & Tarife", "Impressum", "Blog_News", "Case-Studies", "Zeug"]
@@ -23,7 +23,7 @@ ATTEMPTS = [
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return spread(bounded_batches(spark).read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

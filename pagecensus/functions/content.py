@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import codecs
 import zlib
+from collections.abc import Callable
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -23,6 +24,22 @@ _PIECE = 1 << 20
 #: What one value of a table can hold; a stream beyond it cannot be given out.
 _LARGEST = (1 << 31) - 64
 
+#: Rows of a batch that are Python objects at a time.
+_SLICE = 64
+
+
+def in_slices(read: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``read`` of every row whose first value is not null, as one array.
+
+    A batch may hold ten thousand documents, and what is read off one takes far more memory as
+    objects than packed: rows are packed slice by slice, and a document is an object while it is read.
+    """
+    done = []
+    for at in range(0, len(columns[0]), _SLICE):
+        rows = zip(*(c.slice(at, _SLICE) for c in columns))
+        done.append(pa.array([read(*(v.as_py() for v in r)) if r[0].is_valid else None for r in rows], type=kind))
+    return pa.concat_arrays(done) if done else pa.array([], type=kind)
+
 
 def unpacked(stream: bytes, form: int) -> bytes | None:
     """A packed stream as far as it goes; null if it is none of this form, or empty."""
@@ -40,8 +57,7 @@ def unpacked(stream: bytes, form: int) -> bytes | None:
 
 @F.arrow_udf(T.BinaryType())
 def unpacked_as(stream: pa.Array, form: pa.Array) -> pa.Array:
-    pairs = zip(stream.to_pylist(), form.to_pylist())
-    return pa.array([None if s is None or f is None else unpacked(s, f) for s, f in pairs], type=pa.binary())
+    return in_slices(lambda s, f: None if f is None else unpacked(s, f), pa.binary(), stream, form)
 
 
 def undone_content(wire: Column, encoding: Column) -> Column:
@@ -83,17 +99,10 @@ def join_url(base: str, target: str) -> str | None:
 @F.arrow_udf(T.StringType())
 def decoded_text(body: pa.Array, charset: pa.Array) -> pa.Array:
     """Text of a body in a declared charset; bad bytes are replaced, an unknown charset is UTF-8."""
-    rows = [
-        None if b is None else decode(b, c) for b, c in zip(body.to_pylist(), charset.to_pylist())
-    ]
-    return pa.array(rows, type=pa.string())
+    return in_slices(decode, pa.string(), body, charset)
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def joined_urls(base: pa.Array, targets: pa.Array) -> pa.Array:
     """Each target resolved against the base; null for one no URL parser reads."""
-    rows = [
-        None if found is None else [join_url(b or "", t) for t in found]
-        for b, found in zip(base.to_pylist(), targets.to_pylist())
-    ]
-    return pa.array(rows, type=pa.list_(pa.string()))
+    return in_slices(lambda found, b: [join_url(b or "", t) for t in found], pa.list_(pa.string()), targets, base)

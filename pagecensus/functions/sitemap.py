@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from pagecensus.functions.columns import settled, stripped
-from pagecensus.functions.content import unzipped
+from pagecensus.functions.content import in_slices, unzipped
 
 _ARROW_TYPE = pa.struct([
     ("root", pa.string()), ("whole", pa.bool_()), ("declares_types", pa.bool_()),
@@ -73,7 +73,7 @@ def location_texts(xml: bytes) -> dict:
 
 @F.arrow_udf(from_arrow_type(_ARROW_TYPE))
 def _location_texts(xml: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else location_texts(x) for x in xml.to_pylist()], type=_ARROW_TYPE)
+    return in_slices(location_texts, _ARROW_TYPE, xml)
 
 
 def with_sitemap(df: DataFrame, body: Column, truncated: Column) -> DataFrame:

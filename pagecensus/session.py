@@ -19,6 +19,16 @@ SETTINGS = {
 }
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches no larger than the jobs rely on; a given one may have none of this.
+
+    A worker holds a batch whole: at Spark's ten thousand rows that is ten thousand page bodies.
+    """
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set(name, SETTINGS[name])
+    return spark
+
+
 def local_session(cpus: int | str = "*", app: str = "pagecensus") -> SparkSession:
     """A local session for tests and the bench; on a cluster use the session you are given."""
     builder = (
@@ -71,6 +81,15 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """One side of a join that grows with the input: it is shuffled, never sent to every executor.
+
+    Spark estimates a table by its packed files and an exploded one by what was exploded.  Both may lie
+    far below what a broadcast would then put into the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def drop_materialised(spark: SparkSession) -> None:
     """Deletes what this application has materialised; for the end of a run, when results are written."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
@@ -81,15 +100,6 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the files give fewer partitions than that.
 
     Only a small input is moved: files of any size beyond have more splits than there are cores.
-def shuffled(df: DataFrame) -> DataFrame:
-    """One side of a join that grows with the input: it is shuffled, never sent to every executor.
-
-    Spark estimates a table by its packed files and an exploded one by what was exploded.  Both may lie
-    far below what a broadcast would then put into the driver's memory.
-    """
-    return df.hint("merge")
-
-
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
