@@ -13,7 +13,7 @@ from pagecensus.functions.addresses import (
 from pagecensus.functions.columns import settled, stripped
 from pagecensus.functions.content import joined_urls
 from pagecensus.functions.url import with_url_identity
-from pagecensus.session import materialised
+from pagecensus.session import materialised, shuffled
 
 
 def with_public_flag(df: DataFrame, column: str) -> DataFrame:
@@ -94,7 +94,7 @@ def redirect_chains(starts: DataFrame, hops: DataFrame, max_redirects: int | Non
         stretches = materialised(_doubled(stretches))
     last = F.lit(max_redirects).cast("long")
     met = starts.join(
-        stretches.toDF(*[f"__{c}" for c in stretches.columns]),
+        shuffled(stretches.toDF(*[f"__{c}" for c in stretches.columns])),
         (F.col("chain_id") == F.col("__chain_id")) & F.col("scope").eqNullSafe(F.col("__scope")) & (F.col("url") == F.col("__url")), "left",
     )
     circle = F.col("__end").isNull() & F.col("__to").isNotNull()
@@ -119,9 +119,9 @@ def _stretches(starts: DataFrame, answers: DataFrame) -> DataFrame:
         answers.select("chain_id", F.explode(F.array("hop_url", "next_url")).alias("url"))
     ).where("url is not null").distinct()
     sizes = answers.groupBy("chain_id").agg(F.count("*").alias("hops"))
-    nodes = with_url_identity(urls, "url").join(groups, "chain_id").join(
-        answers.withColumnRenamed("hop_url", "url"), ["chain_id", "url"], "left"
-    ).join(sizes, "chain_id", "left")
+    nodes = with_url_identity(urls, "url").join(shuffled(groups), "chain_id").join(
+        shuffled(answers.withColumnRenamed("hop_url", "url")), ["chain_id", "url"], "left"
+    ).join(shuffled(sizes), "chain_id", "left")
     off_scope = F.col("scope").isNotNull() & ~F.col("origin").eqNullSafe(F.col("scope"))
     absolute = F.coalesce(F.col("next_url").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(False))
     end = (
@@ -146,7 +146,7 @@ def _met(stretches: DataFrame, names: list[str]) -> DataFrame:
     """Stretches joined with what is known of the URL they lead to."""
     there = stretches.select(*_KEY, "url", *names).toDF("__chain", "__scope", "__at", *[f"__{n}" for n in names])
     same = (F.col("chain_id") == F.col("__chain")) & F.col("scope").eqNullSafe(F.col("__scope")) & (F.col("to") == F.col("__at"))
-    return stretches.join(there, same, "left")
+    return stretches.join(shuffled(there), same, "left")
 
 
 def _with_ends(stretches: DataFrame) -> DataFrame:
