@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagecensus.functions import fixed_values as V
 from pagecensus.functions.columns import instant
 from pagecensus.functions.url import with_url_identity
-from pagecensus.operators.ranking import with_position
-from pagecensus.session import materialised
+from pagecensus.operators.ranking import in_ranges
 from pagecensus.sources.captures import transition_dimension
 
 
 def audit(states: DataFrame, order: list[str]) -> DataFrame:
     """State histories -> illegal successions, unknown tokens, activity after an end.
 
-    ``order`` is the total order of a run's rows.  Each row meets its predecessor by place, so a
-    run holding a third of all events is spread like any other.
+    ``order`` is the total order of a run's rows.  They are judged range by range, so a run holding a
+    third of all events is spread like any other.  What lies ahead of a range in the same run is one
+    row: a range's first run alone goes on from an earlier one.
     """
-    placed = materialised(
-        with_position(states, ["run_id"], [F.col(c) for c in order], "place").select("run_id", "place", "state")
-    )
-    before = placed.select("run_id", (F.col("place") + 1).alias("place"), F.col("state").alias("previous"))
-    ends = placed.where(F.col("state").isin(V.TERMINAL_STATES)).groupBy("run_id").agg(
-        F.min("place").alias("__end")
+    ranged, keys = in_ranges(states.select("run_id", "state", *order), ["run_id"], [F.col(c) for c in order])
+    piece = Window.partitionBy("__range", "run_id").orderBy(*keys)
+    run = Window.partitionBy("run_id").orderBy("__range")
+    terminal = F.coalesce(F.col("state").isin(V.TERMINAL_STATES), F.lit(False))
+    local = ranged.select(
+        "run_id", "__range", "state",
+        F.row_number().over(piece).alias("__local"),
+        F.lag("state").over(piece).alias("__before"),
+        F.max(terminal).over(piece.rowsBetween(Window.unboundedPreceding, -1)).alias("__ended"),
+        F.lead(F.lit(True)).over(piece).isNull().alias("__last"),
     )
+    earlier = run.rowsBetween(Window.unboundedPreceding, -1)
+    carried = local.where("__last").select(
+        F.col("run_id").alias("__run"), F.col("__range").alias("__in"),
+        F.sum("__local").over(earlier).alias("__offset"),
+        F.lag("state").over(run).alias("__carried"),
+        F.max(F.coalesce("__ended", F.lit(False)) | terminal).over(earlier).alias("__over"),
+    ).where("__offset is not null")
     edges = F.broadcast(transition_dimension(states.sparkSession)).select(
         F.col("from_state").alias("previous"), F.col("to_state").alias("state"), F.lit(True).alias("legal")
     )
     judged = (
-        placed.join(before, ["run_id", "place"], "left")
-        .join(ends, "run_id", "left")
+        local.join(
+            F.broadcast(carried), (F.col("__range") == F.col("__in")) & F.col("run_id").eqNullSafe(F.col("__run")), "left"
+        )
+        .withColumn("place", (F.col("__local") + F.coalesce("__offset", F.lit(0))).cast("bigint"))
+        .withColumn("previous", F.when(F.col("__local") == 1, F.col("__carried")).otherwise(F.col("__before")))
         .join(edges, ["previous", "state"], "left")
     )
     unknown = ~F.col("state").isin(V.RUN_STATES)
@@ -42,7 +56,7 @@ def audit(states: DataFrame, order: list[str]) -> DataFrame:
     found = F.array(
         F.when(unknown, F.lit("unknown_state")),
         F.when(readable & illegal, F.lit("illegal_transition")),
-        F.when(F.col("place") > F.col("__end"), F.lit("activity_after_end")),
+        F.when(F.col("__ended") | F.col("__over"), F.lit("activity_after_end")),
     )
     return judged.select(
         "run_id", "place", "previous", "state", F.explode(F.array_compact(found)).alias("rule")

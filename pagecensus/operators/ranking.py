@@ -13,19 +13,26 @@ from pyspark.sql import functions as F
 from pagecensus.session import materialised
 
 
-def with_position(
-    df: DataFrame, group: list[str], order: list[Column], out: str, ranges: int | None = None
-) -> DataFrame:
-    """Adds ``out``: the position of each row within its group, by ``order`` (a total order)."""
-    spark = df.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def in_ranges(
+    df: DataFrame, group: list[str], order: list[Column], ranges: int | None = None
+) -> tuple[DataFrame, list[str]]:
+    """The rows, written once, with ``__range``, the range over group and order each is in, and the names
+    of the order's columns.  A group may go on in the next range."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"__order_{i}" for i in range(len(order))]
     ranged = df.withColumns(dict(zip(keys, order)))
     ranged = ranged.repartitionByRange(n, *group, *keys).withColumn(
         "__range", F.spark_partition_id()
     )
-    # Range bounds come from a sample: both uses below must see the same ones, on a retry as well.
-    ranged = materialised(ranged)
+    # Range bounds come from a sample: every use must see the same ones, on a retry as well.
+    return materialised(ranged), keys
+
+
+def with_position(
+    df: DataFrame, group: list[str], order: list[Column], out: str, ranges: int | None = None
+) -> DataFrame:
+    """Adds ``out``: the position of each row within its group, by ``order`` (a total order)."""
+    ranged, keys = in_ranges(df, group, order, ranges)
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(
         Window.unboundedPreceding, -1
     )
