@@ -22,8 +22,8 @@ ATTEMPTS = [
 ]
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(bounded_batches(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+def pages(spark: SparkSession, sf_dir: str, tasks: int = 1) -> DataFrame:
+    return spread(bounded_batches(spark).read.parquet(f"{sf_dir}/pages.parquet"), tasks)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +44,9 @@ def _lines(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_pages(spark: SparkSession, sf_dir: str, tasks: int = 1) -> DataFrame:
     """Pages with their site and run; ``html`` is only read by who needs it."""
-    keyed = with_url_identity(pages(spark, sf_dir), "url").where("origin is not null")
+    keyed = with_url_identity(pages(spark, sf_dir, tasks), "url").where("origin is not null")
     return keyed.withColumnRenamed("origin", "site").withColumn("run_id", run_of(F.col("site"))).drop(
         "url_refusal"
     )

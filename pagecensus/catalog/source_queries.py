@@ -14,8 +14,8 @@ from pagecensus.sources import discovery
 OTHER = "https://other.example.com/"
 
 
-def _page_runs(spark, sf_dir):
-    return inputs.site_pages(spark, sf_dir).withColumn(
+def _page_runs(spark, sf_dir, tasks=1):
+    return inputs.site_pages(spark, sf_dir, tasks).withColumn(
         "run_id", F.concat(F.lit("sm-"), F.col("page_id").cast("string"))
     )
 
@@ -170,7 +170,7 @@ def sitemap_budgets(spark, sf_dir):
     FROM smp, range(7) t(d), range(80) u(e)""")
 def all_sitemap_entries(spark, sf_dir):
     """An index of an index of seven documents with eighty locations each; nothing is left out."""
-    rows, site = _page_runs(spark, sf_dir).drop("html"), F.col("site")
+    rows, site = _page_runs(spark, sf_dir, tasks=4).drop("html"), F.col("site")
 
     def listed(root, entry, urls):
         parts = F.transform(urls, lambda u: F.concat(F.lit(f"<{entry}><loc>"), u, F.lit(f"</loc></{entry}>")))

@@ -23,6 +23,8 @@ _UNSAFE = r'["<>\[\\\]^`{|}]'
 _UNRESERVED = r"^[A-Za-z0-9\-._~]\z"
 _PATH_SAFE = r"A-Za-z0-9\-._~/!$&'()*+,;=:@%"
 _QUERY_SAFE = _PATH_SAFE + "?"
+# A form no stage would change or refuse: no port, escape, query or fragment, all characters as in a key.
+_OWN_KEY = r"^https?://[a-z0-9.\-]{1,253}/[A-Za-z0-9\-._~/!$&'()*+,;=:@]{0,1790}\z"
 
 
 def _delimiter_lookalikes() -> str:
@@ -99,6 +101,12 @@ def _percent_encoded(text: Column, safe: str, plain: Column) -> Column:
     )
 
 
+def _is_own_key(form: Column) -> Column:
+    """Whether a written form is its own key; of a segment that begins with a dot this is left open."""
+    fits = F.length(form) <= V.MAX_URL_LENGTH
+    return F.coalesce(fits & form.rlike(_OWN_KEY) & ~form.contains("/."), F.lit(False))
+
+
 def with_url_identity(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
     """Adds ``{prefix}url_key``, ``{prefix}url_refusal`` and ``{prefix}origin`` for ``column``.
 
@@ -122,7 +130,10 @@ def _identity(session: str, column: str, prefix: str) -> tuple[list[Column], Col
         stages.append(value.alias(f"__id_{name}"))
         return F.col(f"__id_{name}")
 
-    addressed = stage("addressed", F.substring_index(raw, "#", 1))
+    # Most forms are their own keys: the stages see a null instead, which costs them next to nothing.
+    own = stage("own", _is_own_key(raw))
+    form = stage("form", F.when(~own, raw))
+    addressed = stage("addressed", F.substring_index(form, "#", 1))
     plain = stage("plain", is_plain(addressed))
     scheme = stage("scheme", F.lower(F.regexp_extract(addressed, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)))
     rest = stage(
@@ -199,8 +210,8 @@ def _identity(session: str, column: str, prefix: str) -> tuple[list[Column], Col
     stray = F.concat_ws("?", path, query).rlike("%(?![0-9A-Fa-f]{2})")
     refusal = stage(
         "refusal",
-        F.when(raw.isNull(), None)
-        .when(F.length(raw) > V.MAX_URL_LENGTH, "TOO_LONG")
+        F.when(form.isNull(), None)
+        .when(F.length(form) > V.MAX_URL_LENGTH, "TOO_LONG")
         .when(
             F.when(plain, addressed.contains("\\")).otherwise(addressed.rlike(_FORBIDDEN)),
             "FORBIDDEN_CHARACTER",
@@ -212,8 +223,9 @@ def _identity(session: str, column: str, prefix: str) -> tuple[list[Column], Col
         .when(stray, "MALFORMED")
         .when(~is_persistable(key), "TOO_LONG"),
     )
-    accepted = stage("accepted", F.when(raw.isNotNull() & refusal.isNull(), key))
-    origin = stage("origin", origin_of(accepted))
+    accepted = stage("accepted", F.when(own, raw).when(form.isNotNull() & refusal.isNull(), key))
+    root = F.concat(F.substring_index(raw, "/", 3), F.lit("/"))
+    origin = stage("origin", F.when(own, root).otherwise(origin_of(accepted)))
     found = F.struct(
         accepted.alias(f"{prefix}url_key"),
         refusal.alias(f"{prefix}url_refusal"),

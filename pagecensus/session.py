@@ -96,10 +96,11 @@ def drop_materialised(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files give fewer partitions than that.
+def spread(df: DataFrame, tasks: int = 1) -> DataFrame:
+    """Rows over all cores, ``tasks`` for each, when the files give fewer partitions than that.
 
     Only a small input is moved: files of any size beyond have more splits than there are cores.
+    Rows that become far larger ask for several tasks, or a few more splits than cores take two rounds.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.sparkContext.defaultParallelism * tasks
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -259,25 +259,28 @@ def _planned(references: DataFrame, queue: DataFrame | None, limit: int | None)
 
 
 def _read_in_order(runs, queue, documents, refused, overflow, max_entries) -> tuple[DataFrame, DataFrame]:
+    # Documents are told their site, so that the far more numerous entries meet no other table.
+    sites = runs.select("run_id", "site")
+    queue = queue.join(sites, "run_id")
     read = queue.join(documents, (queue["run_id"] == documents["run_id"]) & (queue["key"] == documents["doc_key"]), "left").select(
-        queue["run_id"], "idx", F.coalesce("outcome", F.lit("PROVIDER_FAILURE")).alias("outcome"), "root", "locs"
+        queue["run_id"], "site", "idx", F.coalesce("outcome", F.lit("PROVIDER_FAILURE")).alias("outcome"), "root", "locs"
     )
     listed = read.where("root is null or root <> 'sitemapindex'").select(
-        "run_id", "idx", F.posexplode("locs").alias("pos", "form")
+        "run_id", "site", "idx", F.posexplode("locs").alias("pos", "form")
     )
-    firsts = listed.groupBy("run_id", "form").agg(F.min(F.struct("idx", "pos")).alias("at"))
-    forms = with_url_identity(firsts.where(is_persistable(F.col("form"))), "form").where("url_key is not null")
-    if max_entries is None:
-        ranked = materialised(forms.select("run_id", "form", F.lit(0).alias("n"), F.col("at.idx").alias("idx")))
-        max_entries, spent = 0, ranked.select("run_id", F.col("idx").alias("last")).limit(0)
+    if max_entries is None:  # where a form stands matters to a bound only
+        kept = _entry_forms(listed.select("run_id", "site", "form").distinct())
+        beyond, spent = kept.select("run_id").limit(0), read.select("run_id", F.col("idx").alias("last")).limit(0)
     else:
+        firsts = listed.groupBy("run_id", "site", "form").agg(F.min(F.struct("idx", "pos")).alias("at"))
         order = Window.partitionBy("run_id").orderBy("at")
         ranked = materialised(
-            forms.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_entries + 1)
-            .select("run_id", "form", "n", F.col("at.idx").alias("idx"))
+            _entry_forms(firsts).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_entries + 1)
+            .select("run_id", "site", "form", "n", F.col("at.idx").alias("idx"))
         )
         # Once the budget is spent, no later document is read.
         spent = ranked.where(F.col("n") == max_entries).select("run_id", F.col("idx").alias("last"))
+        kept, beyond = ranked.where(F.col("n") <= max_entries), ranked.where(F.col("n") > max_entries).select("run_id")
     within = read.join(spent, "run_id", "left")
     unread = F.col("last").isNotNull() & (F.col("idx") > F.col("last"))
     seen = within.where(~F.coalesce(unread, F.lit(False)))
@@ -290,14 +293,13 @@ def _read_in_order(runs, queue, documents, refused, overflow, max_entries) -> tu
     cut = (
         of_read(overflow)
         .unionByName(within.where(unread).select("run_id"))
-        .unionByName(ranked.where(F.col("n") > max_entries).select("run_id"))
+        .unionByName(beyond)
     )
     voices = seen.select("run_id", "outcome").unionByName(cut.withColumn("outcome", F.lit("BUDGET_EXHAUSTED")))
     outcome = source_outcome(voices)
     turned_away = of_read(refused).unionByName(
         seen.where("outcome = 'TARGET_POLICY_REFUSED'").select("run_id")
     ).distinct()
-    sites = runs.select("run_id", "site")
     attempts = sites.join(outcome, "run_id").select(
         "run_id", "site", F.lit(V.SITEMAP_SOURCE).alias("source_id"), "outcome"
     ).unionByName(
@@ -306,13 +308,19 @@ def _read_in_order(runs, queue, documents, refused, overflow, max_entries) -> tu
             F.lit("TARGET_POLICY_REFUSED").alias("outcome"),
         )
     )
-    entries = ranked.where(F.col("n") <= max_entries).join(sites, "run_id").select(
+    entries = kept.select(
         "run_id", "site", F.col("form").alias("observed_form"), F.lit(V.SITEMAP_SOURCE).alias("source_id"),
         F.lit(None).cast("string").alias("label"),
     )
     return entries, attempts
 
 
+def _entry_forms(forms: DataFrame) -> DataFrame:
+    """The written forms that may be recorded and have an identity; a form that is its own key may."""
+    keyed = with_url_identity(forms.where(F.length("form") <= V.MAX_URL_LENGTH), "form")
+    return keyed.where(F.col("url_key").isNotNull() & ((F.col("url_key") == F.col("form")) | is_persistable(F.col("form"))))
+
+
 def source_outcome(reads: DataFrame) -> DataFrame:
     """Many reads of one source -> the outcome that speaks for it, by fixed precedence."""
     ranks = {name: str(no) for no, name in enumerate(V.OUTCOME_PRECEDENCE)}
